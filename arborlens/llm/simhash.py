@@ -163,13 +163,12 @@ def links(words: DataFrame, col: str, radius: int = 4, block: int = 8192) -> Dat
                 p, q = ring.linked(x, other, int(key[a]) >> 58)
                 u, v = x[p], other[q]
                 keep = u != v
-                u, v = _forest(u[keep].view(np.int64), v[keep].view(np.int64)) if keep.any() else (u[:0], v[:0])
-                left.append(u)
-                right.append(v)
+                if keep.any():
+                    u, v = _forest(u[keep].view(np.int64), v[keep].view(np.int64))
+                    left.append(u)
+                    right.append(v)
             if left:
-                u, v = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -200,7 +199,6 @@ def links(words: DataFrame, col: str, radius: int = 4, block: int = 8192) -> Dat
             # part t * n + o holds the own words of block t and, of both kinds, the words of block o
             .withColumn("part", F.explode(F.when(F.col("probe"), F.array(F.col("other") * F.col("n") + F.col("t"))).otherwise(F.array_distinct(F.array(F.col("other") * F.col("n") + F.col("t"), F.col("t") * F.col("n") + F.col("other"))))))
             .select("key", "word", "probe", F.col("part").cast("int"))
-            .distinct()
         )
     else:
         keyed = keyed.withColumn("part", F.lit(0))
