@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, simhash, warc
+from . import chunks, decontaminate, lines, sentences, simhash, warc
 from .common import documents
 
 
@@ -13,6 +13,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.edited_likeness(documents(spark, sf_dir))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_pages(spark, sf_dir))
 
@@ -21,12 +25,21 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sentences.drop_repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "text", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"))
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return d.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_revisits, op4_simhash_pigeonring, op8_site_lines)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op8_site_lines, op9_decontaminate)}
 
 ORACLES = {
     "op3_warc_revisits": """
