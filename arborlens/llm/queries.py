@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, lines, sentences, simhash, warc
+from . import chunks, decontaminate, lines, packing, sentences, simhash, warc
 from .common import documents
 
 
@@ -13,6 +13,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_likeness(documents(spark, sf_dir))
 
@@ -30,6 +36,10 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"))
 
 
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return d.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
@@ -39,7 +49,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op8_site_lines, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op8_site_lines, op9_decontaminate)}
 
 ORACLES = {
     "op3_warc_revisits": """
