@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, lines, packing, sentences, simhash, warc
+from . import chunks, decontaminate, lines, packing, sentences, simhash, toxicity, warc
 from .common import documents
 
 
@@ -23,6 +23,11 @@ def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_likeness(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return d.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_pages(spark, sf_dir))
 
@@ -49,7 +54,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op8_site_lines, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op8_site_lines, op9_decontaminate)}
 
 ORACLES = {
     "op3_warc_revisits": """
