@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread, utf8, written
@@ -217,6 +217,13 @@ def _own_keys(ring: Pigeonring):
     return emit
 
 
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root)`` of every fingerprint in ``fps``; the root stands for its component."""
+    words = fps.select("fp").distinct()
+    found = connected_components(links(words, "fp", radius))
+    return words.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``df``: ``(<id_col>, fingerprint, component_id)``.
 
@@ -226,10 +233,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest id of their component (null if there is none).  Repeated rows are all returned.
     """
     fps = written(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fps")
-    words = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    found = connected_components(links(words.select("fp"), "fp", radius))
-    rooted = words.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    rooted = written(rooted, "roots")
-    low = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    ids = rooted.join(low, "root").select("fp", "component_id")
+    low = fps.groupBy("fp").agg(F.min("id").alias("id"))
+    rooted = written(low.join(_components(fps, radius), "fp"), "roots")
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(ids, "fp").select(F.col("id").alias(id_col), fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """``df`` with one row of each component: that with the smallest id, of equal ids by a hash of the text.
+
+    A null id comes after all others; of rows with equal id and text one stays.  Columns are those of ``df``.
+    """
+    key = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    fps = written(df.select(*[c.alias(n) for n, c in key.items()], fingerprint_column(F.col(text_col), width).alias("fp")), "fps")
+    low = fps.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("k"))
+    first = low.join(_components(fps, radius), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    kept = df.withColumns(key).join(written(first, "first"), ["_id", "_h"])
+    once = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*df.columns)

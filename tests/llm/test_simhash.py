@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from arborlens.llm.components import connected_components
-from arborlens.llm.simhash import links, near_duplicates
+from arborlens.llm.simhash import keep_first, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, word string"
 
@@ -77,7 +77,23 @@ def test_links_keep_every_component(spark, block, radius):
     assert got == closure([(a, b) for a in words for b in words if a < b and bin((a ^ b) & mask).count("1") <= radius], words)
 
 
+def test_keep_first(spark):
+    rows = [(i, t, "clash") for i, t in enumerate(texts())] + [(3, "again", None), (None, None, None), (4, texts()[4], "x"), (None, "unlike any other text here", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = keep_first(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    low = {}
+    for r in near_duplicates(spark.createDataFrame([(k, t, None) for k, (_, t, _) in enumerate(rows)], SCHEMA)).collect():
+        low.setdefault(r.component_id, []).append(rows[r.doc_id])
+    assert len(kept) == len(low)
+    for group in low.values():
+        least = min((1 << 63) - 1 if i is None else i for i, _, _ in group)
+        assert any((str(i), t or "") in kept for i, t, _ in group if ((1 << 63) - 1 if i is None else i) == least)
+
+
 def test_empty(spark):
+    assert keep_first(spark.createDataFrame([], SCHEMA)).collect() == []
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
