@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, lines, packing, sentences, simhash, toxicity, warc
+from . import blocks, chunks, decontaminate, lines, packing, sentences, simhash, toxicity, warc
 from .common import documents
 
 
@@ -45,6 +45,11 @@ def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = blocks.main_text(_pages(spark, sf_dir).select("page_id", "url", "html"))
+    return d.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return d.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
@@ -54,7 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op8_site_lines, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op7_main_text, op8_site_lines, op9_decontaminate)}
 
 ORACLES = {
     "op3_warc_revisits": """
