@@ -50,18 +50,26 @@ def codes(text: str) -> np.ndarray:
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(gram, n)``: letter trigrams of every whole text, boundaries included; grams are 3 codes below 96."""
+    """``(gram, n)``: letter trigrams of every whole text; grams are 3 codes below 96, never two boundaries at the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**3, np.int64)
+        total, held, size = np.zeros(SIZE**3, np.int64), [], 0
+
+        def add() -> None:
+            c = codes("   " + "".join(held)).astype(np.int32)
+            total[:] += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+            held.clear()
+
         for batch in batches:
             for text in batch.column(0):
                 if (text := text.as_py()) is not None:
-                    c = codes(f"  {text} ").astype(np.int32)
-                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3) if len(c) > 50_000 else 0
-                    if len(c) <= 50_000:
-                        grams, n = np.unique((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], return_counts=True)
-                        total[grams] += n
+                    held.append(f"  {text} ")
+                    size += len(text)
+                    if size > 1 << 20:
+                        add()
+                        size = 0
+        add()
+        total.reshape(SIZE, SIZE * SIZE)[:, 0] = 0  # after two boundaries nothing is decoded
         (at,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
@@ -240,16 +248,16 @@ def language_model(df: DataFrame, text_col: str = "text") -> CharModel:
     return CharModel(rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64))
 
 
-def learn(labelled: DataFrame, model: CharModel, bound: int = LABELLED) -> tuple[dict[str, float], tuple | None]:
-    """(log lift of features, regression) from ``labelled`` (id, text, toxic).
+def learn(docs: DataFrame, known: DataFrame, model: CharModel, bound: int = LABELLED) -> tuple[dict[str, float], tuple | None]:
+    """(log lift of features, regression) from ``docs`` (id, text) with the labels ``known`` (id, toxic).
 
-    At most ``bound`` rows are used, those with the smallest hash of the id.  Features are words and their
+    At most ``bound`` labels are used, those with the smallest hash of the id.  Features are words and their
     beginnings in restored texts; kept are those in ``LEAST`` toxic texts or more that tell toxic texts apart
     by ``GAIN`` nats, with the log ratio of their rates among toxic and other words.
     """
-    spark = labelled.sparkSession
-    ids = labelled.select("id").orderBy(F.xxhash64("id"), "id").limit(bound).distinct()
-    sample = written(labelled.join(F.broadcast(ids), "id").select("text", (F.col("toxic") > 0).alias("toxic")).repartition(8), "labelled")
+    spark = docs.sparkSession
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
+    sample = written(docs.join(F.broadcast(chosen), "id").select("text", (F.col("toxic") > 0).alias("toxic")).repartition(8), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
@@ -316,7 +324,7 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = df.sparkSession
     model = language_model(df, text_col)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    lifts, regression = learn(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id"), model)
+    lifts, regression = learn(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, model)
     shared = spark.sparkContext.broadcast((model, lifts, regression))
     made: list[Reader] = []
 

@@ -56,6 +56,7 @@ def test_trigrams_count_every_text(spark):
         if text is not None:
             c = t.codes(f"  {text} ").astype(int)
             np.add.at(want, (c[:-2] * 96 + c[1:-1]) * 96 + c[2:], 1)
+    want.reshape(96, -1)[:, 0] = 0
     assert got == {int(k): int(want[k]) for k in np.flatnonzero(want)}
 
 
