@@ -129,7 +129,7 @@ def neighbours(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pd.Series(out)
 
     dealt = rows.withColumn("code", F.explode(targets("id", "h"))).select((F.col("code") / 2).cast("long").alias("bucket"), (F.col("code") % 2).alias("look"), "id", "h", "text")
-    return dealt.repartition(n // 4, "bucket").sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "h")
+    return dealt.repartitionById(n // 4, F.pmod("bucket", F.lit(n // 4)).cast("int")).sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "h")
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
