@@ -75,6 +75,7 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = df.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text")).mapInArrow(emit, "id long, h long, i int, j int, span binary")
     spans = written(spans, "spans")
     repeated = spans.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "i")).alias("first")).where("n > 1").drop("n")
+    repeated = written(repeated, "repeated")  # so that a join with a hot span can be split
     again = spans.join(repeated, "span").where(F.struct("id", "h", "i") != F.col("first"))
     covered = again.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("i", "j")).alias("_spans"))
     joined = df.withColumns({"_key_id": key[0], "_key_h": key[1]}).join(covered, (F.col("_key_id") == F.col("_id")) & (F.col("_key_h") == F.col("_h")), "left")
