@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, utf8
+from .common import new_path, utf8, written
 
-WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 600_000
+WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 500_000
 
 
 class WordTokenizer:
@@ -36,26 +36,36 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        self.bar = np.frombuffer(self._plain([b"|"])[0], self.kind)[0]
         self.marks = {bytes([c]): self._plain([bytes([c])])[0] for c in b".,;:!?"}
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         got = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without white space: encoded as one text, with bars between them to cut at."""
+        plain = [w for w in words if b"|" not in w]
+        ids = np.array(self.model.encode(b" | ".join(plain).decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+        cuts = np.flatnonzero(ids == self.bar)
+        if len(plain) != len(words) or len(cuts) != len(plain) - 1:
+            return self._plain(words)
+        raw, size = ids.tobytes(), self.kind.itemsize
+        at = (cuts * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(raw)], strict=True)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        known, missing = self.words, {}
-        for words in split:
-            if words:
-                for w in words:
-                    if w not in known:
-                        missing[w] = None
+        known = self.words
+        missing = set().union(*(w for w in split if w)).difference(known)
         extra = self._encode_words(list(missing)) if missing else {}
-        get = known.__getitem__ if not extra else lambda w: known.get(w) or extra.get(w, b"")
+        before = len(known)
+        known.update(extra)
+        get = known.__getitem__
         out = [b"".join(map(get, words)) + self.end if words is not None else self._plain([t])[0] + self.end for t, words in zip(texts, split, strict=True)]
-        room = CACHED - len(known)
-        if room > 0:
-            known.update(list(extra.items())[:room])
+        if len(known) > CACHED:
+            for w in list(extra)[max(0, CACHED - before) :]:
+                del known[w]
         return out
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -70,22 +80,22 @@ class WordTokenizer:
             if core not in cores:
                 fresh[core] = b""
         if fresh:
-            fresh = dict(zip(fresh, self._plain(list(fresh)), strict=True))
+            fresh = dict(zip(fresh, self._joined(list(fresh)), strict=True))
         out = {w: (cores[c] if c in cores else fresh[c]) + m for w, c, m in plan}
-        if len(cores) + len(fresh) > CACHED:
-            cores.clear()
-        cores.update(fresh)
+        if len(cores) < 2 * CACHED:
+            cores.update(fresh)
         return out
 
 
 _TOKENIZERS: dict = {}
 
 
-def tokenizer(path: str, end_id: int | None) -> WordTokenizer:
-    """One for each Python worker, which keeps its cache between tasks."""
-    if (path, end_id) not in _TOKENIZERS:
-        _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
-    return _TOKENIZERS[path, end_id]
+def tokenizer(path: str, end_id: int | None, run: str = "") -> WordTokenizer:
+    """One for each Python worker and run, which keeps its cache between the run's tasks and no longer."""
+    if (path, end_id, run) not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path, end_id, run] = WordTokenizer(path, end_id)
+    return _TOKENIZERS[path, end_id, run]
 
 
 class Schedule:
@@ -227,7 +237,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     kind = df.schema[id_col].dataType
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, at = tokenizer(tokenizer_path, end_id), TaskContext.get().partitionId(), [0] * n
+        model, task, at = tokenizer(tokenizer_path, end_id, path), TaskContext.get().partitionId(), [0] * n
         width = model.kind.itemsize
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -239,8 +249,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                     at[q] += len(x) // width
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([task] * part.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "queue", "task", "first", "n", "ids"])
 
-    fields = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("queue int, task int, first long, n long, ids binary").fields])
     path = new_path(spark, "ids")
+    fields = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("queue int, task int, first long, n long, ids binary").fields])
     df.select(F.col(id_col).alias("id"), queue.alias("queue"), utf8(F.col(text_col)).alias("text")).mapInArrow(tokens, fields).write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(fields).parquet(path)
     sums = kept.groupBy("task", "queue").agg(F.sum("n").alias("n"))
@@ -252,7 +262,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         names = {r.queue: r.s for r in df.select(queue.alias("queue"), F.col(source_col).cast("string").alias("s")).distinct().collect()}
         weights = [float(shares.get(names.get(q), 0.0)) for q in range(n)]
     plan = spark.sparkContext.broadcast(Schedule([totals.get(q, 0) for q in range(n)], weights, window, cycle))
-    bases = sums.selectExpr("task", "queue", "sum(n) OVER (PARTITION BY queue ORDER BY task) - n AS base")
+    # Written first, so that its size is known when the join is planned: a small one leaves the ids where they are.
+    bases = written(sums.selectExpr("task", "queue", "sum(n) OVER (PARTITION BY queue ORDER BY task) - n AS base"), "bases")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule, size = plan.value, 2 if small else 4
