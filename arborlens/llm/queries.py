@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, chunks, decontaminate, lines, packing, sentences, simhash, toxicity, warc
+from . import blocks, chunks, decontaminate, lines, packing, sentences, simhash, suffixes, toxicity, warc
 from .common import documents
 
 
@@ -59,7 +59,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op7_main_text, op8_site_lines, op9_decontaminate)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.drop_repeated(documents(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op7_main_text, op8_site_lines, op9_decontaminate, op10_suffix_dedup)}
 
 ORACLES = {
     "op3_warc_revisits": """
