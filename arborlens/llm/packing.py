@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,10 @@ from .common import new_path, utf8, written
 WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 500_000
 
 
+#: Letters that are lower-case and composed already.
+SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+
+
 class WordTokenizer:
     """Token ids of UTF-8 texts as little-endian bytes, by a ``tokenizers`` file, through a cache of words.
 
@@ -36,6 +41,11 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        self.tokenize = self.model.model.tokenize
+        # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in plain]
+        self.byte_marks = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
         self.bar = np.frombuffer(self._plain([b"|"])[0], self.kind)[0]
         self.marks = {bytes([c]): self._plain([bytes([c])])[0] for c in b".,;:!?"}
 
@@ -43,6 +53,10 @@ class WordTokenizer:
         got = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of lower-case letters up to U+00FF, which the normaliser and the splitter leave as it is."""
+        return np.array([t.id for t in self.tokenize(word if word.isascii() else "".join([self.byte_marks[b] for b in word.encode()]))], self.kind).tobytes()
+
     def _joined(self, words: list[bytes]) -> list[bytes]:
         """Ids of words without white space: encoded as one text, with bars between them to cut at."""
         plain = [w for w in words if b"|" not in w]
@@ -69,18 +83,25 @@ class WordTokenizer:
         return out
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plan, cores, fresh = [], self.cores, {}
+        plan, cores, fresh, other, simple = [], self.cores, {}, [], SIMPLE.fullmatch
         for w in words:
             core, mark = w, b""
             if w.isascii():
                 core = w.lower()
                 if len(core) > 1 and core[-1:] in self.marks and core[-2:-1].isalnum():
                     core, mark = core[:-1], self.marks[core[-1:]]
+            elif len(w) > 1 and w[-1:] in self.marks and w[-2:-1].isalnum():
+                core, mark = w[:-1], self.marks[w[-1:]]
             plan.append((w, core, mark))
-            if core not in cores:
-                fresh[core] = b""
-        if fresh:
-            fresh = dict(zip(fresh, self._joined(list(fresh)), strict=True))
+            if core not in cores and core not in fresh:
+                text = core.decode("utf-8", "replace")
+                if simple(text):
+                    fresh[core] = self._letters(text)
+                else:
+                    fresh[core] = b""
+                    other.append(core)
+        if other:
+            fresh.update(zip(other, self._joined(other), strict=True))
         out = {w: (cores[c] if c in cores else fresh[c]) + m for w, c, m in plan}
         if len(cores) < 2 * CACHED:
             cores.update(fresh)
