@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .graph import CodeGraph
 from .operators import diff, health, lookup, walks
 from .plans import report
-from .schema import CONFIG_DIR
-from .sources.extract import build
-from .sources.workspace import boundary_rules, scan, scan_git
+from .schema import CONFIG_DIR, FILES
+from .sources.extract import build, symbols
+from .sources.workspace import boundary_rules, scan, scan_git, scan_paths
 from .store import GraphStore
 
 
@@ -25,10 +25,15 @@ class Workspace:
         self.spark, self.root, self.refs = spark, os.path.abspath(root), refs
         self.store = GraphStore(spark, store or os.path.join(self.root, CONFIG_DIR, "graph"), read_only)
 
+    def _save(self, files: DataFrame, rows: DataFrame) -> CodeGraph:
+        version, kept = self.store.stage(rows)
+        self.store.save(build(files, self.refs, kept), version)
+        return self.store.load()
+
     def reindex(self) -> CodeGraph:
         """Scan, extract and resolve everything; the new version replaces the old one whole."""
-        self.store.save(build(scan(self.spark, self.root), self.refs))
-        return self.store.load()
+        files = scan(self.spark, self.root)
+        return self._save(files, symbols(files))
 
     def open(self, force: bool = False) -> CodeGraph:
         """The stored graph, built first if there is none or ``force`` is set."""
@@ -38,10 +43,20 @@ class Workspace:
     def update(self, changed: list[str], removed: list[str]) -> CodeGraph:
         """Bring the graph up to date after file events.
 
-        Relations reach over files (an import may now resolve to a new file, a class name to another file's),
-        so the relations are resolved again over all symbols; the result equals a full build.
+        Only the changed files are read and extracted; their rows replace the stored ones.  Relations reach
+        over files (an import may now resolve to a new file, a class name to another file's), so they are
+        resolved again, as joins over all rows; the result equals a full build.
         """
-        return self.reindex() if changed or removed else self.store.load()
+        old = self.store.symbols()
+        if not changed and not removed:
+            return self.store.load()
+        if old is None:
+            return self.reindex()
+        fresh = scan_paths(self.spark, self.root, changed)
+        touched = self.spark.createDataFrame([(p,) for p in {*changed, *removed}], "path string")
+        files = self.store.load().files.join(touched, "path", "left_anti").select(*FILES.names).unionByName(fresh.select(*FILES.names))
+        rows = old.join(touched.withColumnRenamed("path", "file_path"), "file_path", "left_anti").select(*old.columns).unionByName(symbols(fresh))
+        return self._save(files, rows)
 
     # The five tools.
 

@@ -282,8 +282,11 @@ def symbols(files: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, refs: DataFrame | None = None, rows: DataFrame | None = None) -> CodeGraph:
-    """The graph of scanned files (path, content, hash, last_modified) and references (callee_id, ref_path, ref_line)."""
-    rows = (symbols(files) if rows is None else rows).persist()
+    """The graph of scanned files (path, content, hash, last_modified) and references (callee_id, ref_path, ref_line).
+
+    ``rows`` are the files' symbols, best read from a written table: they are used for every table of the graph.
+    """
+    rows = symbols(files) if rows is None else rows
     of = lambda kind: rows.where(F.col("kind") == kind)
     fn, cl, va = (of(k).dropDuplicates(["id"]) for k in ("function", "class", "variable"))
     functions = fn.select("id", "name", "file_path", "docstring", "ast_hash", "start_line", "end_line", "is_exported")

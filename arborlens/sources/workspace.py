@@ -17,9 +17,7 @@ from .ignore import ignored, load_patterns
 SCAN = "path string, content binary, hash string, last_modified long"
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """(path relative to root, content, hash, last_modified) of the source files that are not ignored."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _scanned(raw: DataFrame, root: str, patterns: list[str] | None) -> DataFrame:
     prefix = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/")
     plain = F.regexp_replace(F.col("path"), r"^[a-z]+:(//[^/]*)?(?=/)", "")
     path = F.substring(plain, len(re.sub(r"^[a-z]+://[^/]*", "", prefix)) + 2, 1 << 30)
@@ -27,6 +25,19 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> D
     return out.where(~ignored(F.col("path"), patterns if patterns is not None else load_patterns(root))).select("path", "content", F.sha2("content", 256).alias("hash"), F.col("modificationTime").cast("long").alias("last_modified"))
 
 
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """(path relative to root, content, hash, last_modified) of the source files that are not ignored."""
+    return _scanned(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, patterns)
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str], patterns: list[str] | None = None) -> DataFrame:
+    """The same of the given files alone, those that exist; nothing else is read."""
+    there = [os.path.join(root, p) for p in paths if os.path.isfile(os.path.join(root, p))]
+    if not there:
+        return spark.createDataFrame([], SCAN)
+    return _scanned(spark.read.format("binaryFile").load(there), root, patterns)
+
+
 def scan_git(spark: SparkSession, root: str, ref: str, patterns: list[str] | None = None) -> DataFrame:
     """The same for a git revision; names are listed by one command, contents are read by the tasks."""
     if not re.fullmatch(r"[\w./@^~][\w./@^~-]*", ref):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .graph import CodeGraph
 from .schema import TABLES
@@ -35,10 +35,25 @@ class GraphStore:
             return CodeGraph.empty(self.spark)
         return CodeGraph(**{n: self.spark.read.schema(s).parquet(f"{self.root}/{v}/{n}") for n, s in TABLES.items()})
 
-    def save(self, graph: CodeGraph) -> str:
+    def symbols(self) -> DataFrame | None:
+        """The extracted rows that the current version was resolved from, if they were kept."""
+        v = self.version()
+        if v is None or not self._fs.exists(self._path(f"{self.root}/{v}/symbols")):
+            return None
+        return self.spark.read.parquet(f"{self.root}/{v}/symbols")
+
+    def stage(self, symbols: DataFrame) -> tuple[str, DataFrame]:
+        """Write the rows of a version to come; (version, the rows as written)."""
         if self.read_only:
             raise PermissionError("the store was opened read-only")
         v = f"v-{uuid.uuid4().hex}"
+        symbols.write.parquet(f"{self.root}/{v}/symbols")
+        return v, self.spark.read.schema(symbols.schema).parquet(f"{self.root}/{v}/symbols")
+
+    def save(self, graph: CodeGraph, version: str | None = None) -> str:
+        if self.read_only:
+            raise PermissionError("the store was opened read-only")
+        v = version or f"v-{uuid.uuid4().hex}"
         for name, df in graph.tables().items():
             writer = df.select(*TABLES[name].names).write
             (writer.partitionBy("label") if name == "edges" else writer).parquet(f"{self.root}/{v}/{name}")

@@ -144,7 +144,10 @@ def test_workspace(spark, workspace):
     assert {n["id"] for n in w.graph_payload()["nodes"]} >= {"my.go", "sub/my.py"}
     (workspace / "sub" / "my.py").unlink()
     (workspace / "new.go").write_text("package p\nfunc Fresh() {}\n")
-    assert {r.path for r in w.update(["new.go"], ["sub/my.py"]).files.collect()} == {"my.go", "new.go"}
+    updated = w.update(["new.go", "node_modules/x.js"], ["sub/my.py"])
+    assert {r.path for r in updated.files.collect()} == {"my.go", "new.go"}
+    kept = {n: sorted(map(str, t.collect())) for n, t in updated.tables().items()}
+    assert kept == {n: sorted(map(str, t.collect())) for n, t in w.reindex().tables().items()}
     with pytest.raises(ValueError):
         Workspace(spark, "/")
 
