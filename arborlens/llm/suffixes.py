@@ -14,9 +14,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import spread, utf8, written
 
@@ -35,7 +38,7 @@ def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         if int(key.max()) >= (1 << 63) // int(size):
             key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         key = key * size + c.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal rows share a name, so their order is free
     new = np.empty(len(key), bool)
     new[:1] = True
     sorted_ = key[order]
@@ -96,16 +99,16 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
         at += len(p) + 1
     order = suffix_array(text)
     order = order[ends[order] - order >= length]
-    same = np.empty(max(0, len(order) - 1), bool)
-    for k in range(0, len(same), 1 << 14):
-        a, b = order[k : k + (1 << 14)], order[k + 1 : k + 1 + (1 << 14)]
-        a = a[: len(b)]
-        live = np.ones(len(a), bool)
-        for j in range(0, length, 40):
-            step = np.arange(j, min(length, j + 40))
-            at_ = np.flatnonzero(live)
-            live[at_] = (text[a[at_, None] + step] == text[b[at_, None] + step]).all(axis=1)
-        same[k : k + len(a)] = live
+    word, k = text.astype(np.uint64) & np.uint64(255), 1  # the 8 bytes from each position on; strings compared hold no end
+    while k < 8:
+        word[:-k] |= word[k:] << np.uint64(8 * k)
+        k *= 2
+    a, b = order[:-1], order[1:]
+    live = np.arange(len(a))
+    for j in [*range(0, length - 8, 8), length - 8]:
+        live = live[word[a[live] + j] == word[b[live] + j]]
+    same = np.zeros(len(a), bool)
+    same[live] = True
     hit = np.zeros(n, bool)
     hit[order[:-1][same]] = True
     hit[order[1:][same]] = True
@@ -167,18 +170,25 @@ def _span_bytes(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@F.pandas_udf(BinaryType())
+def packed(data: pd.Series) -> pd.Series:
+    """Bytes, compressed for the shuffles."""
+    c = zstandard.ZstdCompressor(level=1)
+    return data.map(c.compress)
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``texts`` (tid long, data binary; equal tids mean equal data) -> ``(tid, spans)``.
+    """``texts`` (tid long, data binary: see ``packed``; equal tids mean equal data) -> ``(tid, hits)``.
 
-    Spans [from, to) are the maximal removed runs of the texts that have any; copies of a text count as
-    other places.
+    Each hit has the start of a window and, from there, the runs [from, to) of positions at which a repeated
+    string starts; texts without any have no row.  Copies of a text count as other places.
     """
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tids, places, hashes = [], [], []
             for tid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, h, _, _ = anchors(data, length, gram)
+                at, h, _, _ = anchors(zstandard.decompress(data), length, gram)
                 tids.append(np.full(len(at), tid, np.int64))
                 places.append(at)
                 hashes.append(h.view(np.int64))
@@ -200,7 +210,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 tid, data, known, counts = (batch.column(c)[k].as_py() for c in range(4))
                 if tid == before:
                     continue
-                before = tid
+                before, data = tid, zstandard.decompress(data)
                 wanted = dict(zip(known, counts, strict=True))
                 at, h, first, last = anchors(data, length, gram)
                 keep = np.isin(at, np.array(known, np.int64))
@@ -270,12 +280,13 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text counts as empty; texts under ``length`` bytes keep everything; equal texts of ``length`` bytes
     or more (repeated rows too) all go whole.
     """
-    rows = df.select(F.col(id_col), utf8(F.col(text_col)).alias("data")).withColumn("tid", F.xxhash64("data"))
-    long_ = rows.where(F.octet_length("data") >= length).select("tid", "data")
+    rows = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("data")).withColumns({"tid": F.xxhash64("data"), "size": F.octet_length("data")})
+    rows = rows.select("_id", "tid", "size", packed("data").alias("data"))
+    long_ = rows.where(F.col("size") >= length).select("tid", "data")
     copies = long_.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
     marks = repeated_spans(long_, length, gram, hot)
     known = marks.join(copies, "tid", "full_outer").select("tid", "hits", F.coalesce("whole", F.lit(False)).alias("whole"))
-    ready = rows.join(known, "tid", "left").select(id_col, "data", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("hits.start").alias("starts"), F.col("hits.runs").alias("runs"))
+    ready = rows.join(known, "tid", "left").select("_id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("hits.start").alias("starts"), F.col("hits.runs").alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,6 +294,7 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = batch.slice(k, 500)
                 out = []
                 for data, whole, starts, runs in zip(*(part.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                    data = zstandard.decompress(data)
                     n = len(data)
                     if whole and n >= length:
                         spans = [(0, n)]
