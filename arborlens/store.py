@@ -60,9 +60,13 @@ class GraphStore:
         stream = self._fs.create(self._path(f"{self.root}/CURRENT.new"), True)
         stream.write(bytearray(v.encode()))
         stream.close()
-        if self._fs.exists(self._path(f"{self.root}/CURRENT")):
-            self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"))
+        # One atomic step: readers see the old version or the new one.
+        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        rename = getattr(fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"), how)
         return v
 
     def reset(self) -> None:

@@ -187,3 +187,21 @@ def test_directory_stream(spark, tmp_path):
         assert {(r.path, r.event) for r in spark.table("seen").collect()} == {("a.go", "create"), ("b.go", "create"), ("a.go", "remove")}
     finally:
         q.stop()
+
+
+def test_follow_keeps_the_graph_current(spark, workspace, tmp_path_factory):
+    import time
+
+    from arborlens.streaming.live import follow
+
+    w = Workspace(spark, str(workspace), store=str(tmp_path_factory.mktemp("store")))
+    w.open()
+    (workspace / "late.go").write_text("package p\nfunc Late() {}\n")
+    q = follow(spark, str(workspace), w.update, str(tmp_path_factory.mktemp("checkpoint")))
+    try:
+        until = time.time() + 60
+        while time.time() < until and not w.store.load().has_file("late.go"):
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert "Late" in w.search_codebase("Late")
