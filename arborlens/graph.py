@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +54,12 @@ class CodeGraph:
                 key = "path" if name == "files" else "id"
                 old, more = getattr(self, name), rows[name].select(*TABLES[name].names).dropDuplicates([key])
                 new[name] = old.unionByName(more.join(old.select(key), key, "left_anti").select(*TABLES[name].names))
-        out = replace(self, **new)
+        out = CodeGraph(**(self.tables() | new))
         if "edges" in rows:
             ends, e = out.ends(), rows["edges"].select(*TABLES["edges"].names)
             for side in ("src", "dst"):
                 e = e.join(ends.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type")), [side, f"{side}_type"], "left_semi")
-            out = replace(out, edges=out.edges.unionByName(e.select(*TABLES["edges"].names)))
+            out = CodeGraph(**out.tables() | {"edges": out.edges.unionByName(e.select(*TABLES["edges"].names))})
         return out
 
     def delete_files(self, paths: DataFrame) -> CodeGraph:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
 from ..schema import TABLES
@@ -48,11 +49,41 @@ def edge_sql(duck: bool) -> list[str]:
     return out
 
 
+class StarGraph(CodeGraph):
+    """The graph over ``<sf_dir>/<table>.parquet``.  Tables are planned when they are asked for, edges by label."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.__dict__.update(_spark=spark, _dir=sf_dir, _branches={}, _sources={})
+
+    def _run(self, text: str) -> DataFrame:
+        used = [t for t in SOURCES if "{" + t + "}" in text]
+        for t in used:
+            if t not in self._sources:
+                self._sources[t] = self._spark.read.parquet(f"{self._dir}/{t}.parquet")
+        return self._spark.sql(text, **{t: self._sources[t] for t in used})
+
+    def _edges(self, label: str | None = None) -> DataFrame:
+        texts = [q for q in edge_sql(False) if label is None or f"'{label}' AS label" in q]
+        for q in texts:
+            if q not in self._branches:
+                self._branches[q] = self._run(q)
+        return reduce(DataFrame.unionByName, [self._branches[q] for q in texts])
+
+    files = cached_property(lambda self: self._run(node_sql("files", False)))
+    functions = cached_property(lambda self: self._run(node_sql("functions", False)))
+    classes = cached_property(lambda self: self._run(node_sql("classes", False)))
+    variables = cached_property(lambda self: self._run(node_sql("variables", False)))
+    edges = cached_property(lambda self: self._edges())
+
+    def labelled(self, label: str, src_type: str | None = None, dst_type: str | None = None) -> DataFrame:
+        e = self._edges(label)
+        for c, kind in (("src_type", src_type), ("dst_type", dst_type)):
+            e = e.where(F.col(c) == kind) if kind else e
+        return e
+
+
 def load(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """Lazy graph over ``<sf_dir>/<table>.parquet``; each edge label keeps its own branch of a union, so a query of one label reads its tables only."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
-    run = lambda q: spark.sql(q, **{t: tables[t] for t in SOURCES if "{" + t + "}" in q})
-    return CodeGraph(**{t: run(node_sql(t, False)) for t in TABLES if t != "edges"}, edges=reduce(DataFrame.unionByName, [run(q) for q in edge_sql(False)]))
+    return StarGraph(spark, sf_dir)
 
 
 def snapshots(graph: CodeGraph) -> tuple[CodeGraph, CodeGraph]:
