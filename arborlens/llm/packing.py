@@ -16,19 +16,19 @@ from pyspark.sql import types as T
 
 from .common import new_path, utf8, written
 
-WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 500_000
+WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 1_000_000
 
 
-#: Letters that are lower-case and composed already.
-SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Letters up to U+00FF, which composition leaves as they are, and one closing mark at most.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class WordTokenizer:
     """Token ids of UTF-8 texts as little-endian bytes, by a ``tokenizers`` file, through a cache of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words cut at
-    ASCII white space.  An ASCII word is looked up in lower case, and without one closing mark after a letter
-    or digit, where the tokenizer always cuts.  ``whole`` texts (which hold a special token's string) bypass this.
+    ASCII white space.  Words of plain letters, with or without a closing mark, go to the merge model in
+    lower case; others go through the whole tokenizer.  Texts that hold a special token's string go there whole.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
@@ -39,7 +39,6 @@ class WordTokenizer:
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.tokenize = self.model.model.tokenize
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -47,16 +46,13 @@ class WordTokenizer:
         rest = [b for b in range(256) if b not in plain]
         self.byte_marks = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
         self.bar = np.frombuffer(self._plain([b"|"])[0], self.kind)[0]
-        self.marks = {bytes([c]): self._plain([bytes([c])])[0] for c in b".,;:!?"}
+        self.marks = {"": b""} | {c: self._plain([c.encode()])[0] for c in ".,;:!?"}
+        self.raw = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.model.get_vocab_size(with_added_tokens=True))]
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         got = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of lower-case letters up to U+00FF, which the normaliser and the splitter leave as it is."""
-        return np.array([t.id for t in self.tokenize(word if word.isascii() else "".join([self.byte_marks[b] for b in word.encode()]))], self.kind).tobytes()
-
     def _joined(self, words: list[bytes]) -> list[bytes]:
         """Ids of words without white space: encoded as one text, with bars between them to cut at."""
         plain = [w for w in words if b"|" not in w]
@@ -70,41 +66,31 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else t.split() for t in texts]
+        # Every word is looked up once in the large cache; the texts then use a table that stays in the processor's cache.
         known = self.words
-        missing = set().union(*(w for w in split if w)).difference(known)
-        extra = self._encode_words(list(missing)) if missing else {}
-        before = len(known)
-        known.update(extra)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) + self.end if words is not None else self._plain([t])[0] + self.end for t, words in zip(texts, split, strict=True)]
-        if len(known) > CACHED:
-            for w in list(extra)[max(0, CACHED - before) :]:
-                del known[w]
-        return out
+        words = set().union(*(w for w in split if w))
+        table = dict(zip(words, map(known.get, words), strict=True))
+        if missing := [w for w, ids in table.items() if ids is None]:
+            extra = self._encode_words(missing)
+            table.update(extra)
+            if (room := CACHED - len(known)) > 0:
+                known.update(list(extra.items())[:room])
+        get = table.__getitem__
+        return [b"".join(map(get, w)) + self.end if w is not None else self._plain([t])[0] + self.end for t, w in zip(texts, split, strict=True)]
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plan, cores, fresh, other, simple = [], self.cores, {}, [], SIMPLE.fullmatch
+        out, other, simple, raw, marks, tokenize = {}, [], SIMPLE.fullmatch, self.raw, self.marks, self.tokenize
         for w in words:
-            core, mark = w, b""
-            if w.isascii():
-                core = w.lower()
-                if len(core) > 1 and core[-1:] in self.marks and core[-2:-1].isalnum():
-                    core, mark = core[:-1], self.marks[core[-1:]]
-            elif len(w) > 1 and w[-1:] in self.marks and w[-2:-1].isalnum():
-                core, mark = w[:-1], self.marks[w[-1:]]
-            plan.append((w, core, mark))
-            if core not in cores and core not in fresh:
-                text = core.decode("utf-8", "replace")
-                if simple(text):
-                    fresh[core] = self._letters(text)
-                else:
-                    fresh[core] = b""
-                    other.append(core)
+            if m := simple(w.decode("utf-8", "replace")):
+                letters, mark = m.groups()
+                letters = letters.lower()
+                if not letters.isascii():
+                    letters = "".join([self.byte_marks[b] for b in letters.encode()])
+                out[w] = b"".join([raw[t.id] for t in tokenize(letters)]) + marks[mark]
+            else:
+                other.append(w)
         if other:
-            fresh.update(zip(other, self._joined(other), strict=True))
-        out = {w: (cores[c] if c in cores else fresh[c]) + m for w, c, m in plan}
-        if len(cores) < 2 * CACHED:
-            cores.update(fresh)
+            out.update(zip(other, self._joined(other), strict=True))
         return out
 
 
@@ -261,8 +247,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         model, task, at = tokenizer(tokenizer_path, end_id, path), TaskContext.get().partitionId(), [0] * n
         width = model.kind.itemsize
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 ids = model.encode(part.column(2).to_pylist())
                 queues, first = part.column(1).to_pylist(), []
                 for q, x in zip(queues, ids, strict=True):
