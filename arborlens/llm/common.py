@@ -27,9 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/arborlens-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/arborlens-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete what this driver has written to the shared folder; results that still read it must be saved first."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

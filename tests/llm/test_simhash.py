@@ -102,3 +102,12 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long").where(F.lit(True))
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, 90: 90, 95: 90, 100: 90, 200: 90}
+
+
+def test_written_tables_can_be_removed(spark):
+    from arborlens.llm import common
+
+    df = common.written(spark.createDataFrame([(1,)], "x long"), "test")
+    assert df.collect()[0].x == 1 and df.inputFiles()
+    common.remove_written(spark)
+    assert common._MADE == []
