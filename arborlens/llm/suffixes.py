@@ -204,33 +204,40 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     ready = texts.join(places, "tid").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid").sortWithinPartitions("tid").select("tid", "data", F.col("places.at").alias("at"), F.col("places.n").alias("n"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before, out, size = None, [], 0
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "sub", "back", "bytes", "tid", "starts"])
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                tid, data, known, counts = (batch.column(c)[k].as_py() for c in range(4))
-                if tid == before:
+            for tid, data, known, counts in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if (tid := tid.as_py()) == before:
                     continue
-                before, data = tid, zstandard.decompress(data)
-                wanted = dict(zip(known, counts, strict=True))
+                before, data = tid, zstandard.decompress(data.as_py())
+                wanted = dict(zip(known.as_py(), counts.as_py(), strict=True))
                 at, h, first, last = anchors(data, length, gram)
-                keep = np.isin(at, np.array(known, np.int64))
+                keep = np.isin(at, np.fromiter(wanted, np.int64, len(wanted)))
                 rows: dict[tuple, list[int]] = {}
                 for a, g, lo, hi in zip(at[keep].tolist(), h[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     if wanted[a] <= hot:
-                        rows.setdefault((g, a - lo, 0, data[lo : hi + length]), []).append(lo)
+                        rows.setdefault((g, 0, a - lo, data[lo : hi + length]), []).append(lo)
                         continue
                     # A hot k-gram's positions are dealt by their distance to it and by what their strings share.
                     for d in range((a - hi) // BLOCK, (a - lo) // BLOCK + 1):
                         p, q = max(lo, a - (d + 1) * BLOCK + 1), min(hi, a - d * BLOCK)
                         core = data[a - d * BLOCK : a - (d + 1) * BLOCK + 1 + length]
                         sub = int.from_bytes(hashlib.blake2b(core, digest_size=7).digest(), "big") + 1
-                        rows.setdefault((g, a - p, d * (1 << 56) + sub, data[p : q + length]), []).append(p)
-                if rows:
-                    keys = list(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in keys], pa.int64()), pa.array([r[2] for r in keys], pa.int64()), pa.array([r[1] for r in keys], pa.int32()), pa.array([r[3] for r in keys], pa.binary()), pa.array([tid] * len(keys), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int32()))],
-                        names=["gram", "sub", "back", "bytes", "tid", "starts"],
-                    )
+                        rows.setdefault((g, d * (1 << 56) + sub, a - p, data[p : q + length]), []).append(p)
+                out += [(*k, tid, v) for k, v in rows.items()]
+                size += sum(len(k[3]) for k in rows)
+                if size > 2 << 20:
+                    yield made()
+                    size = 0
+        if out:
+            yield made()
 
     cut = ready.mapInArrow(windows, "gram long, sub long, back int, bytes binary, tid long, starts array<int>")
     cut = written(cut.withColumn("wid", F.xxhash64("gram", "sub", "back", "bytes")), "windows")
@@ -242,7 +249,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         size, key = 0, None
         for batch in batches:
             for g, sub, wid, n, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if size > 1 << 20 and (g, sub) != key:
+                if size > 1 << 16 and (g, sub) != key:  # small texts stay in the processor's cache
                     yield from sorted_(held)
                     held, size = [], 0
                 key = (g, sub)
