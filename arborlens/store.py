@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .graph import CodeGraph
@@ -25,9 +27,19 @@ class GraphStore:
 
     def version(self) -> str | None:
         pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        for left in (4, 3, 2, 1, 0):
+            try:
+                if not self._fs.exists(pointer):
+                    return None
+                stream = self._fs.open(pointer)
+                try:
+                    return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+                finally:
+                    stream.close()
+            except Py4JJavaError:  # replaced while it was read: local file systems swap a file and its checksum one after the other
+                if not left:
+                    raise
+                time.sleep(0.2)
 
     def load(self) -> CodeGraph:
         v = self.version()
