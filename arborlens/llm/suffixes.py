@@ -10,7 +10,9 @@ merge the remaining suffixes - and compares the prefixes of adjacent suffixes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,6 +161,13 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return at, h[at], first, last
 
 
+def _release() -> None:
+    """Give memory that a finished task no longer uses back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _span_bytes(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans in order, those that touch as one."""
     out: list[list[int]] = []
@@ -186,14 +195,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tids, places, hashes = [], [], []
-            for tid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, h, _, _ = anchors(zstandard.decompress(data), length, gram)
-                tids.append(np.full(len(at), tid, np.int64))
-                places.append(at)
-                hashes.append(h.view(np.int64))
-            if tids and sum(map(len, tids)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(tids)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "tid", "at"])
+            for k in range(0, batch.num_rows, 1000):
+                part, tids, places, hashes = batch.slice(k, 1000), [], [], []
+                for tid, data in zip(part.column(0), part.column(1), strict=True):
+                    at, h, _, _ = anchors(zstandard.decompress(data.as_py()), length, gram)
+                    tids.append(np.full(len(at), tid.as_py(), np.int64))
+                    places.append(at.astype(np.int32))
+                    hashes.append(h.view(np.int64))
+                if sum(map(len, tids)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(tids)), pa.array(np.concatenate(places))], names=["gram", "tid", "at"])
+        _release()
 
     marks = written(texts.mapInArrow(emit_anchors, "gram long, tid long, at int"), "marks")
     place = F.xxhash64("tid", "at")
@@ -238,6 +249,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                     size = 0
         if out:
             yield made()
+        _release()
 
     cut = ready.mapInArrow(windows, "gram long, sub long, back int, bytes binary, tid long, starts array<int>")
     cut = written(cut.withColumn("wid", F.xxhash64("gram", "sub", "back", "bytes")), "windows")
@@ -257,6 +269,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 size += len(data)
         if held:
             yield from sorted_(held)
+        _release()
 
     def sorted_(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         wids, runs, several, single = [], [], {}, {r[:2] for r in held if r[3] == 1}
