@@ -28,28 +28,38 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, end, digest) of the shortest run from each sentence with enough sentences and words.
+    """(first sentence, end, digest) of the shortest runs from and up to each sentence with enough sentences and words.
 
-    Sentences compare lower-cased with white space as one space.  A text of fewer than ``run`` sentences is
-    one run if it has ``min_words`` words.
+    These cover what all runs cover: in a repeated run, a sentence with too little after it is in the shortest
+    run up to the last one.  Sentences compare lower-cased with white space as one space.  A text of fewer than
+    ``run`` sentences is one run if it has ``min_words`` words.
     """
     words = [s.lower().split() for s in sentences(text)]
     keys = [" ".join(w) for w in words]
     sums = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).tolist() if words else [0]
     n, j, need = len(words), 0, min(run, len(words))
+    digest = lambda i, j: xxhash.xxh3_128_digest(" ".join(keys[i:j]).encode("utf-8", "surrogatepass"))
+    ends = []
     for i in range(n):
         j = max(j, i + need)
         while j <= n and sums[min(j, n)] - sums[i] < min_words:
             j += 1
         if j > n:
             break
-        yield i, j, xxhash.xxh3_128_digest(" ".join(keys[i:j]).encode("utf-8", "surrogatepass"))
+        ends.append(j)
+        yield i, j, digest(i, j)
+    i = 0
+    for j in range(ends[0] if ends else n + 1, n + 1):
+        while i + 1 < len(ends) and ends[i + 1] <= j:
+            i += 1
+        if ends[i] != j:
+            yield i, j, digest(i, j)
 
 
 def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with sentences of repeated runs taken out, and ``_n_sentences``, ``_n_removed``.
 
-    Every run of consecutive sentences (see ``runs``) is hashed to 128 bits and joined over all documents;
+    Runs of consecutive sentences (see ``runs``) are hashed to 128 bits and joined over all documents;
     sentences covered by any repeated run but its first, by (id, position), are removed.  Null ids come
     last.  Rows with equal id and text are one document and keep the same sentences.  Null text stays null.
     Other columns pass through.

@@ -53,3 +53,38 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     out = s.drop_repeated_spans(spark.createDataFrame([], SCHEMA))
     assert out.collect() == [] and out.columns[:3] == ["doc_id", "text", "span"]
+
+
+def every_run(text):
+    """All runs of enough sentences and words, by themselves; not from ``runs``."""
+    keys = [" ".join(p.lower().split()) for p in s.sentences(text)]
+    sizes = [len(k.split()) for k in keys]
+    need = min(s.RUN, len(keys))
+    return [(a, b, " ".join(keys[a:b])) for a in range(len(keys)) for b in range(a + need, len(keys) + 1) if sum(sizes[a:b]) >= s.MIN_WORDS]
+
+
+def brute_all(docs):
+    """Sentences that stay of documents with ids 0, 1, ..."""
+    first = {}
+    for i, t in enumerate(docs):
+        for a, _, k in every_run(t):
+            first.setdefault(k, (i, a))
+    gone = [{x for a, b, k in every_run(t) if first[k] != (i, a) for x in range(a, b)} for i, t in enumerate(docs)]
+    return [("".join(p for k, p in enumerate(s.sentences(t)) if k not in g), len(g)) for t, g in zip(docs, gone, strict=True)]
+
+
+def test_passage_goes_to_its_last_sentence(spark):
+    words = lambda n, c: " ".join(f"{c}{k}" for k in range(n)) + ". "
+    passage = words(20, "a") + words(3, "b") + words(3, "c") + words(3, "d")
+    docs = [passage + words(30, "e"), words(30, "f") + passage + words(30, "g"), passage]
+    got = {r.doc_id: (r.text, r._n_removed) for r in s.drop_repeated_spans(spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], SCHEMA)).collect()}
+    assert got == {0: (docs[0], 0), 1: (words(30, "f") + words(30, "g"), 4), 2: ("", 4)}
+
+
+def test_covers_what_all_runs_cover(spark):
+    rng = random.Random(7)
+    sentence = lambda: " ".join("".join(rng.choices("abcd", k=4)) for _ in range(rng.choice([1, 2, 3, 4, 11, 13]))) + rng.choice([". ", "! ", ".\n"])
+    shared = ["".join(sentence() for _ in range(rng.randint(1, 9))) for _ in range(8)]
+    docs = ["".join(rng.choice(shared) if rng.random() < 0.4 else sentence() for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    got = {r.doc_id: (r.text, r._n_removed) for r in s.drop_repeated_spans(spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], SCHEMA).repartition(3)).collect()}
+    assert got == dict(enumerate(brute_all(docs)))
