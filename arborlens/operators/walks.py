@@ -44,14 +44,17 @@ def call_chain(graph: CodeGraph, target: str, depth: int = 3, mode: str = "count
 def cyclic_files(graph: CodeGraph, depth: int = 5) -> DataFrame:
     """(file_path) of every file on a closed walk of 1 to ``depth`` imports, once each.
 
-    The frontier holds each (start, file) once.  The distinct edges are kept, as every hop joins them.
+    The frontier holds each (start, file) once, and no start that has come back: one closed walk is enough.
+    The distinct edges and the frontiers are kept, as they are read more than once.
     """
     e = graph.labelled("IMPORTS", "File", "File").select("src", "dst").distinct().persist()
     front = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    found = front.where("start = node").select("start")
+    found = back = front.where("start = node").select("start")
     for _ in range(clamp(depth) - 1):
-        front = front.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        found = found.unionAll(front.where("start = node").select("start"))
+        open_ = front.join(back, "start", "left_anti")
+        front = open_.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().persist()
+        back = front.where("start = node").select("start")
+        found = found.unionAll(back)
     return found.distinct().withColumnRenamed("start", "file_path")
 
 
