@@ -1,4 +1,4 @@
-"""Report, JSON and HTML sinks; each collects a bounded result."""
+"""Report, JSON and HTML sinks."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from ..graph import CodeGraph
 from ..operators import health, lookup, walks
 from ..schema import CONFIG_DIR
 
-SHOWN = 200
-
 
 def rows_json(df: DataFrame, limit: int | None = None) -> str:
     """Indented JSON of a result; keys whose value is missing, zero or empty are left out of optional columns."""
@@ -24,15 +22,15 @@ def rows_json(df: DataFrame, limit: int | None = None) -> str:
     return json.dumps([{k: v for k, v in r.asDict(recursive=True).items() if v or k not in optional} for r in got], indent=2, ensure_ascii=False)
 
 
-def audit(graph: CodeGraph, rules: Sequence[tuple[str, str]] = (), dead_limit: int = SHOWN) -> dict:
-    """Hot spots, cycles, dead code (its first by name), metrics and their states."""
+def audit(graph: CodeGraph, rules: Sequence[tuple[str, str]] = ()) -> dict:
+    """Hot spots, cycles, all dead code, metrics and their states."""
     m = health.ai_metrics(graph, rules)
     as_rows = lambda df: [r.asDict() for r in df.collect()]
     return {
         "god_objects": as_rows(health.god_objects(graph)),
         "black_holes": as_rows(health.black_holes(graph)),
         "cycles": as_rows(walks.cycles(graph)),
-        "dead_code": as_rows(health.dead_code(graph).orderBy("file_path", "function_name").limit(dead_limit)),
+        "dead_code": as_rows(health.dead_code(graph).orderBy("file_path", "function_name")),
         "metrics": m.first().asDict(),
         "status": as_rows(health.metric_status(m)),
     }
