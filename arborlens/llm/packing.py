@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import zlib
@@ -215,17 +216,88 @@ class Schedule:
             at += size
 
 
+class ManyQueues(Schedule):
+    """The same for any number of queues, as a closed form whose size is the number of queues.
+
+    The stream of all tokens is a run of phases in which the shares stay; a phase ends when a queue runs out, so
+    with the default shares there is one.  In a phase, the queues are halved by weight again and again, and at
+    each halving the first x tokens hold round(x * left / all) of the left half: a count that never falls, and
+    any window is within a few tokens of its shares.  Custom shares that let queues run out one after another
+    make a phase, and a row of sums, for each.
+    """
+
+    def __init__(self, totals: list[int], shares: list[float] | None = None, window: int = WINDOW):
+        whole = np.array(totals, np.int64)
+        self.window, self.total = window, int(whole.sum())
+        self.windows = -(-self.total // window)
+        rest = self.total - (self.windows - 1) * window if self.windows else 0
+        self.tail = [window] if rest == window else [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        done, self.bases, self.sent, self.sums, self.paths = np.zeros_like(whole), [], [], [], {}
+        weight = None if shares is None else np.maximum(np.array(shares, np.float64), 1e-12)
+        for end in [np.inf] if weight is None else np.unique(whole / weight).tolist():
+            upto = whole if weight is None else np.where(whole / weight <= end, whole, np.maximum(np.minimum(weight * end, whole).astype(np.int64), done))
+            if (upto > done).any():
+                self.bases.append(int(done.sum()))
+                self.sent.append(np.concatenate([[0], np.cumsum(done)]))
+                self.sums.append(np.concatenate([[0], np.cumsum(upto - done)]))
+                done = upto
+
+    def _path(self, phase: int, queue: int) -> list[tuple[int, int, bool]]:
+        """(tokens of the left half, tokens, whether the queue is in the right half) of each halving."""
+        if (phase, queue) not in self.paths:
+            sums, path, a = self.sums[phase], [], 0
+            b = len(sums) - 1
+            while b - a > 1:
+                low, high = int(sums[a]), int(sums[b])
+                m = int(np.searchsorted(sums, (low + high) // 2))
+                m = min(max(m, a + 1), b - 1)
+                path.append((int(sums[m]) - low, high - low, queue >= m))
+                a, b = (m, b) if queue >= m else (a, m)
+            self.paths[phase, queue] = path
+        return self.paths[phase, queue]
+
+    def counts(self, queue: int, x: int) -> tuple[int, int]:
+        """Tokens of the queues before this one, and of this one, among the first x of the stream."""
+        k = bisect.bisect_right(self.bases, min(x, self.total - 1)) - 1
+        before, own, x = int(self.sent[k][queue]), int(self.sent[k][queue + 1] - self.sent[k][queue]), min(x, self.total) - self.bases[k]
+        for left, both, right in self._path(k, queue):
+            mine = (x * left + both // 2) // both if both else 0
+            before, x = (before + mine, x - mine) if right else (before, mine)
+        return before, own + x
+
+    def pieces(self, queue: int, first: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        done, w = 0, 0
+        upto = lambda w: self.counts(queue, w * self.window)[1]
+        while done < n:
+            x, step = first + done, 1
+            while w + step < self.windows and upto(w + step) <= x:
+                w, step = w + step, step * 2
+            end = min(w + step, self.windows)
+            while end - w > 1:
+                mid = (w + end) // 2
+                w, end = (mid, end) if upto(mid) <= x else (w, mid)
+            (b0, c0), (b1, c1) = self.counts(queue, w * self.window), self.counts(queue, (w + 1) * self.window)
+            length, offset = min(c1 - x, n - done), b1 - b0 + x - c0
+            if w < self.windows - 1:
+                yield done, length, w, offset
+            else:
+                yield from self._last(done, length, w, offset)
+            done += length
+
+
 def _queues(df: DataFrame, source_col: str, max_queues: int):
-    """Queue of a source: one each, or, of more than ``max_queues`` sources, a hash's."""
-    names = [r[0] for r in df.select(F.col(source_col).cast("string")).distinct().limit(max_queues + 1).collect()]
+    """Queue of a source, and the sources in order if there are more than ``max_queues``: those are numbered by task."""
+    sources = df.select(F.col(source_col).cast("string")).distinct()
+    names = [r[0] for r in sources.limit(max_queues + 1).collect()]
     if len(names) > max_queues:
-        return F.pmod(F.xxhash64(F.col(source_col).cast("string")), F.lit(max_queues)).cast("int"), max_queues
+        names = sorted((r[0] for r in sources.collect()), key=lambda x: (x is not None, x or ""))
+        return F.col(source_col).cast("string"), len(names), names
     names.sort(key=lambda x: (x is not None, x))
     out = F.lit(0)
     for k, name in enumerate(names):
         if name is not None:
             out = F.when(F.col(source_col).cast("string") == name, k).otherwise(out)
-    return out.cast("int"), max(1, len(names))
+    return out.cast("int"), max(1, len(names)), None
 
 
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: dict | None = None, window: int = WINDOW, end_id: int | None = END_ID, cycle: int = CYCLE, max_queues: int = MAX_QUEUES) -> DataFrame:
@@ -235,12 +307,13 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     every queue its share (by default the source's share of all tokens; ``shares`` maps sources to weights),
     see ``Schedule``.  Texts are cut where windows end; the last window is cut into powers of two, so there
     is no padding.  Null texts are empty and have ``end_id`` alone; null sources have a queue of their own;
-    repeated rows are packed each.  Over ``max_queues`` sources share queues by hash (``shares`` then is
-    refused).  Ids are written once to the shared folder with their place in the queue within the writing
+    repeated rows are packed each.  Over ``max_queues`` sources have a queue each too, see ``ManyQueues``;
+    their names and sums are on the driver.  Ids are written once to the shared folder with their place in the queue within the writing
     task; the queue's places follow from one sum for each task and queue.
     """
     spark = df.sparkSession
-    queue, n = _queues(df, source_col, max_queues)
+    queue, n, many = _queues(df, source_col, max_queues)
+    number = None if many is None else spark.sparkContext.broadcast({name: k for k, name in enumerate(many)})
     kind = df.schema[id_col].dataType
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +324,12 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(k, 512)
                 ids = model.encode(part.column(2).to_pylist())
                 queues, first = part.column(1).to_pylist(), []
+                if number is not None:
+                    queues = [number.value[q] for q in queues]
                 for q, x in zip(queues, ids, strict=True):
                     first.append(at[q])
                     at[q] += len(x) // width
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([task] * part.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "queue", "task", "first", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(queues, pa.int32()), pa.array([task] * part.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "queue", "task", "first", "n", "ids"])
 
     path = new_path(spark, "ids")
     fields = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("queue int, task int, first long, n long, ids binary").fields])
@@ -264,11 +339,10 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     weights = None
     if shares is not None:
-        if n == max_queues and len(totals) > len(shares):
-            raise ValueError("too many sources for shares by name")
-        names = {r.queue: r.s for r in df.select(queue.alias("queue"), F.col(source_col).cast("string").alias("s")).distinct().collect()}
+        names = dict(enumerate(many)) if many is not None else {r.queue: r.s for r in df.select(queue.alias("queue"), F.col(source_col).cast("string").alias("s")).distinct().collect()}
         weights = [float(shares.get(names.get(q), 0.0)) for q in range(n)]
-    plan = spark.sparkContext.broadcast(Schedule([totals.get(q, 0) for q in range(n)], weights, window, cycle))
+    sizes = [totals.get(q, 0) for q in range(n)]
+    plan = spark.sparkContext.broadcast(Schedule(sizes, weights, window, cycle) if many is None else ManyQueues(sizes, weights, window))
     # Written first, so that its size is known when the join is planned: a small one leaves the ids where they are.
     bases = written(sums.selectExpr("task", "queue", "sum(n) OVER (PARTITION BY queue ORDER BY task) - n AS base"), "bases")
 

@@ -105,3 +105,49 @@ def test_many_sources_and_empty(spark):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH, max_queues=8).collect()
     assert sum(r.length for r in got) == 400
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+@pytest.mark.parametrize("seed,weighted", [(0, False), (1, False), (2, True)])
+def test_many_queues_hold_their_shares(seed, weighted):
+    rng = random.Random(seed)
+    totals = [rng.choice([0, 1, 3, 50, 700, 9000]) for _ in range(150)] + [60000]
+    shares = [rng.choice([0, 1, 2, 9]) for _ in totals] if weighted else None
+    s = packing.ManyQueues(totals, shares, window=256)
+    used = defaultdict(list)
+    for q, n in enumerate(totals):
+        at = 0
+        while at < n:
+            m, seen = min(n - at, rng.randint(1, 700)), 0
+            for start, length, seq, off in s.pieces(q, at, m):
+                assert start == seen and length > 0
+                seen += length
+                used[seq].append((off, length, q))
+            assert seen == m
+            at += m
+    assert sorted(used) == list(range(len(used)))
+    for parts in used.values():
+        at = 0
+        for off, length, _ in sorted(parts):
+            assert off == at
+            at += length
+        assert at == 256 or at & (at - 1) == 0
+    for seq in range(s.windows - 1):
+        mine = defaultdict(int)
+        for _, length, q in used[seq]:
+            mine[q] += length
+        if not weighted:
+            assert all(abs(mine[q] - 256 * n / sum(totals)) <= 4 for q, n in enumerate(totals))
+
+
+def test_sources_sorted_by_file_hold_their_shares(spark):
+    rows = [(1000 * s + k, " ".join(["word"] * 40), f"s{s:03d}", None) for s in range(100) for k in range(9 if s else 200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    for shares in (None, {f"s{s:03d}": 1.0 if s else 30.0 for s in range(100)}):
+        got = packing.pack(df, PATH, shares=shares, window=1024).collect()
+        assert sum(r.length for r in got) == len(rows) * len(ids_of(rows[0][1]))
+        mine = defaultdict(lambda: defaultdict(int))
+        for r in got:
+            mine[r.sequence_id][r.doc_id // 1000] += r.length
+        part = {s: (200 if s == 0 else 9) if shares is None else shares[f"s{s:03d}"] for s in range(100)}
+        for seq in range(5):
+            assert all(abs(mine[seq][s] - 1024 * part[s] / sum(part.values())) <= 4 for s in range(100))
