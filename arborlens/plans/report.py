@@ -59,27 +59,31 @@ def markdown(graph: CodeGraph, root: str, rules: Sequence[tuple[str, str]] = (),
     return "\n".join(out)
 
 
-def graph_html(graph: CodeGraph, root: str, limit: int = 5000) -> str:
-    """Write a page with the graph's first nodes and their edges to the config folder; returns its path."""
-    nodes = [r.asDict() for r in lookup.export_nodes(graph).orderBy("group", "id").limit(limit).collect()]
-    ids = {n["id"] for n in nodes}
-    edges = [r.asDict() for r in lookup.export_edges(graph).limit(4 * limit).collect() if r["from"] in ids and r["to"] in ids]
-    data = json.dumps({"nodes": nodes, "edges": edges})
-    for c in "<>&\u2028\u2029":
-        data = data.replace(c, f"\\u{ord(c):04x}")
-    page = f"""<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(os.path.basename(root) or "graph")}</title></head><body>
+def graph_html(graph: CodeGraph, root: str) -> str:
+    """Write a page with the whole graph to the config folder, row by row; returns its path."""
+    path = os.path.join(root, CONFIG_DIR, "arborlens_graph.html")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write(f"""<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(os.path.basename(root) or "graph")}</title></head><body>
 <input id="q" placeholder="find"><div id="n"></div><script>
-const g = {data};
-const show = t => {{ const box = document.getElementById("n"); box.textContent = "";
-  for (const n of g.nodes.filter(n => n.label.toLowerCase().includes(t.toLowerCase())).slice(0, 300)) {{
+const g = """)
+        for head, df in (('{"nodes": [', lookup.export_nodes(graph).orderBy("group", "id")), ('], "edges": [', lookup.export_edges(graph).orderBy("from", "to", "label"))):
+            f.write(head)
+            for k, r in enumerate(df.toLocalIterator()):
+                data = json.dumps(r.asDict())
+                for c in "<>&\u2028\u2029":
+                    data = data.replace(c, f"\\u{ord(c):04x}")
+                f.write(f"{', ' if k else ''}{data}")
+        f.write("""]};
+const show = t => { const box = document.getElementById("n"); box.textContent = "";
+  const hits = g.nodes.filter(n => n.label.toLowerCase().includes(t.toLowerCase()));
+  if (hits.length > 300) box.textContent = "First 300 of " + hits.length + "; type more to narrow";
+  for (const n of hits.slice(0, 300)) {
     const d = document.createElement("details"), s = document.createElement("summary"), p = document.createElement("pre");
     s.textContent = n.group + " " + n.label;
     p.textContent = n.title + "\\n" + g.edges.filter(e => e.from === n.id || e.to === n.id).map(e => e.from + " " + e.label + " " + e.to).join("\\n");
-    d.append(s, p); box.append(d); }} }};
+    d.append(s, p); box.append(d); } };
 document.getElementById("q").oninput = e => show(e.target.value); show("");
-</script></body></html>"""
-    path = os.path.join(root, CONFIG_DIR, "arborlens_graph.html")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
+</script></body></html>""")
+    os.replace(f"{path}.part", path)
     return path

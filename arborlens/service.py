@@ -78,10 +78,11 @@ class Workspace:
 
     # The three payloads.
 
-    def graph_payload(self, limit: int = 5000) -> dict:
+    def graph_payload(self) -> dict:
+        """The whole graph, sorted, and its metrics."""
         g = self.open()
-        rows = lambda df: [r.asDict() for r in df.limit(limit).collect()]
-        return {"nodes": rows(lookup.export_nodes(g)), "edges": rows(lookup.export_edges(g)), "metrics": health.ai_metrics(g, boundary_rules(self.root)).first().asDict()}
+        rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).toLocalIterator()]
+        return {"nodes": rows(lookup.export_nodes(g), "group", "id"), "edges": rows(lookup.export_edges(g), "from", "to", "label"), "metrics": health.ai_metrics(g, boundary_rules(self.root)).first().asDict()}
 
     def diff_payload(self, ref: str) -> dict:
         """Changes of the stored graph against a git revision, as five sorted lists."""

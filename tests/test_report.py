@@ -1,7 +1,10 @@
 """The report and the page leave no row out."""
 
+import json
+
 from arborlens.graph import CodeGraph
 from arborlens.plans import report
+from arborlens.service import Workspace
 
 EDGE = "src string, src_type string, dst string, dst_type string, label string"
 
@@ -24,3 +27,15 @@ def test_every_unused_function_is_listed(spark):
     text = report.markdown(wide(spark, 500), "w", at="-")
     part = text.split("## 4.")[1].split("## 5.")[0]
     assert [line for line in part.splitlines() if line.startswith("| f")] == [f"| f{k:05d} | a.py |" for k in range(500) if k == 0 or k > 250]
+
+
+def test_page_and_payload_hold_the_whole_graph(spark, tmp_path, monkeypatch):
+    n = 12000
+    g = wide(spark, n)
+    text = open(report.graph_html(g, str(tmp_path)), encoding="utf-8").read()
+    data = json.loads(text.split("const g = ", 1)[1].split(";\nconst show", 1)[0])
+    w = Workspace(spark, str(tmp_path))
+    monkeypatch.setattr(w, "open", lambda: g)
+    for got in (data, w.graph_payload()):
+        assert len({r["id"] for r in got["nodes"]}) == len(got["nodes"]) == n + 1
+        assert len({(r["from"], r["to"], r["label"]) for r in got["edges"]}) == len(got["edges"]) == n + n // 2
