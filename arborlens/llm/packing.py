@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +19,22 @@ from pyspark.sql import types as T
 
 from .common import new_path, utf8, written
 
-WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED = 4096, 256, 64, 2, 1_000_000
+#: CACHED, PIECES: words and pieces of words remembered; TAKEN: bytes of text encoded at once (a longer text is taken alone).
+WINDOW, CYCLE, MAX_QUEUES, END_ID, CACHED, PIECES, TAKEN = 4096, 256, 64, 2, 300_000, 600_000, 4 << 20
 
 
-#: Letters up to U+00FF, which composition leaves as they are, and one closing mark at most.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Visible ASCII and letters up to U+00FF: composition leaves them as they are, and lower case is one letter for each.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+(?:\\n[!-~À-ÖØ-öø-ÿ]+)*")
+PROBE = "It's 1st-rate!! x|y &&& déjà VU...\t12 (A_b)\n\nwe'll ÉTÉ ñ"
 
 
 class WordTokenizer:
     """Token ids of UTF-8 texts as little-endian bytes, by a ``tokenizers`` file, through a cache of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words cut at
-    ASCII white space.  Words of plain letters, with or without a closing mark, go to the merge model in
-    lower case; others go through the whole tokenizer.  Texts that hold a special token's string go there whole.
+    Where the file says that white space is dropped and nothing joins across it, a text's ids are those of its
+    words cut at ASCII white space.  Words of plain characters are cut by the file's own pattern and their pieces
+    go to the merge model; others go through the whole tokenizer.  So do whole texts that hold a special token's
+    string, and all texts if the file is of another kind or a probe text comes out differently.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
@@ -38,61 +43,110 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {"\n": b""}
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         self.tokenize = self.model.model.tokenize
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = [b for b in range(256) if b not in plain]
         self.byte_marks = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
-        self.bar = np.frombuffer(self._plain([b"|"])[0], self.kind)[0]
-        self.marks = {"": b""} | {c: self._plain([c.encode()])[0] for c in ".,;:!?"}
         self.raw = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        with open(path, encoding="utf-8") as f:
+            self.pieces = self._pattern(json.load(f))
+        if self.pieces and b"".join(self._encode_words(PROBE.split())) != self._whole([PROBE])[0]:
+            self.pieces = None
 
-    def _plain(self, texts: list[bytes]) -> list[bytes]:
-        got = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    @staticmethod
+    def _pattern(file: dict):
+        """``findall`` of the pattern that cuts lower-cased words, if the file's steps are those described; else None."""
+        import regex
+
+        before, cut = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+        steps = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("content")) for x in before.get("normalizers", [])]
+        cuts = cut.get("pretokenizers", [])
+        if steps != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] or [x.get("type") for x in cuts] != ["Split", "ByteLevel"]:
+            return None
+        split, level = cuts
+        if (split["behavior"], split["invert"]) != ("Removed", True) or level["add_prefix_space"] or level["use_regex"] or file["model"]["type"] != "BPE" or file["model"].get("dropout"):
+            return None
+        pattern = regex.compile(split["pattern"].get("Regex", "()") + r"|\n")
+        return None if pattern.groups else pattern.findall
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        got = self.model.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
-    def _joined(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words without white space: encoded as one text, with bars between them to cut at."""
-        plain = [w for w in words if b"|" not in w]
-        ids = np.array(self.model.encode(b" | ".join(plain).decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
-        cuts = np.flatnonzero(ids == self.bar)
-        if len(plain) != len(words) or len(cuts) != len(plain) - 1:
-            return self._plain(words)
-        raw, size = ids.tobytes(), self.kind.itemsize
-        at = (cuts * size).tolist()
-        return [raw[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(raw)], strict=True)]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        # Every word is looked up once in the large cache; the texts then use a table that stays in the processor's cache.
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all UTF-8 texts, without nulls, one after another, each with the end id; where each text ends)."""
+        try:
+            texts = texts.cast(pa.string())
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+        alone = np.full(len(texts), self.pieces is None)
+        for s in self.special:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(alone).tolist()
+        own = [np.frombuffer(x, self.kind) for x in self._whole(texts.take(pa.array(whole, pa.int64())).to_pylist())]
+        words = pc.ascii_split_whitespace(pc.if_else(pa.array(alone), "", texts) if whole else texts)
+        table = words.flatten().dictionary_encode()
+        got = self._ids_of(table.dictionary.to_pylist())
+        flat, sizes, codes = np.frombuffer(b"".join(got), self.kind), np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize, table.indices.to_numpy()
+        first = np.cumsum(sizes) - sizes
+        many = sizes[codes]
+        ends = np.cumsum(many)
+        at = np.repeat(first[codes] - (ends - many), many)
+        at += np.arange(len(at))
+        ids = flat[at]
+        cuts = np.concatenate([[0], ends])[words.offsets.to_numpy()[1:]]
+        if whole:
+            parts = np.split(ids, cuts[:-1])
+            for k, x in zip(whole, own, strict=True):
+                parts[k] = x
+            ids, cuts = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        if self.end:
+            ids = np.insert(ids, cuts, np.frombuffer(self.end, self.kind)[0])
+            cuts = cuts + np.arange(1, len(cuts) + 1)
+        return ids, cuts
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
         known = self.words
-        words = set().union(*(w for w in split if w))
-        table = dict(zip(words, map(known.get, words), strict=True))
-        if missing := [w for w, ids in table.items() if ids is None]:
+        got = list(map(known.get, words))
+        if holes := [k for k, ids in enumerate(got) if ids is None]:
+            missing = [words[k] for k in holes]
             extra = self._encode_words(missing)
-            table.update(extra)
-            if (room := CACHED - len(known)) > 0:
-                known.update(list(extra.items())[:room])
-        get = table.__getitem__
-        return [b"".join(map(get, w)) + self.end if w is not None else self._plain([t])[0] + self.end for t, w in zip(texts, split, strict=True)]
-
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, other, simple, raw, marks, tokenize = {}, [], SIMPLE.fullmatch, self.raw, self.marks, self.tokenize
-        for w in words:
-            if m := simple(w.decode("utf-8", "replace")):
-                letters, mark = m.groups()
-                letters = letters.lower()
-                if not letters.isascii():
-                    letters = "".join([self.byte_marks[b] for b in letters.encode()])
-                out[w] = b"".join([raw[t.id] for t in tokenize(letters)]) + marks[mark]
-            else:
-                other.append(w)
-        if other:
-            out.update(zip(other, self._joined(other), strict=True))
-        return out
+            for k, ids in zip(holes, extra, strict=True):
+                got[k] = ids
+            room = max(0, CACHED - len(known))
+            known.update(zip(missing[:room], extra[:room], strict=True))
+        return got
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        text = "\n".join(words)
+        if not PLAIN.fullmatch(text):
+            plain, out = PLAIN.fullmatch, [b""] * len(words)
+            mine = [k for k, w in enumerate(words) if plain(w)]
+            rest = [k for k, w in enumerate(words) if w and not plain(w)]
+            for k, ids in [*zip(mine, self._encode_words([words[k] for k in mine]) if mine else [], strict=True), *zip(rest, self._whole([words[k] for k in rest]), strict=True)]:
+                out[k] = ids
+            return out
+        pieces = self.pieces(text.lower())
+        got = list(map(self.known_pieces.get, pieces))
+        for k in [k for k, ids in enumerate(got) if ids is None]:
+            got[k] = self.known_pieces.get(pieces[k]) or self._piece(pieces[k])
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        cuts = ends[[k for k, p in enumerate(pieces) if p == "\n"]].tolist()
+        raw = b"".join(got)
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)]
+
+    def _piece(self, piece: str) -> bytes:
+        raw = self.raw
+        marked = piece if piece.isascii() else "".join([self.byte_marks[b] for b in piece.encode()])
+        ids = b"".join([raw[t.id] for t in self.tokenize(marked)])
+        if len(self.known_pieces) < PIECES:
+            self.known_pieces[piece] = ids
+        return ids
 
 
 _TOKENIZERS: dict = {}
@@ -318,18 +372,23 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, task, at = tokenizer(tokenizer_path, end_id, path), TaskContext.get().partitionId(), [0] * n
-        width = model.kind.itemsize
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = model.encode(part.column(2).to_pylist())
-                queues, first = part.column(1).to_pylist(), []
+            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            k = 0
+            while k < batch.num_rows:
+                end = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + TAKEN, side="right")))
+                part = batch.slice(k, end - k)
+                ids, cuts = model.encode(part.column(2))
+                queues, first, lengths = part.column(1).to_pylist(), [], np.diff(cuts, prepend=0)
                 if number is not None:
                     queues = [number.value[q] for q in queues]
-                for q, x in zip(queues, ids, strict=True):
+                for q, x in zip(queues, lengths.tolist(), strict=True):
                     first.append(at[q])
-                    at[q] += len(x) // width
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(queues, pa.int32()), pa.array([task] * part.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "queue", "task", "first", "n", "ids"])
+                    at[q] += x
+                places = pa.array(np.concatenate([[0], cuts]) * model.kind.itemsize, pa.int64())
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, places.buffers()[1], pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(queues, pa.int32()), pa.array([task] * part.num_rows, pa.int32()), pa.array(first, pa.int64()), pa.array(lengths, pa.int64()), data], names=["id", "queue", "task", "first", "n", "ids"])
+                k = end
 
     path = new_path(spark, "ids")
     fields = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("queue int, task int, first long, n long, ids binary").fields])

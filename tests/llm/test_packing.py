@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arborlens.llm import packing
@@ -27,8 +29,28 @@ def test_word_cache_is_exact():
     texts = [t or "" for t in HARD] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(1500)]
     model = packing.WordTokenizer(PATH)
     for _ in range(2):
-        got = [np.frombuffer(b, model.kind).tolist() for b in model.encode([t.encode() for t in texts])]
-        assert got == [ids_of_fast(t) for t in texts]
+        ids, ends = model.encode(pa.array([t.encode() for t in texts]))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [ids_of_fast(t) for t in texts]
+
+
+@pytest.mark.parametrize("change", [lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"[\s\S]+"), lambda d: d.update(normalizer=None)])
+def test_other_tokenizer_files_are_read(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    change(file)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    whole, model = Tokenizer.from_file(str(path)), packing.WordTokenizer(str(path))
+    texts = [t or "" for t in HARD]
+    ids, ends = model.encode(pa.array([t.encode() for t in texts]))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_bytes_that_are_not_utf8():
+    ids, ends = packing.WordTokenizer(PATH).encode(pa.array([b"good \xff bad", b""], pa.binary()))
+    assert ids.tolist() == [*ids_of_fast("good \ufffd bad"), 2] and ends.tolist() == [len(ids) - 1, len(ids)]
 
 
 _MODEL = []
