@@ -67,6 +67,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str):
+    """Column names that ``df`` does not have in any letter case: the given ones, with underscores before them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out[0] if len(out) == 1 else out
+
+
 def utf8(col) -> F.Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")
