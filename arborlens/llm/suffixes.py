@@ -10,9 +10,7 @@ merge the remaining suffixes - and compares the prefixes of adjacent suffixes.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +23,8 @@ from pyspark.sql.types import BinaryType
 
 from .common import spread, utf8, written
 
-LENGTH, GRAM, HOT, BLOCK = 200, 32, 4000, 17
+#: HOT: occurrences of a k-gram beyond which its positions are dealt again; one task sorts at most as many windows of under 2 * LENGTH bytes at once.
+LENGTH, GRAM, HOT, BLOCK = 200, 32, 800, 17
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,27 +144,21 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     if n < length:
         none = np.empty(0, np.int64)
         return none, none.astype(np.uint64), none, none
-    h, chosen, step = gram_hashes(data, gram), [], 1 << 19
+    chosen, grams, step = [], [], 1 << 17
     for a in range(0, n - length + 1, step):
-        part = h[a : a + step + w - 1]
+        part = gram_hashes(data[a : a + step + length - 1], gram)
         count = len(part) - w + 1
         key = (part & ~np.uint64(0xFFFFF)) | np.arange(len(part), dtype=np.uint64)
         block = np.concatenate([key, np.full(-len(key) % w, ~np.uint64(0))]).reshape(-1, w)
         ahead = np.minimum.accumulate(block, axis=1).ravel()
         behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        chosen.append((np.minimum(behind[:count], ahead[w - 1 : w - 1 + count]) & np.uint64(0xFFFFF)).astype(np.int64) + a)
-    chosen = np.concatenate(chosen)
+        at = (np.minimum(behind[:count], ahead[w - 1 : w - 1 + count]) & np.uint64(0xFFFFF)).astype(np.int64)
+        chosen.append(at + a)
+        grams.append(part[at])
+    chosen, grams = np.concatenate(chosen), np.concatenate(grams)
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
-    at = chosen[first]
-    return at, h[at], first, last
-
-
-def _release() -> None:
-    """Give memory that a finished task no longer uses back to the system: Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    return chosen[first], grams[first], first, last
 
 
 def _span_bytes(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,7 +180,7 @@ def packed(data: pd.Series) -> pd.Series:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``texts`` (tid long, data binary: see ``packed``; equal tids mean equal data) -> ``(tid, hits)``.
+    """``texts`` (tid, tie long, data binary; equal pairs mean equal data) -> ``(tid, tie, hits)``.
 
     Each hit has the start of a window and, from there, the runs [from, to) of positions at which a repeated
     string starts; texts without any have no row.  Copies of a text count as other places.
@@ -196,38 +189,37 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                part, tids, places, hashes = batch.slice(k, 1000), [], [], []
-                for tid, data in zip(part.column(0), part.column(1), strict=True):
-                    at, h, _, _ = anchors(zstandard.decompress(data.as_py()), length, gram)
-                    tids.append(np.full(len(at), tid.as_py(), np.int64))
+                part, places, hashes = batch.slice(k, 1000), [], []
+                for data in part.column(2):
+                    at, h, _, _ = anchors(data.as_py(), length, gram)
                     places.append(at.astype(np.int32))
                     hashes.append(h.view(np.int64))
-                if sum(map(len, tids)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(tids)), pa.array(np.concatenate(places))], names=["gram", "tid", "at"])
-        _release()
+                if sum(map(len, places)):
+                    rows = pa.array(np.repeat(np.arange(len(places)), list(map(len, places))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(places))], names=["gram", "tid", "tie", "at"])
 
-    marks = written(texts.mapInArrow(emit_anchors, "gram long, tid long, at int"), "marks")
-    place = F.xxhash64("tid", "at")
+    marks = written(texts.mapInArrow(emit_anchors, "gram long, tid long, tie long, at int"), "marks")
+    place = F.xxhash64("tid", "tie", "at")
     often = marks.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1")
     often = written(often.select("gram", "n", (F.col("a") == F.col("b")).alias("alone")), "often")
     # A k-gram at one place of one text only, but of several copies of it, needs no sorting: those texts go whole.
-    places = marks.join(often.where("not alone"), "gram").groupBy("tid").agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    ready = texts.join(places, "tid").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid").sortWithinPartitions("tid").select("tid", "data", F.col("places.at").alias("at"), F.col("places.n").alias("n"))
+    places = marks.join(often.where("not alone"), "gram").groupBy("tid", "tie").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    ready = spread(texts.select("tid", "tie", packed("data").alias("data")).join(places, ["tid", "tie"]), "tid", "tie").sortWithinPartitions("tid", "tie").select("tid", "tie", "data", F.col("places.at").alias("at"), F.col("places.n").alias("n"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out, size = None, [], 0
 
         def made() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["gram", "sub", "back", "bytes", "tid", "starts"])
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "sub", "back", "bytes", "tid", "tie", "starts"])
 
         for batch in batches:
-            for tid, data, known, counts in zip(*(batch.column(c) for c in range(4)), strict=True):
-                if (tid := tid.as_py()) == before:
+            for tid, tie, data, known, counts in zip(*(batch.column(c) for c in range(5)), strict=True):
+                if (key := (tid.as_py(), tie.as_py())) == before:
                     continue
-                before, data = tid, zstandard.decompress(data.as_py())
+                before, data = key, zstandard.decompress(data.as_py())
                 wanted = dict(zip(known.as_py(), counts.as_py(), strict=True))
                 at, h, first, last = anchors(data, length, gram)
                 keep = np.isin(at, np.fromiter(wanted, np.int64, len(wanted)))
@@ -242,17 +234,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                         core = data[a - d * BLOCK : a - (d + 1) * BLOCK + 1 + length]
                         sub = int.from_bytes(hashlib.blake2b(core, digest_size=7).digest(), "big") + 1
                         rows.setdefault((g, d * (1 << 56) + sub, a - p, data[p : q + length]), []).append(p)
-                out += [(*k, tid, v) for k, v in rows.items()]
+                out += [(*k, *key, v) for k, v in rows.items()]
                 size += sum(len(k[3]) for k in rows)
                 if size > 2 << 20:
                     yield made()
                     size = 0
         if out:
             yield made()
-        _release()
 
-    cut = ready.mapInArrow(windows, "gram long, sub long, back int, bytes binary, tid long, starts array<int>")
-    cut = written(cut.withColumn("wid", F.xxhash64("gram", "sub", "back", "bytes")), "windows")
+    cut = ready.mapInArrow(windows, "gram long, sub long, back int, bytes binary, tid long, tie long, starts array<int>")
+    cut = written(cut.withColumn("wid", F.xxhash64("back", "bytes")), "windows")  # of one k-gram; joined by all three keys
     # Equal windows are one part, of which one copy is sorted.
     parts = cut.groupBy("gram", "sub", "wid").agg(F.sum(F.size("starts")).alias("n"), F.first("bytes").alias("bytes"))
 
@@ -269,44 +260,43 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 size += len(data)
         if held:
             yield from sorted_(held)
-        _release()
 
     def sorted_(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        wids, runs, several, single = [], [], {}, {r[:2] for r in held if r[3] == 1}
+        keys, runs, several, single = [], [], {}, {r[:2] for r in held if r[3] == 1}
         for row in held:
             several[row[:2]] = several.get(row[:2], 0) + 1
         open_ = [r for r in held if several[r[:2]] > 1 and r[:2] in single]
         for r in held:
             if r[3] > 1:  # every string of a repeated window is repeated
-                wids.append(r[2])
+                keys.append(r[:3])
                 runs.append([0, len(r[4]) - length + 1])
         if open_:
             for r, hit in zip(open_, repeated_starts([r[4] for r in open_], length), strict=True):
                 if r[3] == 1 and hit.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
-                    wids.append(r[2])
+                    keys.append(r[:3])
                     runs.append(edges)
-        if wids:
-            yield pa.RecordBatch.from_arrays([pa.array(wids, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["wid", "runs"])
+        if keys:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), pa.array(runs, pa.list_(pa.int32()))], names=["gram", "sub", "wid", "runs"])
 
-    found = written(spread(parts, "gram", "sub").sortWithinPartitions("gram", "sub").select("gram", "sub", "wid", "n", "bytes").mapInArrow(solve, "wid long, runs array<int>"), "found")
-    hits = cut.select("wid", "tid", "starts").join(found, "wid").select("tid", F.explode("starts").alias("start"), "runs")
-    return hits.groupBy("tid").agg(F.collect_list(F.struct("start", "runs")).alias("hits"))
+    found = written(spread(parts, "gram", "sub").sortWithinPartitions("gram", "sub").select("gram", "sub", "wid", "n", "bytes").mapInArrow(solve, "gram long, sub long, wid long, runs array<int>"), "found")
+    hits = cut.select("gram", "sub", "wid", "tid", "tie", "starts").join(found, ["gram", "sub", "wid"]).select("tid", "tie", F.explode("starts").alias("start"), "runs")
+    return hits.groupBy("tid", "tie").agg(F.collect_list(F.struct("start", "runs")).alias("hits"))
 
 
 def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(<id_col>, n_bytes, n_removed, n_spans, kept)`` of every row; ``kept`` are the remaining bytes.
 
     Null text counts as empty; texts under ``length`` bytes keep everything; equal texts of ``length`` bytes
-    or more (repeated rows too) all go whole.
+    or more (repeated rows too) all go whole.  Texts are told apart by 128 bits of hashes.  Other columns are
+    not read.
     """
-    rows = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("data")).withColumns({"tid": F.xxhash64("data"), "size": F.octet_length("data")})
-    rows = rows.select("_id", "tid", "size", packed("data").alias("data"))
-    long_ = rows.where(F.col("size") >= length).select("tid", "data")
-    copies = long_.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
+    rows = df.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("data")).withColumns({"tid": F.xxhash64("data"), "tie": F.xxhash64(F.lit(1), "data"), "size": F.octet_length("data")})
+    long_ = rows.where(F.col("size") >= length).select("tid", "tie", "data")
+    copies = long_.groupBy("tid", "tie").agg(F.count("*").alias("n")).where("n > 1").select("tid", "tie", F.lit(True).alias("whole"))
     marks = repeated_spans(long_, length, gram, hot)
-    known = marks.join(copies, "tid", "full_outer").select("tid", "hits", F.coalesce("whole", F.lit(False)).alias("whole"))
-    ready = rows.join(known, "tid", "left").select("_id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("hits.start").alias("starts"), F.col("hits.runs").alias("runs"))
+    known = marks.join(copies, ["tid", "tie"], "full_outer").select("tid", "tie", "hits", F.coalesce("whole", F.lit(False)).alias("whole"))
+    ready = rows.withColumn("data", packed("data")).join(known, ["tid", "tie"], "left").select("id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("hits.start").alias("starts"), F.col("hits.runs").alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
