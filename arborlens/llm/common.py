@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Where it is unset (tests on one machine) a temporary folder is
-    chosen and set, so that ``checkpoint()`` and written tables use the same place.
+    ``spark.checkpoint.dir`` names it.  Where it is unset, a temporary folder is chosen and set if all tasks
+    run on this machine (a local master, as in tests); on a cluster that is an error, since executors would
+    write to disks of their own.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             path = current.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="arborlens-")
             sc.setCheckpointDir(path)
@@ -79,6 +82,11 @@ def fresh(df: DataFrame, *names: str):
     return out[0] if len(out) == 1 else out
 
 
+def column(name: str) -> F.Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def utf8(col) -> F.Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread, utf8, written
+from .common import column, fresh, spread, utf8, written
 from .components import connected_components
 
 SEED = 42
@@ -186,20 +186,19 @@ def links(words: DataFrame, col: str, radius: int = 4, block: int = 8192) -> Dat
             yield from solve(*held)
 
     keyed = spread(words.select(F.col(col).cast("long").alias("word")), "word").mapInArrow(emit, "key long, word long, probe boolean")
-    # Own words of a bucket are cut into blocks by a hash; a hot bucket's rows go to every pair of blocks they take part in.
-    sizes = words.select(F.col(col).cast("long").alias("word")).mapInArrow(_own_keys(ring), "key long").groupBy("key").count().where(F.col("count") > block)
-    hot = written(sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("n")), "hot")
+    # A hot bucket's own words are cut into n blocks by a hash and all its rows into m; block pairs are tasks of their own.
+    sizes = written(words.select(F.col(col).cast("long").alias("word")).mapInArrow(_own_keys(ring), "key long").groupBy("key").count().where(F.col("count") > block // 16), "sizes")
+    # What a bucket is probed with are own words of buckets with one bit less; those of small ones are under a block together.
+    probed = sizes.mapInArrow(_raised(ring), "key long, count long").groupBy("key").agg(F.sum("count").alias("probes"))
+    many = sizes.withColumnRenamed("count", "own").join(probed, "key", "full_outer").select("key", F.coalesce("own", F.lit(1)).alias("own"), (F.coalesce("own", F.lit(0)) + F.coalesce("probes", F.lit(0))).alias("all"))
+    hot = written(many.where(F.col("all") > block).select("key", F.ceil(F.col("own") / block).cast("int").alias("n"), F.ceil(F.col("all") / block).cast("int").alias("m")), "hot")
     if not hot.isEmpty():
-        turn = F.pmod(F.xxhash64("word"), F.col("n")).cast("int")
-        keyed = (
-            keyed.join(hot, "key", "left")
-            .withColumn("n", F.coalesce("n", F.lit(1)))
-            .withColumn("t", turn)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            # part t * n + o holds the own words of block t and, of both kinds, the words of block o
-            .withColumn("part", F.explode(F.when(F.col("probe"), F.array(F.col("other") * F.col("n") + F.col("t"))).otherwise(F.array_distinct(F.array(F.col("other") * F.col("n") + F.col("t"), F.col("t") * F.col("n") + F.col("other"))))))
-            .select("key", "word", "probe", F.col("part").cast("int"))
-        )
+        n, m = F.coalesce("n", F.lit(1)), F.coalesce("m", F.lit(1))
+        turn = lambda x: F.pmod(F.xxhash64("word"), x).cast("int")
+        # part t * m + o holds the own words of block t of n and all words of block o of m
+        as_other = F.transform(F.sequence(F.lit(0), n - 1), lambda t: (t * m + turn(m)).cast("int"))
+        as_own = F.transform(F.sequence(F.lit(0), m - 1), lambda o: (turn(n) * m + o).cast("int"))
+        keyed = keyed.join(hot, "key", "left").select("key", "word", "probe", F.explode(F.when(F.col("probe"), as_other).otherwise(F.array_union(as_own, as_other))).alias("part"))
     else:
         keyed = keyed.withColumn("part", F.lit(0))
     dealt = spread(keyed, "key", "part").sortWithinPartitions("key", "part")
@@ -217,6 +216,21 @@ def _own_keys(ring: Pigeonring):
     return emit
 
 
+def _raised(ring: Pigeonring):
+    """The buckets that a bucket's words are probed in, with its size: an upper bound of the probes from it."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            count = batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(len(ring.low)):
+                for k in range(ring.width[(i + 1) % len(ring.low)]):
+                    here = (key >> np.uint64(58) == i) & ((key >> np.uint64(k)) & np.uint64(1) == 0)
+                    yield pa.RecordBatch.from_arrays([pa.array((key[here] | np.uint64(1 << k)).view(np.int64)), pa.array(count[here])], names=["key", "count"])
+
+    return emit
+
+
 def _components(fps: DataFrame, radius: int) -> DataFrame:
     """``(fp, root)`` of every fingerprint in ``fps``; the root stands for its component."""
     words = fps.select("fp").distinct()
@@ -230,7 +244,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are near duplicates if their SimHash fingerprints over ``width``-word shingles differ in at most
     ``radius`` bits; ``component_id`` is the smallest id that links reach.  Null text counts as empty;
     empty texts have fingerprint zero and link like any other.  Rows with a null id take part and get the
-    smallest id of their component (null if there is none).  Repeated rows are all returned.
+    smallest id of their component (null if there is none).  Repeated rows are all returned; an empty table
+    gives an empty result; other columns are not read.
     """
     fps = written(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fps")
     low = fps.groupBy("fp").agg(F.min("id").alias("id"))
@@ -242,12 +257,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """``df`` with one row of each component: that with the smallest id, of equal ids by a hash of the text.
 
-    A null id comes after all others; of rows with equal id and text one stays.  Columns are those of ``df``.
+    A null id comes after all others; of rows with equal id and text one stays.  Null text counts as empty and
+    is near other empty texts; an empty table stays empty.  Columns are those of ``df``, whatever their names.
     """
-    key = {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
-    fps = written(df.select(*[c.alias(n) for n, c in key.items()], fingerprint_column(F.col(text_col), width).alias("fp")), "fps")
-    low = fps.groupBy("fp").agg(F.min(F.struct("_id", "_h")).alias("k"))
-    first = low.join(_components(fps, radius), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
-    kept = df.withColumns(key).join(written(first, "first"), ["_id", "_h"])
-    once = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*df.columns)
+    a, b, n = fresh(df, "key_id", "key_h", "key_n")  # the input's columns keep their names and values
+    key = {a: F.coalesce(column(id_col).cast("long"), F.lit((1 << 63) - 1)), b: F.xxhash64(F.coalesce(column(text_col), F.lit("")))}
+    fps = written(df.select(key[a].alias("a"), key[b].alias("b"), fingerprint_column(column(text_col), width).alias("fp")), "fps")
+    low = fps.groupBy("fp").agg(F.min(F.struct("a", "b")).alias("k"))
+    first = low.join(_components(fps, radius), "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.a").alias(a), F.col("k.b").alias(b))
+    kept = df.withColumns(key).join(written(first, "first"), [a, b])
+    once = Window.partitionBy(a, b).orderBy(F.lit(0))
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*map(column, df.columns))

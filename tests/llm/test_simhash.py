@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from arborlens.llm.components import connected_components
-from arborlens.llm.simhash import keep_first, links, near_duplicates
+from arborlens.llm.simhash import Pigeonring, keep_first, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, word string"
 
@@ -111,3 +112,24 @@ def test_written_tables_can_be_removed(spark):
     assert df.collect()[0].x == 1 and df.inputFiles()
     common.remove_written(spark)
     assert common._MADE == []
+
+
+def test_bucket_probed_by_many_words_is_cut(spark):
+    """Few own words beside a hot bucket: the hot one's probes are cut into blocks too, and no link is lost."""
+    ring = Pigeonring(4)
+    rng = np.random.default_rng(5)
+    high = np.uint64(1) << np.uint64(30)
+    hot = np.unique((rng.integers(0, 1 << 20, 3000, np.uint64) << np.uint64(44)))  # equal low segments: one bucket of own words
+    near = hot[:40] | np.uint64(1 << (ring.low[1]))  # the bucket with one bit more
+    words = np.unique(np.concatenate([hot, near, rng.integers(0, 1 << 62, 200, np.uint64) | high])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in words], "w long")
+    roots = {}
+    for block in (8192, 100):
+        found = connected_components(links(df, "w", block=block)).collect()
+        roots[block] = {r.node: r.component for r in found}
+    assert roots[8192] == roots[100] and len(roots[100]) > 40
+    u = words.view(np.uint64)
+    apart = np.bitwise_count(u[:, None] ^ u[None, :])
+    for a, b in zip(*np.nonzero((apart <= 4) & (apart > 0))):
+        assert roots[100][int(words[a])] == roots[100][int(words[b])]
+    assert all(int(words[k]) in roots[100] for k in np.flatnonzero(((apart <= 4) & (apart > 0)).any(axis=1)))
