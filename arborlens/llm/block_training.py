@@ -178,7 +178,7 @@ def labelled(pages: list[str]) -> list[tuple[tuple, np.ndarray]]:
             marks = {c for c in text if c in "\ue000\ue001"}
             text = " ".join(text.replace("\ue000", "").replace("\ue001", "").split())
             if text:
-                blocks.append((text, path, min(linked, len(text)), tag))
+                blocks.append((text, tuple(path), min(linked, len(text)), tag))
                 y.append(float(marks == {"\ue001"}))
         if blocks:
             out.append((features.page(blocks), np.array(y, np.float32)))

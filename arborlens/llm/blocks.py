@@ -6,6 +6,7 @@ import html
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, fresh
+
 WEIGHTS = os.path.join(os.path.dirname(__file__), "block_weights.npz")
 TAGS, WORDS, TAG_DIM, WORD_DIM, NUMBERS, HIDDEN = 1024, 2048, 16, 8, 8, 24
 
 # Element kinds of the HTML standard.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-SILENT = frozenset("head template noscript svg math object canvas audio video select datalist".split())
+SILENT = frozenset("head template noscript svg canvas audio video select datalist".split())
 BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
-SCOPES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dd": ("dd dt", frozenset(("dl",))), "dt": ("dd dt", frozenset(("dl",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "tr": ("tr", frozenset(("table",))), "option": ("option", frozenset(("select",)))}
+KEEPS_P = ("table", "td", "th", "button", "caption")
+SCOPES = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*>""", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -34,8 +38,55 @@ def bucket(kind: str, name: str, n: int) -> int:
     return zlib.crc32(f"{kind}:{name}".encode("utf-8", "surrogatepass")) % n
 
 
+class Path:
+    """The open elements of a block, as a link to the parent's path: iterates over all buckets, from the root on."""
+
+    __slots__ = ("parent", "tag", "own", "size")
+
+    def __init__(self, parent: Path | None, tag: str, own: tuple[int, ...]):
+        self.parent, self.tag, self.own = parent, tag, own
+        self.size = len(own) + (parent.size if parent else 0)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[int]:
+        chain, node = [], self
+        while node is not None:
+            chain.append(node.own)
+            node = node.parent
+        return (b for own in reversed(chain) for b in own)
+
+
+ROOT = Path(None, "", ())
+
+
+def path_sums(table: np.ndarray, paths: list) -> np.ndarray:
+    """The sum of the table's rows over each path; what paths share is added once."""
+    known, single, out = {}, {(): np.zeros(table.shape[1], np.float32)}, np.zeros((len(paths), table.shape[1]), np.float32)
+    for k, path in enumerate(paths):
+        if not isinstance(path, Path):
+            if len(path):
+                out[k] = table[np.asarray(path)].sum(axis=0)
+            continue
+        chain, node = [], path
+        while node is not None and id(node) not in known:
+            chain.append(node)
+            node = node.parent
+        total = known[id(node)] if node is not None else single[()]
+        for node in reversed(chain):
+            if node.own not in single:
+                single[node.own] = table[list(node.own)].sum(axis=0)
+            total = known[id(node)] = total + single[node.own]
+        out[k] = total
+    return out
+
+
 class Parser:
-    """Cuts a page into leaf blocks: (text, buckets of the tag path, characters inside links, innermost tag)."""
+    """Cuts a page into leaf blocks: (text, buckets of the tag path, characters inside links, innermost tag).
+
+    Time and memory are linear in the page, however deep its elements are nested and whatever is left open.
+    """
 
     def __init__(self):
         self.elements: dict[tuple[str, str], tuple[int, ...]] = {}
@@ -53,10 +104,12 @@ class Parser:
                 self.elements[key] = got
         return got
 
-    def blocks(self, page: str) -> list[tuple[str, tuple[int, ...], int, str]]:
+    def blocks(self, page: str) -> list[tuple[str, Path, int, str]]:
         out, buffer, linked, in_link, silent = [], [], 0, False, 0
-        stack: list[tuple[str, tuple[int, ...]]] = []
+        stack: list[Path] = []
+        places: dict[str, list[int]] = defaultdict(list)  # where the stack has an element
         at, n = 0, len(page)
+        closed = page.rfind(">") + 1  # no tag ends after it
 
         def take(raw: str) -> None:
             nonlocal linked
@@ -72,25 +125,33 @@ class Parser:
             if buffer:
                 text = " ".join("".join(buffer).split())
                 if text:
-                    out.append((text, tuple(b for _, names in stack for b in names), min(linked, len(text)), stack[-1][0] if stack else ""))
+                    path = stack[-1] if stack else ROOT
+                    out.append((text, path, min(linked, len(text)), path.tag))
                 buffer.clear()
             linked = 0
 
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places[t]), default=-1)
+
         def pop_to(k: int) -> None:
             nonlocal silent
-            for tag, _ in stack[k:]:
+            while len(stack) > k:
+                tag = stack.pop().tag
+                places[tag].pop()
                 silent -= tag in SILENT
-            del stack[k:]
 
         while at < n:
-            m = TOKEN.search(page, at)
+            m = TOKEN.search(page, at, closed) if at < closed else None
             if not m:
-                take(page[at:])
+                rest = page[at:]
+                take(rest[: rest.find("<!--")] if "<!--" in rest else rest)
                 break
             take(page[at : m.start()])
             at = m.end()
             tag = m[2]
             if tag is None:
+                if at == closed and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    break  # a comment that does not end
                 continue
             tag = tag.lower()
             if m[1]:
@@ -99,10 +160,8 @@ class Parser:
                 elif tag in BLOCK or tag in SILENT:
                     flush()
                     in_link = False
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            pop_to(k)
-                            break
+                    if places[tag]:
+                        pop_to(places[tag][-1])
             elif tag in RAW:
                 end = self.ends.setdefault(tag, re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I)).search(page, at)
                 at = end.end() if end else n
@@ -113,26 +172,20 @@ class Parser:
             elif tag in BLOCK or tag in SILENT:
                 flush()
                 in_link = False
-                if tag in CLOSES_P:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            pop_to(k)
-                            break
-                        if stack[k][0] in ("table", "td", "th", "button", "caption"):
-                            break
+                if tag in CLOSES_P and (k := last(("p",))) > last(KEEPS_P):
+                    pop_to(k)
                 if tag in SCOPES:
                     closes, stops = SCOPES[tag]
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in closes.split():
-                            pop_to(k)
-                            break
-                        if stack[k][0] in stops:
-                            break
-                if tag == "body":
-                    pop_to(next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack)))
-                if tag not in VOID and not (m[3].endswith("/") and tag in ("svg",)):
-                    stack.append((tag, self.element(tag, m[3])))
+                    if (k := last(closes)) > last(stops):
+                        pop_to(k)
+                if tag == "body" and places["head"]:
+                    pop_to(places["head"][0])
+                if tag not in VOID:
+                    places[tag].append(len(stack))
+                    stack.append(Path(stack[-1] if stack else ROOT, tag, self.element(tag, m[3])))
                     silent += tag in SILENT
+                    if tag == "svg" and m[3].endswith("/"):
+                        pop_to(len(stack) - 1)
         flush()
         return out
 
@@ -167,14 +220,14 @@ class Features:
         return words, paths, numbers
 
 
-def _mean(table: np.ndarray, lists: list, mean: bool) -> np.ndarray:
+def _mean(table: np.ndarray, lists: list) -> np.ndarray:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     out = np.zeros((len(lists), table.shape[1]), np.float32)
     full = sizes > 0
     if full.any():
         flat = np.concatenate([np.asarray(x, np.int64) for x in lists if len(x)])
         out[full] = np.add.reduceat(table[flat], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
-    return out / np.maximum(sizes, 1)[:, None].astype(np.float32) if mean else out
+    return out / np.maximum(sizes, 1)[:, None].astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -215,8 +268,8 @@ class Labeller:
         steps = max(len(p[2]) for p in pages)
         x = np.zeros((steps, len(pages), TAG_DIM + WORD_DIM + NUMBERS), np.float32)
         mask = np.zeros((steps, len(pages)), bool)
-        tags = _mean(self.w["tags"], [v for p in pages for v in p[1]], False)
-        words = _mean(self.w["words"], [v for p in pages for v in p[0]], True)
+        tags = path_sums(self.w["tags"], [v for p in pages for v in p[1]])
+        words = _mean(self.w["words"], [v for p in pages for v in p[0]])
         at = 0
         for k, (_, _, numbers) in enumerate(pages):
             n = len(numbers)
@@ -255,7 +308,9 @@ class Extractor:
 
 
 def main_text(df: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """``df`` with ``out_col``, the main text of ``html_col``; null or empty pages give the empty text.
+    """``df`` with ``out_col`` at the end, the main text of ``html_col``; null or empty pages give the empty text.
+
+    Other columns pass through; where ``df`` has a column of that name, the result gets an underscore before it.
 
     Every leaf block of the whole page is labelled with the page's other blocks as context; what is labelled
     main text is kept in page order, with white space inside a block as one space.
@@ -272,4 +327,4 @@ def main_text(df: DataFrame, html_col: str = "html", out_col: str = "main_text")
                 texts += made[0].texts(pages[k : k + 512].tolist())
             yield pd.Series(texts, dtype=object)
 
-    return df.withColumn(out_col, of(F.col(html_col)))
+    return df.withColumn(fresh(df, out_col), of(column(html_col)))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from arborlens.llm import block_training as t
@@ -20,7 +22,7 @@ def test_blocks():
     assert deep[0][0] == "x" and len(deep[0][1]) == 5000
     assert len(cut("<p>" + "word " * 200_000)[0]) == 999_999
     path = b.Parser().blocks('<div id=main class="Post entryContent"><p>x')[0][1]
-    assert path == tuple(b.bucket(k, n, b.TAGS) for k, n in (("tag", "div"), ("name", "main"), ("name", "post"), ("name", "entry"), ("name", "content"), ("tag", "p")))
+    assert tuple(path) == tuple(b.bucket(k, n, b.TAGS) for k, n in (("tag", "div"), ("name", "main"), ("name", "post"), ("name", "entry"), ("name", "content"), ("tag", "p")))
 
 
 def test_gradients():
@@ -75,3 +77,26 @@ def test_batches_do_not_matter():
     pages = [made.page().replace("\ue000", "").replace("\ue001", "") for _ in range(40)] + ["", None]
     x = b.Extractor()
     assert x.texts(pages) == [x.texts([p])[0] for p in pages]
+
+
+def test_time_is_linear_in_depth_and_in_what_is_left_open():
+    n = 50_000
+    x = b.Extractor()
+    began = time.process_time()
+    pages = ["<div>x" * n, "<div>" * n + "<p>x" * 10 + "</span></section>" * n, "<a " * n + "end", "<p><button>" + "<div>y" * n, "<ul>" + "<li><div>z" * n, '<a "' * n + ">tail", "<!--" * n + "x", "a<!-- " + "<b>" * n]
+    texts = x.texts(pages)
+    assert time.process_time() - began < 60
+    assert len(x.parser.blocks(pages[0])) == n and x.parser.blocks(pages[6]) == [] and len(texts) == len(pages)
+    assert [t[0] for t in x.parser.blocks("k<!-- open <p>no")] == ["k"] and [t[0] for t in x.parser.blocks("<p>k <a href")] == ["k <a href"]
+
+
+def test_math_and_object_text_is_read():
+    assert cut("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be, <object data=f>fallback</object>.</p>") == ["Let x=2 be, fallback."]
+
+
+def test_path_sums():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(b.TAGS, 5)).astype(np.float32)
+    paths = [p for _, p, _, _ in b.Parser().blocks(PAGE)] + [b.ROOT]
+    want = [table[list(p)].sum(axis=0) if len(p) else np.zeros(5) for p in map(tuple, paths)]
+    assert np.allclose(b.path_sums(table, paths), want, atol=1e-4) and np.allclose(b.path_sums(table, list(map(tuple, paths))), want, atol=1e-4)
