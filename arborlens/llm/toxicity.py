@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, fresh, written
 
 #: Rows the classifier is fitted on at most, least toxic texts of a feature and its least gain in log likelihood, the decision, tokens remembered.
 LABELLED, LEAST, GAIN, THRESHOLD, CACHED = 12_000, 4, 12.0, 0.3, 400_000
@@ -26,6 +26,7 @@ EDGE = ".,;:?!()[]{}\"'“”„«»‘’…*_-"
 
 SIZE = 96
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 TAIL = re.compile(r"([^\w\s])\1{2,}$")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -73,7 +74,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         (at,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    return df.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return df.select(column(text_col)).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
@@ -165,7 +166,10 @@ class Restorer:
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Runs of three or more one-character tokens, as one noisy text each; long repetitions count four times."""
+    """Runs of three or more one-character tokens, as one noisy text each.
+
+    A character set over four times in a row counts as four: to the lattice, three or more are the same.
+    """
     if len(words) < 3:
         return []
     single = np.fromiter(map(len, words), np.int32, len(words)) == 1
@@ -197,6 +201,17 @@ class Reader:
         """The sum over the words of the strongest feature's log lift."""
         return sum(max((self.lifts.get(f, 0.0) for f in features(w)), default=0.0) for w in words)
 
+    def token(self, t: str) -> float:
+        """The lift of a token's words; if there is none but its letters without hyphens or doubling have some, that of the decoded token."""
+        words = self.restorer.words(t)
+        if (x := self.lift(words)) or not words:
+            return x
+        joined = "".join(words)
+        single = DOUBLE.sub(r"\1", joined)
+        if (len(words) > 1 or single != joined) and (self.lift([joined]) or self.lift([single])):
+            return self.lift(LETTERS.findall(self.restorer.restore(t.lower().strip(EDGE))))
+        return 0.0
+
     def restored(self, text: str | None) -> Counter:
         tokens = (text or "").split()
         out: Counter = Counter()
@@ -208,13 +223,13 @@ class Reader:
         return out
 
     def measures(self, text: str | None) -> list[float]:
-        """What the decision is made from: lift, marked tokens, distinct ones, their rate, the largest lift and the length."""
+        """What the decision is made from: logs of the lift, of marked tokens and distinct ones; their rate, the largest lift and the length."""
         tokens = (text or "").split()
         get, lifts = self.tokens.get, []
         for t in tokens:
             x = get(t)
             if x is None:
-                x = self.lift(self.restorer.words(t))
+                x = self.token(t)
                 if len(self.tokens) < CACHED:
                     self.tokens[t] = x
             if x:
@@ -223,7 +238,7 @@ class Reader:
             if x := self.lift(LETTERS.findall(self.restorer.restore(run))):
                 lifts.append((run, x))
         n, total = len(tokens), math.fsum(x for _, x in lifts)
-        return [min(total, 60.0), float(min(len(lifts), 20)), float(min(len({t for t, _ in lifts}), 20)), 100 * len(lifts) / (n + 20), max((x for _, x in lifts), default=0.0), math.log1p(n), math.log1p(n) * (not lifts)]
+        return [math.log1p(total), math.log1p(len(lifts)), math.log1p(len({t for t, _ in lifts})), 100 * len(lifts) / (n + 20), max((x for _, x in lifts), default=0.0), math.log1p(n), math.log1p(n) * (not lifts)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,7 +329,9 @@ def held_out(id_col):
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``df`` with ``_score`` (0 to 1) and ``_predicted`` (1 from ``THRESHOLD`` on).
+    """``df`` with two more columns at the end: ``_score`` (0 to 1) and ``_predicted`` (1 from ``THRESHOLD`` on).
+
+    Other columns pass through; where ``df`` has a column of a result's name, that result gets another underscore.
 
     The character model counts every text.  Labels are used for rows that are not held out (see
     ``held_out``); ids and other columns are no input.  Null text scores as the empty text; rows with a null
@@ -323,8 +340,8 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = df.sparkSession
     model = language_model(df, text_col)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    lifts, regression = learn(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known, model)
+    known = labels.select(column(id_col).alias("id"), column(label_col).alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    lifts, regression = learn(df.select(column(id_col).alias("id"), column(text_col).alias("text")), known, model)
     shared = spark.sparkContext.broadcast((model, lifts, regression))
     made: list[Reader] = []
 
@@ -338,4 +355,11 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         x = (np.array([made[0].measures(t) for t in texts]) - mean) / scale
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
 
-    return df.withColumn("_score", of(F.col(text_col))).withColumn("_predicted", (F.col("_score") >= THRESHOLD).cast("int"))
+    points, predicted = fresh(df, "_score", "_predicted")
+    return df.withColumn(points, of(column(text_col))).withColumn(predicted, (F.col(points) >= THRESHOLD).cast("int"))
+
+
+def keep_clean(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that are not predicted toxic, with its columns."""
+    scored = score(df, labels, **options)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*map(column, df.columns))

@@ -89,3 +89,16 @@ def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.score(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
     assert [r._score for r in t.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), none).collect()] == [0.0]
+
+
+def test_doubled_letters_and_hyphens_inside_a_word():
+    model = model_of("the idiot is a stupid moron and a loser or a pathetic letter with well known book trash " * 20)
+    reader = t.Reader(model, {"stupid.": 3.0, "idiot.": 2.0})
+    assert reader.token("stuupid") == reader.token("stu-pid") == reader.token("STU-PIID,") == reader.token("stupid") == 3.0
+    assert reader.token("letter") == reader.token("well-known") == reader.token("book") == reader.token("--") == 0.0
+
+
+def test_measures_are_not_capped():
+    reader = t.Reader(model_of("some plain words " * 5), {"bad.": 2.0})
+    few, many = reader.measures("bad " * 30), reader.measures("bad " * 3000)
+    assert many[0] > few[0] and many[1] > few[1]
