@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, fresh
+
 RATIO, MIN_PAGES = 0.05, 5
 
 
@@ -22,7 +24,7 @@ def boilerplate_lines(df: DataFrame, text_col: str = "text", host_col: str = "so
     Pages of one host with equal text count once, in the numerator and in the total, so copies of a page do
     not turn its lines into boilerplate.  A host can have at most mean-lines-per-page / ratio such lines.
     """
-    pages = df.select(F.col(host_col).alias("host"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("page"), _lines(F.col(text_col)).alias("lines")).where(F.col("page").isNotNull())
+    pages = df.select(column(host_col).alias("host"), F.unhex(F.md5(column(text_col).cast("binary"))).alias("page"), _lines(column(text_col)).alias("lines")).where(F.col("page").isNotNull())
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
     seen = (
         pages.select("host", "page", F.explode(F.array_distinct(F.transform("lines", lambda x: F.trim(x)))).alias("line"))
@@ -41,27 +43,28 @@ def drop_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines end at line feeds and compare without surrounding spaces; blank lines are never boilerplate and
     stay.  Null text stays null (0 lines); a null host is a host of its own; repeated rows and repeated ids
-    are all kept.  Other columns pass through.  Only keys of lines are shuffled to find what to drop.
+    are all kept; an empty table stays empty.  Other columns pass through; where ``df`` has a column of a
+    result's name, that result gets another underscore.  Only keys of lines are shuffled to find what to drop.
     """
     bad = boilerplate_lines(df, text_col, host_col, ratio, min_pages)
-    lines = df.select(F.col(host_col).alias("host"), F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: F.trim(x)))).alias("line")).where("line <> ''").select("host", "id", _key(F.col("line")).alias("line_key"))
+    hit_id, hit_host, keys, left, n_lines, n_dropped = fresh(df, "hit_id", "hit_host", "hit_keys", "kept", "_n_lines", "_n_dropped")
+    lines = df.select(column(host_col).alias("host"), column(id_col).alias("id"), F.explode(F.array_distinct(F.transform(_lines(column(text_col)), lambda x: F.trim(x)))).alias("line")).where("line <> ''").select("host", "id", _key(F.col("line")).alias("line_key"))
     hits = (
         lines.alias("l")
         .join(bad.alias("b"), F.col("l.host").eqNullSafe(F.col("b.host")) & (F.col("l.line_key") == F.col("b.line_key")))
-        .groupBy(F.col("l.id").alias("_hit_id"), F.col("l.host").alias("_hit_host"))
-        .agg(F.collect_set("l.line_key").alias("_hit_keys"))
+        .groupBy(F.col("l.id").alias(hit_id), F.col("l.host").alias(hit_host))
+        .agg(F.collect_set("l.line_key").alias(keys))
     )
-    d = df.alias("d")
-    joined = d.join(hits, F.col(f"d.{id_col}").eqNullSafe(F.col("_hit_id")) & F.col(f"d.{host_col}").eqNullSafe(F.col("_hit_host")), "left")
-    text = F.col(f"d.{text_col}")
+    joined = df.join(hits, column(id_col).eqNullSafe(F.col(hit_id)) & column(host_col).eqNullSafe(F.col(hit_host)), "left")
+    text = column(text_col)
     all_lines = _lines(text)
-    kept = F.when(F.col("_hit_keys").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_hit_keys"), _key(x))))
+    kept = F.when(F.col(keys).isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x))))
     return (
-        joined.withColumn("_kept", kept)
+        joined.withColumn(left, kept)
         .select(
-            *[F.when(F.col("_hit_keys").isNull(), text).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(f"d.{c}") for c in df.columns],
-            F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("_n_lines"),
-            F.when(text.isNull(), 0).otherwise(F.size(all_lines) - F.size("_kept")).cast("long").alias("_n_dropped"),
+            *[F.when(F.col(keys).isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else column(c) for c in df.columns],
+            F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias(n_lines),
+            F.when(text.isNull(), 0).otherwise(F.size(all_lines) - F.size(left)).cast("long").alias(n_dropped),
         )
     )
 

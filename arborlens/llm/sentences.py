@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import column, fresh, written
 
 RUN, MIN_WORDS = 2, 12
 ENDS = re.compile(r"[.!?][\"')\]]*\s+|\n\s*")
@@ -61,8 +61,9 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Runs of consecutive sentences (see ``runs``) are hashed to 128 bits and joined over all documents;
     sentences covered by any repeated run but its first, by (id, position), are removed.  Null ids come
-    last.  Rows with equal id and text are one document and keep the same sentences.  Null text stays null.
-    Other columns pass through.
+    last.  Rows with equal id and text are one document and keep the same sentences.  Null text stays null and
+    empty text empty, both with no sentences; an empty table stays empty.  Other columns pass through; where
+    ``df`` has a column of a result's name, that result gets another underscore.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +82,15 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(dig, pa.binary())], names=["id", "h", "i", "j", "span"])
 
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("h")]
-    spans = df.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text")).mapInArrow(emit, "id long, h long, i int, j int, span binary")
+    key = [F.coalesce(column(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(column(text_col)).alias("h")]
+    key_id, key_h, found_id, found_h, at, cut_, total, removed = fresh(df, "key_id", "key_h", "found_id", "found_h", "spans", "cut", "_n_sentences", "_n_removed")
+    spans = df.where(column(text_col).isNotNull()).select(*key, column(text_col).alias("text")).mapInArrow(emit, "id long, h long, i int, j int, span binary")
     spans = written(spans, "spans")
     repeated = spans.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "i")).alias("first")).where("n > 1").drop("n")
     repeated = written(repeated, "repeated")  # so that a join with a hot span can be split
     again = spans.join(repeated, "span").where(F.struct("id", "h", "i") != F.col("first"))
-    covered = again.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("i", "j")).alias("_spans"))
-    joined = df.withColumns({"_key_id": key[0], "_key_h": key[1]}).join(covered, (F.col("_key_id") == F.col("_id")) & (F.col("_key_h") == F.col("_h")), "left")
+    covered = again.groupBy(F.col("id").alias(found_id), F.col("h").alias(found_h)).agg(F.collect_set(F.struct("i", "j")).alias(at))
+    joined = df.withColumns({key_id: key[0], key_h: key[1]}).join(covered, (F.col(key_id) == F.col(found_id)) & (F.col(key_h) == F.col(found_h)), "left")
 
     @F.pandas_udf("text string, total long, removed long")
     def cut(texts: pd.Series, at: pd.Series, to: pd.Series) -> pd.DataFrame:
@@ -108,5 +110,5 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             out.append(("".join(p for p, g in zip(pieces, gone, strict=True) if not g), len(pieces), int(gone.sum())))
         return pd.DataFrame(out, columns=["text", "total", "removed"])
 
-    done = joined.withColumn("_cut", cut(F.col(text_col), F.col("_spans.i"), F.col("_spans.j")))
-    return done.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("_cut.total").alias("_n_sentences"), F.col("_cut.removed").alias("_n_removed"))
+    done = joined.withColumn(cut_, cut(column(text_col), F.col(at)["i"], F.col(at)["j"]))
+    return done.select(*[F.col(cut_)["text"].alias(c) if c == text_col else column(c) for c in df.columns], F.col(cut_)["total"].alias(total), F.col(cut_)["removed"].alias(removed))
