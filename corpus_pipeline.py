@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.llm import decontaminate, lines, packing, simhash, toxicity
-from arborlens.llm.common import written
+from arborlens.llm.common import column, written
 from arborlens.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, labels).where("_predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, labels)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; every document stays, with ``n_chars`` of what is left."""
     cleaned = lines.drop_boilerplate(docs)
-    return cleaned.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cleaned.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else column(c) for c in docs.columns])
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
