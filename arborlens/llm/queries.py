@@ -77,5 +77,7 @@ FROM (SELECT *, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 THEN
 SELECT doc_id, array_to_string(kept_lines, chr(10)) AS text, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
     CAST(coalesce(len(all_lines) - len(kept_lines), 0) AS BIGINT) AS n_dropped FROM _kept
 """,
+    "op5_sentence_spans": sentences.SQL_CUT,
     "op9_decontaminate": decontaminate.SQL_FOUND,
+    "op10_suffix_dedup": suffixes.SQL_CUT,
 }

@@ -112,3 +112,21 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     done = joined.withColumn(cut_, cut(column(text_col), F.col(at)["i"], F.col(at)["j"]))
     return done.select(*[F.col(cut_)["text"].alias(c) if c == text_col else column(c) for c in df.columns], F.col(cut_)["total"].alias(total), F.col(cut_)["removed"].alias(removed))
+
+
+#: DuckDB SQL for ``drop_repeated_spans`` over documents: after the first piece every piece has a word, so a shortest run ends within 13.
+SQL_CUT = r"""
+WITH p AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS k, len(pieces) AS total FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]["'')\]]*\s+|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(piece), '\s+'), lambda x: x <> '') AS ws FROM p),
+c AS (SELECT doc_id, k, total, array_to_string(ws, ' ') AS key, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k) AS upto, len(ws) AS n FROM w),
+runs AS (SELECT a.doc_id, a.k AS i, b.k + 1 AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + least(2, a.total) - 1 AND a.k + 13 AND b.upto - a.upto + a.n >= 12),
+short AS (SELECT doc_id, i, min(j) AS j FROM runs GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM runs GROUP BY doc_id, j),
+keyed AS (SELECT short.doc_id, i, j, string_agg(key, ' ' ORDER BY k) AS span FROM short JOIN c ON c.doc_id = short.doc_id AND k >= i AND k < j GROUP BY ALL),
+marked AS (SELECT doc_id, i, j, min((doc_id, i)) OVER (PARTITION BY span) <> (doc_id, i) AS again FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j)) AS k FROM marked WHERE again),
+cut AS (SELECT p.doc_id, coalesce(string_agg(CASE WHEN gone.k IS NULL THEN piece END, '' ORDER BY p.k), '') AS text, count(*) AS n_sentences, count(gone.k) AS n_removed
+    FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.k = gone.k GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(cut.text, '') END AS text, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cut USING (doc_id)
+"""

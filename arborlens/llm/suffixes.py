@@ -320,3 +320,19 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = df.schema[id_col].dataType.simpleString()
     return ready.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+#: DuckDB SQL for ``drop_repeated`` over documents: every string of 200 bytes, in hexadecimal, by its hash.
+SQL_CUT = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT doc_id, b, substr(h, 2000 * b + 1, 2398) AS part, least(1000, n - 199 - 1000 * b) AS many FROM (SELECT *, unnest(range(0, (n - 200) // 1000 + 1)) AS b FROM d WHERE n >= 200)),
+starts AS (SELECT doc_id, 1000 * b + o AS p, md5_number(substr(part, 2 * o + 1, 400)) AS m FROM (SELECT *, unnest(range(0, many)) AS o FROM blocks)),
+again AS (SELECT doc_id, p FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)),
+edges AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) + 200 AS new FROM again),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT doc_id, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edges) GROUP BY doc_id, g),
+runs AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS gone FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(starts), 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END,
+        2 * ((CASE WHEN k = len(starts) THEN n ELSE starts[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE ends[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id)
+"""
