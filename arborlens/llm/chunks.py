@@ -8,12 +8,16 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 LEAST, NORMAL, MOST, STRICT_BITS, LOOSE_BITS = 16, 48, 192, 7, 4
+LAST = (1 << 63) - 1
 #: One pseudo-random word for each byte value; the window of a 16-bit gear hash is 16 bytes.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 2024) & 0xFFFF for b in range(256)], np.uint16)
 
@@ -97,38 +101,56 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def neighbours(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(bucket, look, id, h, text)`` dealt and sorted so that each row's successor by descending id follows it.
 
-    Ids are cut into ranges; the first row of each range also goes, marked ``look``, to the range before it
+    Ids are cut into ranges, and ranges of one id (or of rows without one) that hold more than their part into
+    ranges of the text's hash; the first row of each range also goes, marked ``look``, to the range before it
     (of the first range, to the last), so no order over all rows is made in one task.  What the driver holds
-    is one bound and one key for each range.
+    is a few numbers for each range.
     """
     spark = df.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    bounds = df.select(F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    edges = np.unique(np.array(bounds or [], np.int64))
-
-    @F.pandas_udf("long")
-    def bucket_of(ids):
-        known = ids.notna()
-        return len(edges) + 1 - known * np.searchsorted(edges, ids.fillna(0).astype("int64"), side="right") - known
-
-    firsts = rows.select("id", "h").withColumn("b", bucket_of("id")).groupBy("b").agg(F.max(F.struct(F.coalesce(F.col("id"), F.lit(-(1 << 63))), (-1 - F.col("h")).alias("h"))).alias("k")).collect()
+    ids = column(id_col).cast("long")
+    rows = df.select(ids.alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    bounds = np.array(df.select(F.percentile_approx(ids, [k / n for k in range(1, n)], 10 * n)).first()[0] or [] if n > 1 else [], np.int64)
+    value, times = np.unique(bounds, return_counts=True)
+    edges = np.unique(np.concatenate([value, value[(times > 1) & (value < LAST)] + 1]))  # an id of several bounds has a range of its own
+    splits = np.ones(len(edges) + 2, np.int64)
+
+    def buckets(ids: pd.Series, known: pd.Series, hs: pd.Series) -> np.ndarray:
+        known = known.to_numpy()
+        b = len(edges) + 1 - known * np.searchsorted(edges, ids, side="right") - known
+        part = (hs.to_numpy() / 2.0**64 + 0.5) * splits[b]
+        return first_of[b] + np.clip(part.astype(np.int64), 0, splits[b] - 1)
+
+    number = F.coalesce("id", F.lit(-LAST - 1))  # pandas would make floats of longs beside nulls
+
+    def bucket_of():  # made anew after the splits have changed
+        @F.pandas_udf("long")
+        def of(ids: pd.Series, known: pd.Series, hs: pd.Series) -> pd.Series:
+            return pd.Series(buckets(ids, known, hs))
+
+        return of(number, F.col("id").isNotNull(), "h")
+
+    first_of = np.cumsum(splits) - splits
+    sizes = df.select(ids.alias("id"), F.lit(0).cast("long").alias("h")).withColumn("b", bucket_of()).groupBy("b").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()
+    total = sum(r.n for r in sizes)
+    for r in sizes:
+        if r.low == r.high:
+            splits[r.b] = max(1, r.n * n // max(1, total))
+    first_of = np.cumsum(splits) - splits
+
+    firsts = rows.select("id", "h").withColumn("b", bucket_of()).groupBy("b").agg(F.max(F.struct(number, (-1 - F.col("h")).alias("h"))).alias("k")).collect()
     order = sorted((r.b, r.k[0], -1 - r.k.h) for r in firsts)
     before = {b: (order[k - 1][0], i, h) for k, (b, i, h) in enumerate(order)}
 
     @F.pandas_udf("array<long>")
-    def targets(ids, hs):
-        import pandas as pd
-
+    def targets(ids: pd.Series, known: pd.Series, hs: pd.Series) -> pd.Series:
         out = []
-        known = ids.notna()
-        buckets = len(edges) + 1 - known * np.searchsorted(edges, ids.fillna(0).astype("int64"), side="right") - known
-        for b, i, h, k in zip(buckets, ids.fillna(-(1 << 63)).astype("int64"), hs, known, strict=True):
-            to, first, fh = before[int(b)]
-            out.append([2 * int(b), 2 * to + 1] if h == fh and i == first else [2 * int(b)])
+        for b, i, h in zip(buckets(ids, known, hs).tolist(), ids, hs, strict=True):
+            to, first, fh = before[b]
+            out.append([2 * b, 2 * to + 1] if h == fh and i == first else [2 * b])
         return pd.Series(out)
 
-    dealt = rows.withColumn("code", F.explode(targets("id", "h"))).select((F.col("code") / 2).cast("long").alias("bucket"), (F.col("code") % 2).alias("look"), "id", "h", "text")
+    dealt = rows.withColumn("code", F.explode(targets(number, F.col("id").isNotNull(), "h"))).select((F.col("code") / 2).cast("long").alias("bucket"), (F.col("code") % 2).alias("look"), "id", "h", "text")
     return dealt.repartitionById(n // 4, F.pmod("bucket", F.lit(n // 4)).cast("int")).sortWithinPartitions("bucket", "look", F.col("id").desc_nulls_last(), "h")
 
 

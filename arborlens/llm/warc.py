@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 
-CRLF = "\r\n"
+CRLF, FILE_BYTES = "\r\n", 128 << 20
 READ_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -43,13 +43,16 @@ def _id_of(urn: str) -> int | None:
     return None if h[4][-1] == "1" else x - (1 << 64) if x >> 63 else x
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 20000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write one WARC/1.1 record per row to gzip files under ``path``, any folder Spark can write to.
 
     Responses hold an HTTP header and the payload; revisits (see ``resolve_revisits``) hold the HTTP header
     and name the response's record id.  Every header is made anew.  Null payloads are empty, a null url is
-    written as an empty one, and white space in a url is percent-encoded.
+    written as an empty one, and white space in a url is percent-encoded.  A file takes as many records as
+    have ``file_bytes`` bytes of payload on average.  Other columns are not read.
     """
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length(payload_col))).first()
+    records_per_file = max(1, min(1_000_000, n * file_bytes // max(1, total or 0)))
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     revisits = resolve_revisits(pages, id_col, payload_col, min_bytes)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\s\p{Cntrl}]", "%20").alias("_url"), payload.alias("_payload"), F.sha1(payload.cast("binary")).alias("_digest"))

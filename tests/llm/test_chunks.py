@@ -60,3 +60,20 @@ def test_small_and_null(spark):
     rows = [(None, "first", ""), (None, "second", ""), (3, "third", ""), (3, "third", "")]
     assert len(chunks.edited_likeness(spark.createDataFrame(rows, SCHEMA)).collect()) == 4
     assert len(chunks.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()) == 4
+
+
+def test_hot_and_missing_ids(spark):
+    """A third of the rows without an id and a third with one id: ranges of the hash; rows follow each other by id, then hash."""
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choices("abcdef ", k=rng.randint(0, 60)))
+    rows = [(None, text(), "") for _ in range(300)] + [(7, text(), "") for _ in range(300)] + [(k, text(), "") for k in range(300)] + [((1 << 63) - 1, "last", ""), (-(1 << 63), "least", "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    dealt = chunks.neighbours(df, "doc_id", "text").collect()
+    sizes = {}
+    for r in dealt:
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + 1
+    assert max(sizes.values()) < 120 and sum(r.look == 0 for r in dealt) == len(rows)
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = sorted(hashlib.sha256((a.text[: len(a.text) - len(a.text) // 2] + b.text[: len(a.text) // 2]).encode()).hexdigest() for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(r.edited_sha256 for r in chunks.edited_likeness(df).collect()) == want

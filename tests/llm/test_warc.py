@@ -38,7 +38,7 @@ def test_round_trip(spark):
 
 def test_archives(spark, tmp_path):
     rows = pages()
-    warc.write_warc(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a", records_per_file=4)
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a", file_bytes=2000)
     back = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
     assert {bytes(r.payload).decode() for r in back if r.record_type == "response"} == {r[2] or "" for r in rows}
     assert all(r.payload is None for r in back if r.record_type == "revisit")
