@@ -70,20 +70,57 @@ def test_same_line_same_name():
 
 def test_other_languages():
     r = rows("A.java", JAVA)
-    assert [f["name"] for f in r["function"]] == ["name"] and [c["type_category"] for c in r["class"]] == ["class", "interface"]
+    assert [f["name"] for f in r["function"]] == ["name", "f"] and [c["type_category"] for c in r["class"]] == ["class", "interface"]
     assert [i["target"] for i in r["implements"]] == ["B", "C", "D"] and [i["target"] for i in r["import"]] == ["java.util.List"]
     assert [v["name"] for v in r["variable"]] == ["count", "i"]  # a local belongs to the class
     r = rows("a.ts", TS)
     assert [f["name"] for f in r["function"]] == ["go", "top"] and [i["target"] for i in r["import"]] == ["./b", "z"]
     assert [v["name"] for v in r["variable"]] == ["y", "size", "inner"]
-    r = rows("m.py", "import os\nfrom .x import y\nclass A(B):\n    def f(self):\n        'doc'\n        return 1\ndef g(): pass\n")
-    assert [(f["name"], f["parent_type"], f["docstring"]) for f in r["function"]] == [("f", "Class", "doc"), ("g", "File", "")]
+    r = rows("m.py", "import os\nfrom .x import y\nclass A(B):\n    # about f\n    def f(self):\n        'doc'\n        return 1\ndef g(): pass\n")
+    assert [(f["name"], f["parent_type"], f["docstring"]) for f in r["function"]] == [("f", "Class", "# about f"), ("g", "File", "")]
     assert [i["target"] for i in r["import"]] == ["os", ".x"] and [i["target"] for i in r["implements"]] == ["B"]
-    assert extract(b"def broken(", "b.py") == []
+    assert [(f["name"], f["start_line"]) for f in rows("b.py", "def broken(")["function"]] == [("broken", 1)]
     with pytest.raises(ValueError):
         extract(b"", "a.kt")
 
 
+def names(path, text):
+    r = rows(path, text)
+    return [(x["name"], x["parent_type"]) for x in r["function"]], [(x["name"], x["type_category"]) for x in r["class"]], [(x["name"], x["type_hint"]) for x in r["variable"]], [x["target"] for x in r["implements"]]
+
+
+def test_go_type_parameters():
+    text = "package p\n\ntype Box[T any] struct {\n\tval T\n\tlist []map[string]T\n}\n\ntype Pair[K comparable, V any] interface {\n\tGet(k K) V\n}\n\ntype (\n\t// A is one.\n\tA struct { x int }\n\tB = int\n)\n\nfunc (b *Box[T]) Get() T { return b.val }\nfunc Map[T any, U any](in []T) []U { return nil }\nvar cfg struct { port int }\n"
+    functions, classes, variables, _ = names("g.go", text)
+    assert functions == [("Get", "File"), ("Map", "File")] and classes == [("Box", "struct"), ("Pair", "struct"), ("A", "struct")]
+    assert variables[:3] == [("val", "T"), ("list", "[]map[string]T"), ("x", "int")] and ("port", "int") in variables and ("cfg", "struct") in variables
+    assert rows("g.go", text)["class"][2]["docstring"] == "A is one."
+
+
+def test_java_members():
+    text = "package p;\n/** Doc. */\ninterface I<T> extends K<T, L> { void f(); default int g(int x) { return x; } <R> R map(T t); }\nabstract class A implements I<String>, Q {\n  A(int x) { assert f(x); }\n  @Override public abstract String name(int x);\n  protected List<String> list() { return new ArrayList<>() { int size() { return 0; } }; }\n}\nenum E { ONE(1) { int v() { return 1; } }, TWO(2); final int n; E(int n) { this.n = n; } int w() { return n; } }\nrecord P(int a, int b) { int sum() { return a + b; } }\n"
+    functions, classes, variables, heritage = names("J.java", text)
+    assert functions == [(f, "Class") for f in ("f", "g", "map", "name", "list", "size")] + [(f, "File") for f in ("v", "w", "sum")]
+    assert classes == [("I", "interface"), ("A", "class")] and variables == [("n", "int")] and heritage == ["K", "I", "Q"]
+
+
+def test_typescript_members():
+    text = "const re = /ab\"c[/]d/g, q = 4 / 2;\nexport class K<T extends object> extends L<A, B> implements M { go<U>(a: U): T { return a / 2; } delete(k: string) { return 1; } async run() { if (a) { b(); } } }\nfunction id<T>(x: T): T { const inner = 1; return x; }\nexport function plain(a) { return /}/.test(a); }\n"
+    functions, classes, variables, heritage = names("t.ts", text)
+    assert functions == [("go", "Class"), ("delete", "Class"), ("run", "Class"), ("id", "File"), ("plain", "File")]
+    assert classes == [("K", "class")] and heritage == ["L", "M"] and [v for v, _ in variables] == ["re", "inner"]
+
+
+def test_python_with_errors():
+    text = "import os\n# about A\nclass A(B):\n    def ok(self):\n        return 1\n    def broken(self:\n        x = (1\n    @deco\n    def after(self):\n        def inner(): pass\n        return inner\n\ndef top():\n    return 1\ndef bad( :\n    pass\nfrom .x import y\n"
+    r = rows("b.py", text)
+    assert [(f["name"], f["parent_type"], f["start_line"], f["end_line"]) for f in r["function"]] == [("ok", "Class", 4, 5), ("broken", "Class", 6, 7), ("after", "Class", 9, 11), ("inner", "Class", 10, 10), ("top", "File", 13, 14), ("bad", "File", 15, 16)]
+    assert [(c["name"], c["docstring"]) for c in r["class"]] == [("A", "# about A")] and [i["target"] for i in r["import"]] == ["os", ".x"]
+    deep = "x = " + "(" * 90 + "1" + ")" * 90 + "\ndef f():\n" + "".join("    " * k + "if a:\n" for k in range(1, 60)) + "    " * 60 + "pass\n"
+    assert [f["name"] for f in rows("d.py", deep)["function"]] == ["f"]
+    assert [f["name"] for f in rows("e.py", "y = " + "-" * 200_000 + "1\ndef g(): pass\n")["function"]] == ["g"]
+
+
 def test_ignore(spark, tmp_path):
     def flags(names, patterns):
         df = spark.createDataFrame([(n,) for n in names], "path string").coalesce(1)
