@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from ..schema import ALLOWED
 
 
 def _rel(col, root: str):
@@ -15,23 +16,25 @@ def _rel(col, root: str):
     return F.when(col.startswith(prefix), F.substring(col, len(prefix) + 1, 1 << 30)).otherwise(col) if prefix else col
 
 
-def stable_nodes(graph: CodeGraph, root: str = "") -> DataFrame:
-    """(id, sid, type, name, file_path, content): sid is the relative path, the class if any, and the name."""
-    owner = graph.labelled("CONTAINS", "Class").join(graph.classes.select(F.col("id").alias("src"), "name"), "src").groupBy(F.col("dst").alias("id")).agg(F.max_by("name", "src").alias("owner"))
-    files = graph.files.select(F.col("path").alias("id"), _rel(F.col("path"), root).alias("sid"), F.lit("File").alias("type"), F.element_at(F.split("path", "/"), -1).alias("name"), _rel(F.col("path"), root).alias("file_path"), F.col("hash").alias("content"))
-    out = [files]
+def _typed(graph: CodeGraph, root: str) -> dict[str, DataFrame]:
+    """(id, sid, type, name, file_path, content) of each type's nodes."""
+    names = graph.classes.select(F.col("id").alias("src"), F.col("name").alias("owner"))
+    rel = _rel(F.col("path"), root)
+    out = {"File": graph.files.select(F.col("path").alias("id"), rel.alias("sid"), F.lit("File").alias("type"), F.element_at(F.split("path", "/"), -1).alias("name"), rel.alias("file_path"), F.col("hash").alias("content"))}
     for t, kind, content in ((graph.functions, "Function", F.col("ast_hash")), (graph.classes, "Class", F.col("ast_hash")), (graph.variables, "Variable", F.lit(None).cast("string"))):
         p = _rel(F.col("file_path"), root)
-        t = t.join(owner, "id", "left") if kind != "Class" else t.withColumn("owner", F.lit(None).cast("string"))
-        out.append(t.select("id", F.concat_ws("::", p, "owner", "name").alias("sid"), F.lit(kind).alias("type"), "name", p.alias("file_path"), content.alias("content")))
-    return reduce(DataFrame.unionByName, out)
+        if kind == "Class":
+            t = t.withColumn("owner", F.lit(None).cast("string"))
+        else:  # the class with the largest id, by one row for each owned entity
+            last = graph.labelled("CONTAINS", "Class", kind).groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("src"))
+            t = t.join(last.join(names, "src").drop("src"), "id", "left")
+        out[kind] = t.select("id", F.concat_ws("::", p, "owner", "name").alias("sid"), F.lit(kind).alias("type"), "name", p.alias("file_path"), content.alias("content"))
+    return out
 
 
-def _last(nodes: DataFrame) -> DataFrame:
-    """Of nodes with one sid the last: by type, then by id."""
-    rank = F.when(F.col("type") == "File", 0).when(F.col("type") == "Function", 1).when(F.col("type") == "Class", 2).otherwise(3)
-    best = nodes.groupBy("sid").agg(F.max_by(F.struct("type", "name", "file_path", "content"), F.struct(rank, "id")).alias("r"))
-    return best.select("sid", "r.*")
+def stable_nodes(graph: CodeGraph, root: str = "") -> DataFrame:
+    """(id, sid, type, name, file_path, content): sid is the relative path, the class if any, and the name."""
+    return reduce(DataFrame.unionByName, _typed(graph, root).values())
 
 
 def diff_nodes(current: CodeGraph, target: CodeGraph, root: str = "") -> DataFrame:
@@ -39,26 +42,38 @@ def diff_nodes(current: CodeGraph, target: CodeGraph, root: str = "") -> DataFra
 
     A file is modified if its hash differs, a function or class if its structure does, a variable never.
     """
-    a, b = _last(stable_nodes(current, root)).alias("a"), _last(stable_nodes(target, root)).alias("b")
-    both = a.join(b, F.col("a.sid") == F.col("b.sid"), "full_outer")
+    # Of nodes with one sid the last counts, by type, then by id; both sides meet in one aggregate.
+    rank = F.when(F.col("type") == "File", 0).when(F.col("type") == "Function", 1).when(F.col("type") == "Class", 2).otherwise(3)
+    row = F.struct(rank.alias("rank"), "id", "type", "name", "file_path", "content")
+    sides = stable_nodes(current, root).select("sid", row.alias("a"), F.lit(None).cast("struct<rank:int,id:string,type:string,name:string,file_path:string,content:string>").alias("b"))
+    other = stable_nodes(target, root).select("sid", F.lit(None).cast(sides.schema["b"].dataType).alias("a"), row.alias("b"))
+    both = sides.unionByName(other).groupBy("sid").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     changed = (F.col("a.type") != "Variable") & (F.coalesce("a.content", F.lit("")) != F.coalesce("b.content", F.lit("")))
-    change = F.when(F.col("b.sid").isNull(), "added").when(F.col("a.sid").isNull(), "deleted").when(changed, "modified")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "deleted").when(changed, "modified")
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
-    return both.select(change.alias("change"), pick("sid").alias("id"), pick("type").alias("type"), pick("name").alias("name"), pick("file_path").alias("file_path")).where("change is not null")
+    return both.select(change.alias("change"), F.col("sid").alias("id"), pick("type").alias("type"), pick("name").alias("name"), pick("file_path").alias("file_path")).where("change is not null")
 
 
 def _edges(graph: CodeGraph, root: str) -> DataFrame:
-    ids = stable_nodes(graph, root).select("id", "type", "sid")
-    e = graph.edges.where("label <> 'CALLS'")
-    for side in ("src", "dst"):
-        e = e.join(ids.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"), F.col("sid").alias(f"{side}_sid")), [side, f"{side}_type"], "left")
-    return e.select(F.coalesce("src_sid", "src").alias("from"), F.coalesce("dst_sid", "dst").alias("to"), F.col("label").alias("type")).distinct()
+    """(from, to, type) of the edges other than calls, by the kinds that the schema allows; an end that is no node keeps its id."""
+    ids, out = _typed(graph, root), []
+    for label, *kinds in ALLOWED:
+        if label == "CALLS":
+            continue
+        e = graph.labelled(label, *kinds).select("src", "dst")
+        for side, kind in zip(("src", "dst"), kinds, strict=True):
+            if kind != "File" or root:  # a file's id is its path
+                e = e.join(ids[kind].select(F.col("id").alias(side), F.col("sid").alias("sid")), side, "left").withColumn(side, F.coalesce("sid", side)).drop("sid")
+        out.append(e.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit(label).alias("type")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def diff_edges(current: CodeGraph, target: CodeGraph, root: str = "") -> DataFrame:
     """(change, from, to, type): edges, as a set and without calls, of one side only."""
-    a, b, key = _edges(current, root), _edges(target, root), ["from", "to", "type"]
-    return a.join(b, key, "left_anti").select(F.lit("added").alias("change"), *key).unionByName(b.join(a, key, "left_anti").select(F.lit("deleted").alias("change"), *key))
+    key = ["from", "to", "type"]
+    sides = _edges(current, root).withColumn("side", F.lit(1)).unionByName(_edges(target, root).withColumn("side", F.lit(2)))
+    one = sides.groupBy(*key).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+    return one.select(F.when(F.col("low") == 1, "added").otherwise("deleted").alias("change"), *key)
 
 
 def match_displayed(nodes: DataFrame, shown: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
@@ -22,7 +22,7 @@ def call_chain(graph: CodeGraph, target: str, depth: int = 3, mode: str = "count
     if mode not in ("counted", "distinct", "bag"):
         raise ValueError(mode)
     fn = graph.functions.select("id", "name", "file_path")
-    many = graph.labelled("CALLS").groupBy("src", "dst").agg(F.count("*").alias("m")).persist()
+    many = graph.labelled("CALLS").groupBy("src", "dst").agg(F.count("*").alias("m"))
     front = fn.where(F.col("name") == target).select(F.col("id").alias("node"), F.col("id").alias("tgt"), F.lit(1).cast("decimal(38,0)").alias("n"))
     found = None
     for _ in range(clamp(depth)):
@@ -44,18 +44,23 @@ def call_chain(graph: CodeGraph, target: str, depth: int = 3, mode: str = "count
 def cyclic_files(graph: CodeGraph, depth: int = 5) -> DataFrame:
     """(file_path) of every file on a closed walk of 1 to ``depth`` imports, once each.
 
-    The frontier holds each (start, file) once, and no start that has come back: one closed walk is enough.
-    The distinct edges and the frontiers are kept, as they are read more than once.
+    Files that only import or are only imported go first.  The frontier holds each (start, file) once; a start
+    that has come back is one row from then on, as one closed walk is enough.  A walk is closed by the edge back
+    to its start, so the longest walks are never made.  Each step reads the one before it once, so nothing is
+    kept in memory.
     """
-    e = graph.labelled("IMPORTS", "File", "File").select("src", "dst").distinct().persist()
-    front = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    found = back = front.where("start = node").select("start")
-    for _ in range(clamp(depth) - 1):
-        open_ = front.join(back, "start", "left_anti")
-        front = open_.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().persist()
-        back = front.where("start = node").select("start")
-        found = found.unionAll(back)
-    return found.distinct().withColumnRenamed("start", "file_path")
+    e = graph.labelled("IMPORTS", "File", "File").select("src", "dst").distinct()
+    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    home = e.select(F.col("src").alias("node"), F.col("dst").alias("start"), F.lit(True).alias("back"))
+    state = e.select(F.col("src").alias("start"), F.col("dst").alias("node"), (F.col("src") == F.col("dst")).alias("found"))
+    of_start = Window.partitionBy("start")
+    for k in range(2, clamp(depth) + 1):
+        state = state.join(home, ["start", "node"], "left").withColumn("found", F.max(F.col("found") | F.coalesce("back", F.lit(False))).over(of_start))
+        state = state.select("start", F.when(F.col("found"), F.col("start")).otherwise(F.col("node")).alias("node"), "found").distinct()
+        if k < clamp(depth):
+            state = state.join(e, (F.col("node") == F.col("src")) & ~F.col("found"), "left").where("found or dst is not null")
+            state = state.select("start", F.coalesce("dst", "node").alias("node"), "found").distinct()
+    return state.where("found").select(F.col("start").alias("file_path")).distinct()
 
 
 def cycles(graph: CodeGraph, limit: int = 5) -> DataFrame:

@@ -22,8 +22,9 @@ _COUNT = "(SELECT count(*) AS n, min(s_suppkey) AS low FROM {supplier})"
 
 
 def node_sql(table: str, duck: bool) -> str:
+    """``{n}`` and ``{low}``, the suppliers' count and least key, are numbers in Spark's text, so that no join is needed for them."""
     sha = lambda x: _sha(x, duck)
-    file_of = lambda key: f"CROSS JOIN {_COUNT} c JOIN ({_PATHS}) p ON p.s_suppkey = {key} % c.n + c.low"
+    file_of = lambda key: f"CROSS JOIN {_COUNT} c JOIN ({_PATHS}) p ON p.s_suppkey = {key} % c.n + c.low" if duck else f"JOIN ({_PATHS}) p ON p.s_suppkey = {key} % {{n}} + {{low}}"
     return {
         "files": f"SELECT path, {sha('s_name')} AS hash, CAST(s_suppkey AS BIGINT) AS last_modified FROM ({_PATHS})",
         "functions": f"SELECT concat('fn:', CAST(p_partkey AS STRING)) AS id, p_name AS name, path AS file_path, concat(p_type, ' ', p_brand) AS docstring, {sha("concat(p_type, '|', p_brand, '|', CAST(p_size AS STRING))")} AS ast_hash, CAST(p_partkey * 10 + 1 AS BIGINT) AS start_line, CAST(p_partkey * 10 + 9 AS BIGINT) AS end_line, p_size % 2 = 0 AS is_exported FROM {{part}} {file_of('p_partkey')}",
@@ -53,21 +54,31 @@ class StarGraph(CodeGraph):
     """The graph over ``<sf_dir>/<table>.parquet``.  Tables are planned when they are asked for, edges by label."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.__dict__.update(_spark=spark, _dir=sf_dir, _branches={}, _sources={})
+        self.__dict__.update(_spark=spark, _dir=sf_dir, _branches={}, _sources={}, _keys=None)
 
     def _run(self, text: str) -> DataFrame:
-        used = [t for t in SOURCES if "{" + t + "}" in text]
-        for t in used:
-            if t not in self._sources:
-                self._sources[t] = self._spark.read.parquet(f"{self._dir}/{t}.parquet")
-        return self._spark.sql(text, **{t: self._sources[t] for t in used})
-
-    def _edges(self, label: str | None = None) -> DataFrame:
-        texts = [q for q in edge_sql(False) if label is None or f"'{label}' AS label" in q]
+        marks = {t for t in SOURCES if "{" + t + "}" in text} | ({"supplier"} if "{n}" in text else set())
+        for t in marks - self._sources.keys():
+            self._sources[t] = self._spark.read.parquet(f"{self._dir}/{t}.parquet")
+        if "{n}" in text:
+            if self._keys is None:
+                n, low = self._sources["supplier"].agg(F.count("*"), F.min("s_suppkey")).first()
+                self.__dict__["_keys"] = {"{n}": str(max(n, 1)), "{low}": str(low or 0)}
+            for mark, value in self._keys.items():
+                text = text.replace(mark, value)
+        if _PATHS in text:  # one row for each supplier, read by nearly every table: joined to nation and region once
+            if "paths" not in self._sources:
+                self._sources["paths"] = self._spark.sql(_PATHS, **{t: self._sources[t] for t in ("supplier", "nation", "region")}).persist()
+            text = text.replace(f"({_PATHS})", "{paths}")
+        return self._spark.sql(text, **{t: df for t, df in self._sources.items() if "{" + t + "}" in text})
+
+    def _edges(self, *marks: str) -> DataFrame:
+        """The kinds of edges whose query has all the marks: others are never planned."""
+        texts = [q for q in edge_sql(False) if all(m in q for m in marks)]
         for q in texts:
             if q not in self._branches:
                 self._branches[q] = self._run(q)
-        return reduce(DataFrame.unionByName, [self._branches[q] for q in texts])
+        return reduce(DataFrame.unionByName, [self._branches[q] for q in texts]) if texts else self._spark.createDataFrame([], TABLES["edges"])
 
     files = cached_property(lambda self: self._run(node_sql("files", False)))
     functions = cached_property(lambda self: self._run(node_sql("functions", False)))
@@ -76,10 +87,24 @@ class StarGraph(CodeGraph):
     edges = cached_property(lambda self: self._edges())
 
     def labelled(self, label: str, src_type: str | None = None, dst_type: str | None = None) -> DataFrame:
-        e = self._edges(label)
-        for c, kind in (("src_type", src_type), ("dst_type", dst_type)):
-            e = e.where(F.col(c) == kind) if kind else e
-        return e
+        wanted = {"label": label, "src_type": src_type, "dst_type": dst_type}
+        return self._edges(*[f"'{v}' AS {c}" for c, v in wanted.items() if v])
+
+
+class Without(CodeGraph):
+    """A graph whose edges to the nodes ``gone`` (dst) are left out, by label as they are asked for."""
+
+    def __init__(self, graph: CodeGraph, gone: DataFrame, **tables: DataFrame):
+        self.__dict__.update(graph=graph, gone=gone, files=graph.files, functions=graph.functions, classes=graph.classes, variables=graph.variables)
+        self.__dict__.update(tables)
+
+    def _kept(self, e: DataFrame) -> DataFrame:
+        return e.join(self.gone, "dst", "left_anti").select(*TABLES["edges"].names)
+
+    edges = cached_property(lambda self: self._kept(self.graph.edges))
+
+    def labelled(self, label: str, src_type: str | None = None, dst_type: str | None = None) -> DataFrame:
+        return self._kept(self.graph.labelled(label, src_type, dst_type))
 
 
 def load(spark: SparkSession, sf_dir: str) -> CodeGraph:
@@ -94,8 +119,8 @@ def snapshots(graph: CodeGraph) -> tuple[CodeGraph, CodeGraph]:
     unique = lambda f: f.selectExpr("id", "concat(name, '#', id) AS name", "file_path", "docstring", "ast_hash", "start_line", "end_line", "is_exported")
     both = []
     for f in (cur, old):
-        gone = graph.functions.join(f.select("id"), "id", "left_anti").selectExpr("id AS dst")
-        both.append(CodeGraph(graph.files, unique(f), graph.classes, graph.variables, graph.edges.join(gone, "dst", "left_anti").select(*graph.edges.columns)))
+        gone = graph.functions.where(f"{key} % {11 if f is cur else 10} = 0").selectExpr("id AS dst")
+        both.append(Without(graph, gone, functions=unique(f)))
     return both[0], both[1]
 
 
