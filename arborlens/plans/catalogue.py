@@ -304,10 +304,4 @@ def debounce_sessions_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce_batch(e, 1800).select("path", F.unix_micros("last_ts").alias("last_us"), "n")
 
 
-def markdown_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .report import markdown
-
-    return spark.createDataFrame([(markdown(load(spark, sf_dir), "workspace", RULES, at="-"),)], "report string")
-
-
-QUERIES["markdown_report"] = markdown_report_tables
+from . import more  # noqa: E402, F401  (registers its queries)

@@ -14,12 +14,13 @@ def resolve_references(refs: DataFrame, functions: DataFrame) -> DataFrame:
 
     ``functions`` has id, file_path, start_line, end_line and ``ord``, the order of extraction; the first
     that holds the line wins.  Every reference is a row of its own; references outside any function or
-    inside the callee itself give none.
+    inside the callee itself give none.  Equal references are counted first and told apart by nothing else, so
+    a task that is run again gives the same rows.
     """
-    r = refs.withColumn("_r", F.struct(F.monotonically_increasing_id().alias("k")))
+    r = refs.groupBy("callee_id", "ref_path", "ref_line").agg(F.count("*").cast("int").alias("times"))
     hits = r.join(functions.select("id", "file_path", "start_line", "end_line", "ord"), (F.col("ref_path") == F.col("file_path")) & F.col("ref_line").between(F.col("start_line"), F.col("end_line")))
-    first = hits.groupBy("_r", "callee_id").agg(F.min_by("id", "ord").alias("src"))
-    return first.where("src <> callee_id").select("src", F.col("callee_id").alias("dst"))
+    first = hits.groupBy("callee_id", "ref_path", "ref_line", "times").agg(F.min_by("id", "ord").alias("src"))
+    return first.where("src <> callee_id").select("src", F.col("callee_id").alias("dst"), F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
 
 
 def resolve_inheritance(implements: DataFrame, classes: DataFrame) -> DataFrame:
@@ -45,16 +46,23 @@ def resolve_imports(imports: DataFrame, files: DataFrame, ordered: bool = False)
     # a directory and each of its ancestors are one key each, so the prefix test on path borders is an equality
     parents = f.withColumn("parts", F.split("dst", "/")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts")))).where("n < size(parts)").select("dst", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("dir"))
     known = rest.where("base is not null").join(parents.select("dir").distinct(), F.col("base") == F.col("dir"), "left_semi").select("source_path", "path", "base")
-    inside = known.join(f, F.col("dst").startswith(F.col("base"))).select("source_path", "path", "dst")
+    # a path starts with the base if it is in a directory that does, or is the base's sibling: the parent holds both
+    borders = f.withColumn("up", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("dst", "/"))), lambda k: F.array_join(F.slice(F.split("dst", "/"), 1, k - 1), "/"))))))
+    inside = known.withColumn("up", base_dir(F.col("base"))).join(borders, "up").where(F.col("dst").startswith(F.col("base"))).select("source_path", "path", "dst").distinct()
     loose = rest.join(known.select("source_path", "path"), ["source_path", "path"], "left_anti")
     cut = loose.withColumn("segs", F.filter(F.split("path", "[./]"), lambda x: x != "")).where("size(segs) > 0").withColumn("joined", F.array_join("segs", "/"))
     # every directory that occurs in the joined import is one of its substrings: an equality join on those
     # short strings instead of a comparison of all files with all imports
     n = F.length("joined")
-    subs = cut.withColumn("a", F.explode(F.sequence(F.lit(1), n))).withColumn("k", F.explode(F.sequence(F.lit(1), n - F.col("a") + 1))).select("source_path", "path", F.expr("substring(joined, a, k)").alias("dir")).distinct()
     own = f.withColumn("dir", base_dir(F.col("dst")))
+    # only substrings as long as some directory that begins with the same three characters are made
+    heads = own.where("dir <> ''").select(F.substring("dir", 1, 3).alias("head"), F.length("dir").alias("k")).distinct()
+    starts = cut.select("source_path", "path", "joined", F.explode(F.sequence(F.lit(1), n)).alias("a")).withColumn("head", F.expr("substring(joined, a, 3)"))
+    # a directory of one or two characters is a head by itself, inside a longer one of the import too
+    starts = starts.select("source_path", "path", "joined", "a", F.explode(F.array_distinct(F.array(F.substring("head", 1, 1), F.substring("head", 1, 2), "head"))).alias("head"))
+    subs = starts.join(heads, "head").where(F.col("a") + F.col("k") - 1 <= F.length("joined")).select("source_path", "path", F.expr("substring(joined, a, k)").alias("dir")).distinct()
     nested = subs.join(own.where("dir <> ''"), "dir").select("source_path", "path", "dst")
     stems = own.where("dir = ''").select("dst", F.regexp_replace("dst", r"\.[^.]*$", "").alias("stem"))
-    rooted = cut.withColumn("stem", F.element_at("segs", -1)).join(stems, "stem").select("source_path", "path", "dst")
+    rooted = cut.withColumn("stem", F.try_element_at("segs", F.lit(-1))).join(stems, "stem").select("source_path", "path", "dst")
     pairs = exact.unionByName(inside).unionByName(nested).unionByName(rooted).select(F.col("source_path").alias("src"), "dst").where("src <> dst").distinct()
     return pairs.where(F.split("src", "/") > F.split("dst", "/")) if ordered else pairs

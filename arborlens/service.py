@@ -28,6 +28,7 @@ class Workspace:
     def _save(self, files: DataFrame, rows: DataFrame) -> CodeGraph:
         version, kept = self.store.stage(rows)
         self.store.save(build(files, self.refs, kept), version)
+        self.store.vacuum()
         return self.store.load()
 
     def reindex(self) -> CodeGraph:
@@ -86,9 +87,14 @@ class Workspace:
 
     def diff_payload(self, ref: str) -> dict:
         """Changes of the stored graph against a git revision, as five sorted lists."""
-        old = build(scan_git(self.spark, self.root, ref))
-        nodes = [r.asDict() for r in diff.diff_nodes(self.open(), old).orderBy("id").collect()]
-        edges = [r.asDict() for r in diff.diff_edges(self.open(), old).orderBy("from", "to", "type").collect()]
+        files = scan_git(self.spark, self.root, ref)
+        rows = symbols(files).persist()  # extracted once for all tables and edges
+        try:
+            old = build(files, rows=rows)
+            nodes = [r.asDict() for r in diff.diff_nodes(self.open(), old).orderBy("id").collect()]
+            edges = [r.asDict() for r in diff.diff_edges(self.open(), old).orderBy("from", "to", "type").collect()]
+        finally:
+            rows.unpersist()
         pick = lambda rows, c: [{k: v for k, v in r.items() if k != "change"} for r in rows if r["change"] == c]
         return {"added_nodes": pick(nodes, "added"), "deleted_nodes": pick(nodes, "deleted"), "modified_nodes": pick(nodes, "modified"), "added_edges": pick(edges, "added"), "deleted_edges": pick(edges, "deleted")}
 

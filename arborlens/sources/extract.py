@@ -134,6 +134,7 @@ TOKEN = re.compile(r"""(?P<doc>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>"(?:\\.|[^"\\\
 KEYWORDS = frozenset("abstract as async await break case catch chan class const continue default defer else enum export extends final finally fallthrough for from func function go goto if implements import in instanceof interface let map new of package private protected public range return select static struct super switch synchronized throw throws try type typeof var void while yield".split())
 GO_ONLY = frozenset("chan defer fallthrough func go map range select struct type".split())
 NOT_GO = frozenset("abstract as async await catch class delete do enum export extends final finally from implements in instanceof let new of private protected public static super switch synchronized throw throws try typeof void while yield".split()) - {"switch"}
+JOINING = frozenset(", = + - * / . ? : & | => (".split())
 MODIFIERS = frozenset("public private protected static final abstract synchronized native default strictfp transient volatile".split())
 FLOW = frozenset("if for while switch catch return new throw else synchronized function await typeof super this yield case".split())
 
@@ -215,7 +216,7 @@ def _braces(path: str, text: str, lang: str) -> list[dict]:
             return ""
         while at in docs:
             raw = docs[at]
-            parts.append(re.sub(r"^/\*+|\*+/$|^//+", "", raw).strip())
+            parts.append(raw.strip().removeprefix("//").removeprefix("/*").removesuffix("*/").strip())
             at -= 1 + raw.count("\n")
         return "\n".join(reversed(parts))
 
@@ -303,7 +304,7 @@ def _braces(path: str, text: str, lang: str) -> list[dict]:
                         name.append(word(j))
                     j += 1
                 out.add("import", target="".join(name).rstrip("."))
-                k = j
+                k, begin = j, j + 1
             elif lang == "js" and w == "import":
                 j = next((j for j in range(k, min(n, k + 400)) if toks[j][0] == "str"), None)
                 if j is not None:
@@ -338,7 +339,11 @@ def _braces(path: str, text: str, lang: str) -> list[dict]:
             elif lang == "js" and w in ("const", "let", "var") and is_name(k + 1):
                 hint = word(k + 3) if word(k + 2) == ":" else ""
                 named("variable", k + 1, owner, hint)
-                k += 1
+                k, j = k + 1, k + 2
+                while j < stop and word(j) not in (";", "}") and (toks[j][2] == toks[j - 1][2] or word(j) in JOINING or word(j - 1) in JOINING):
+                    if word(j) == "," and is_name(j + 1) and word(j + 2) in ("=", ",", ";", ":"):
+                        named("variable", j + 1, owner, word(j + 3) if word(j + 2) == ":" else "")
+                    j = max(close.get(j, j), angles(j) - 1) + 1
             elif lang == "js" and in_class and kind == "name" and word(params := angles(k + 1)) == "(" and word(k - 1) not in (".", "new", "@", "=") and (w not in reserved or k == begin and word(close.get(params, k) + 1) in ("{", ":")):
                 open_ = function(begin if begin <= k else k, k, params, owner)
                 k = params if open_ is None else open_

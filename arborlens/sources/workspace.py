@@ -38,6 +38,21 @@ def scan_paths(spark: SparkSession, root: str, paths: list[str], patterns: list[
     return _scanned(spark.read.format("binaryFile").load(there), root, patterns)
 
 
+def _blobs(root: str, ref: str, paths: list[str]) -> list[bytes | None]:
+    """Contents of files of a revision by one command; none for what is not a file in it."""
+    asked = [p for p in paths if "\n" not in p]  # the command takes one name a line
+    raw = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{ref}:{p}\n" for p in asked).encode(), capture_output=True, check=True, timeout=600).stdout
+    out, at = {}, 0
+    for p in asked:
+        end = raw.index(b"\n", at)
+        head, at = raw[at:end].rsplit(b" ", 2), end + 1
+        if head[-1].isdigit():
+            size = int(head[-1])
+            out[p] = raw[at : at + size] if head[-2] == b"blob" else None
+            at += size + 1
+    return [out.get(p) for p in paths]
+
+
 def scan_git(spark: SparkSession, root: str, ref: str, patterns: list[str] | None = None) -> DataFrame:
     """The same for a git revision; names are listed by one command, contents are read by the tasks."""
     if not re.fullmatch(r"[\w./@^~][\w./@^~-]*", ref):
@@ -47,8 +62,7 @@ def scan_git(spark: SparkSession, root: str, ref: str, patterns: list[str] | Non
 
     def read(batches):
         for batch in batches:
-            got = [subprocess.run(["git", "-C", root, "show", f"{ref}:{p}"], capture_output=True, timeout=60) for p in batch["path"]]
-            batch["content"] = [g.stdout if g.returncode == 0 else None for g in got]
+            batch["content"] = _blobs(root, ref, batch["path"].tolist())
             yield batch
 
     return listed.mapInPandas(read, "path string, content binary").where("content is not null").select("path", "content", F.sha2("content", 256).alias("hash"), F.lit(0).cast("long").alias("last_modified"))

@@ -81,6 +81,18 @@ class GraphStore:
         files.rename(self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT"), how)
         return v
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete all versions but the current one and the ``keep`` latest before it, which readers may still use; their names."""
+        if self.read_only:
+            raise PermissionError("the store was opened read-only")
+        now, root = self.version(), self._path(self.root)
+        there = sorted((s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v-")) if self._fs.exists(root) else []
+        old = [name for _, name in there if name != now]
+        gone = old[: max(0, len(old) - keep)]
+        for name in gone:
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+        return gone
+
     def reset(self) -> None:
         """Forget everything (a forced rebuild)."""
         if self.read_only:

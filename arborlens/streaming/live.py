@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..schema import EXTENSIONS
+from ..sources.ignore import load_patterns, matcher
 
 GAP = "1500 milliseconds"
 
@@ -18,6 +20,8 @@ class DirectoryWatch(DataSource):
     """Stream of (path, event, ts): files that appeared, changed or went since the last look.
 
     ``spark.dataSource.register(DirectoryWatch)``, then ``readStream.format("dirwatch").option("path", root)``.
+    A file is reported when its last change is ``quiet`` milliseconds old (1500 by default): of changes that
+    follow each other faster, only the last counts.  What the ignore file of the root names is not looked at.
     """
 
     @classmethod
@@ -28,24 +32,31 @@ class DirectoryWatch(DataSource):
         return "path string, event string, ts timestamp"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _WatchReader(self.options["path"])
+        return _WatchReader(self.options["path"], int(self.options.get("quiet", "1500")))
 
 
 class _WatchReader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, quiet: int = 1500):
+        self.root, self.quiet, self.ignored = root, quiet * 1_000_000, matcher(load_patterns(root))
 
-    def _look(self) -> dict[str, int]:
+    def _look(self, seen: dict[str, int]) -> dict[str, int]:
         out = {}
         for folder, folders, names in os.walk(self.root):
-            folders.sort()
+            here = os.path.relpath(folder, self.root)
+            at = (lambda n: n) if here == "." else (lambda n, here=here: f"{here}/{n}")
+            folders[:] = sorted(d for d in folders if not self.ignored(at(d)))
             for n in names:
-                if os.path.splitext(n)[1].lower() in EXTENSIONS:
-                    p = os.path.join(folder, n)
+                p = at(n)
+                if os.path.splitext(n)[1].lower() in EXTENSIONS and not self.ignored(p):
                     try:
-                        out[os.path.relpath(p, self.root)] = os.stat(p).st_mtime_ns
+                        changed = os.stat(os.path.join(folder, n)).st_mtime_ns
                     except OSError:  # went meanwhile
                         continue
+                    if changed != seen.get(p) and 0 <= time.time_ns() - changed < self.quiet:
+                        if p in seen:  # still being written: as it was, for now
+                            out[p] = seen[p]
+                        continue
+                    out[p] = changed
         return out
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -54,7 +65,8 @@ class _WatchReader(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         import datetime
 
-        seen, now = start["seen"], self._look()
+        seen = start["seen"]
+        now = self._look(seen)
         at = datetime.datetime.now(datetime.timezone.utc)
         rows = [(p, "create" if p not in seen else "write", at) for p, t in now.items() if seen.get(p) != t]
         rows += [(p, "remove", at) for p in seen if p not in now]
@@ -89,7 +101,7 @@ def debounce_batch(events: DataFrame, gap_seconds: float = 1.5) -> DataFrame:
 
 
 def follow(spark: SparkSession, root: str, apply: Callable[[list[str], list[str]], None], checkpoint: str):
-    """Start a query that calls ``apply(changed, removed)`` for every batch of debounced events under ``root``."""
+    """Start a query that calls ``apply(changed, removed)`` for every batch of events under ``root``, which the source has debounced by path."""
     spark.dataSource.register(DirectoryWatch)
     events = spark.readStream.format("dirwatch").option("path", root).load()
 

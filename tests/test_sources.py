@@ -1,5 +1,7 @@
 import json
+import os
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from arborlens.functions import paths
 from arborlens.plans import resolve
 from arborlens.service import Workspace
 from arborlens.sources.extract import extract
-from arborlens.sources.ignore import DEFAULTS, ignored, load_patterns, read_patterns
+from arborlens.sources.ignore import DEFAULTS, ignored, load_patterns, matcher, read_patterns
 from arborlens.sources.workspace import init, scan, scan_git
 from arborlens.streaming.live import DirectoryWatch, debounce, debounce_batch
 
@@ -108,7 +110,7 @@ def test_typescript_members():
     text = "const re = /ab\"c[/]d/g, q = 4 / 2;\nexport class K<T extends object> extends L<A, B> implements M { go<U>(a: U): T { return a / 2; } delete(k: string) { return 1; } async run() { if (a) { b(); } } }\nfunction id<T>(x: T): T { const inner = 1; return x; }\nexport function plain(a) { return /}/.test(a); }\n"
     functions, classes, variables, heritage = names("t.ts", text)
     assert functions == [("go", "Class"), ("delete", "Class"), ("run", "Class"), ("id", "File"), ("plain", "File")]
-    assert classes == [("K", "class")] and heritage == ["L", "M"] and [v for v, _ in variables] == ["re", "inner"]
+    assert classes == [("K", "class")] and heritage == ["L", "M"] and [v for v, _ in variables] == ["re", "q", "inner"]
 
 
 def test_python_with_errors():
@@ -215,7 +217,9 @@ def test_directory_stream(spark, tmp_path):
     root.mkdir()
     (root / "a.go").write_text("package p")
     spark.dataSource.register(DirectoryWatch)
-    q = spark.readStream.format("dirwatch").option("path", str(root)).load().writeStream.format("memory").queryName("seen").option("checkpointLocation", str(checkpoint)).start()
+    (root / "node_modules").mkdir()
+    (root / "node_modules" / "no.js").write_text("x")
+    q = spark.readStream.format("dirwatch").option("path", str(root)).option("quiet", "0").load().writeStream.format("memory").queryName("seen").option("checkpointLocation", str(checkpoint)).start()
     try:
         q.processAllAvailable()
         (root / "b.go").write_text("package p")
@@ -226,6 +230,37 @@ def test_directory_stream(spark, tmp_path):
         q.stop()
 
 
+def test_only_quiet_files_are_reported(tmp_path):
+    from arborlens.streaming.live import _WatchReader
+
+    f = tmp_path / "a.go"
+    f.write_text("package p")
+    reader = _WatchReader(str(tmp_path), 1500)
+    rows, offset = reader.read(reader.initialOffset())
+    assert list(rows) == [] and offset == {"seen": {}}
+    old = time.time() - 10
+    os.utime(f, (old, old))
+    rows, offset = reader.read(offset)
+    assert [r[:2] for r in rows] == [("a.go", "create")]
+    f.write_text("package q")
+    rows, again = reader.read(offset)
+    assert list(rows) == [] and again == offset  # changed just now
+    os.utime(f, (old + 5, old + 5))
+    rows, offset = reader.read(again)
+    assert [r[:2] for r in rows] == [("a.go", "write")]
+    f.unlink()
+    rows, offset = reader.read(offset)
+    assert [r[:2] for r in rows] == [("a.go", "remove")]
+
+
+def test_matcher_is_the_column_test(spark):
+    patterns = [*DEFAULTS, "*.log", "tmp-output", "temp_*", "a/b", "x[!0-9]y"]
+    names = ["main.go", "node_modules/x.js", "a/vendor/b.go", "x.test", "pkg/x.out", "src/builder.go", "tmp/a", "a.coverprofile", "logs/app.log", "temp_d.json", "a/b/c.go", "x/a/b.go", "xzy", "x5y", "q/xzy/r.go"]
+    df = spark.createDataFrame([(n,) for n in names], "path string").coalesce(1)
+    test = matcher(patterns)
+    assert [r[0] for r in df.select(ignored(F.col("path"), patterns)).collect()] == [test(n) for n in names]
+
+
 def test_follow_keeps_the_graph_current(spark, workspace, tmp_path_factory):
     import time
 
@@ -242,3 +277,12 @@ def test_follow_keeps_the_graph_current(spark, workspace, tmp_path_factory):
     finally:
         q.stop()
     assert "Late" in w.search_codebase("Late")
+
+
+def test_old_versions_go(spark, workspace, tmp_path_factory):
+    w = Workspace(spark, str(workspace), store=str(tmp_path_factory.mktemp("store")))
+    for k in range(4):
+        (workspace / "more.go").write_text(f"package p\nfunc More{k}() {{}}\n")
+        w.reindex()
+    kept = [n for n in os.listdir(w.store.root) if n.startswith("v-")]
+    assert len(kept) == 3 and w.store.version() in kept and w.store.vacuum(keep=0) and w.store.load().has_file("more.go")
