@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, chat, chunks, decontaminate, lines, packing, sentences, simhash, suffixes, toxicity, warc
+from . import blocks, chat, chunks, decontaminate, lines, packing, repair, sentences, simhash, suffixes, toxicity, warc
 from .common import documents
 
 
@@ -74,12 +74,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by rule, then repaired by the cheapest edits."""
+    return repair.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
 def op12_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as examples of one trainable reply each, read back from their texts."""
     return chat.digests(chat.examples(chat.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op7_main_text, op8_site_lines, op9_decontaminate, op10_suffix_dedup, op12_prefix_targets)}
+QUERIES = {f.__name__: f for f in (op1_chunk_fingerprints, op2_toxicity, op3_warc_revisits, op4_simhash_pigeonring, op5_sentence_spans, op6_mixture_packing, op7_main_text, op8_site_lines, op9_decontaminate, op10_suffix_dedup, op11_structure_repair, op12_prefix_targets)}
 
 ORACLES = {
     "op3_warc_revisits": """
@@ -95,5 +100,6 @@ SELECT doc_id, array_to_string(kept_lines, chr(10)) AS text, CAST(coalesce(len(a
     "op5_sentence_spans": sentences.SQL_CUT,
     "op9_decontaminate": decontaminate.SQL_FOUND,
     "op10_suffix_dedup": suffixes.SQL_CUT,
+    "op11_structure_repair": repair.SQL_REPAIRED,
     "op12_prefix_targets": chat.SQL_DIGESTS,
 }
