@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,7 +177,7 @@ def _at() -> list:
     return [F.coalesce(F.col("turn"), F.lit(0)).alias("at"), F.col("turn").isNull().alias("nowhere")]
 
 
-def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Repair:
+def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", piece_rows: int = PIECE) -> Repair:
     """Find and apply the cheapest edits of each conversation of ``df``.
 
     Rows go by turn, nulls first, ties by the SHA-256 of role and text; equal rows of one turn stand together.
@@ -187,7 +188,7 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
     Rows without their texts are counted by equal rows, so repeats are added up before they are shuffled, and
     partitioned by ranges of (conversation, turn, text); texts are shuffled once, to the rows that stay.
-    The plan of edits is written to the shared folder.
+    The plan of edits is written to the shared folder.  A task holds ``piece_rows`` rows without texts.
     """
     keyed = _keyed(df, conv_col, turn_col, role_col, text_col)
     groups = keyed.groupBy("conv_id", "turn", "said", "initial", "state").agg(F.count("*").alias("n"))
@@ -199,7 +200,7 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     flat = seen.select(*order, "initial", "state", "again", "n", "kind").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = T.StructType([T.StructField(f.name, f.dataType) for f in flat.schema])
     plan = T.StructType([*rows, T.StructField("piece", T.LongType()), T.StructField("i", T.LongType()), T.StructField("costs", T.ArrayType(T.LongType())), T.StructField("ranks", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("illegal", T.LongType())])
-    cut = written(flat.mapInArrow(_cut, plan), "edits")
+    cut = written(flat.mapInArrow(partial(_cut, piece_rows), plan), "edits")
     tables = cut.where("costs is not null").select("conv_id", "piece", "costs", "ranks", "ends", "illegal")
     scanned = spread(tables, "conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_scan, T.StructType([rows["conv_id"], *[T.StructField(n, T.LongType()) for n in ("piece", "before", "after", "last", "cost", "illegal")]]))
     scanned = written(scanned, "states")
@@ -237,7 +238,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the pieces of a partition's sorted rows; behind each, a row with its table."""
     from pyspark import TaskContext
 
@@ -256,7 +257,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {c: b.column(c).to_pylist() for c in ("conv_id", "kind", "n", "initial")}
         pieces, places, closed = [], [], []
         for c, kind, n, initial in zip(*columns.values(), strict=True):
-            if piece is None or c != conv or size == PIECE:
+            if piece is None or c != conv or size == most:
                 if piece is not None:
                     closed.append(close())
                     number += 1

