@@ -304,4 +304,4 @@ def debounce_sessions_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce_batch(e, 1800).select("path", F.unix_micros("last_ts").alias("last_us"), "n")
 
 
-from . import more  # noqa: E402, F401  (registers its queries)
+from . import more, upkeep  # noqa: E402, F401  (they register their queries)

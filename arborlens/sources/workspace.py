@@ -5,67 +5,56 @@ from __future__ import annotations
 import json
 import os
 import re
-import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..schema import CONFIG_DIR, EXTENSIONS, IGNORE_FILE, RULES_FILE
-from .ignore import ignored, load_patterns
+from .ignore import DEFAULTS, glob_regex, ignored
+from .tree import checked_ref, register
 
-SCAN = "path string, content binary, hash string, last_modified long"
 
+def _tree(spark: SparkSession, root: str, patterns: list[str] | None, **options: str) -> DataFrame:
+    register(spark)
+    if patterns is not None:
+        options["patterns"] = json.dumps(patterns)
+    files = spark.read.format("sourcetree").options(root=root if "://" in root else os.path.abspath(root), **options).load()
+    return files.select("path", "content", F.sha2("content", 256).alias("hash"), "last_modified")
 
-def _scanned(raw: DataFrame, root: str, patterns: list[str] | None) -> DataFrame:
-    prefix = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/")
-    plain = F.regexp_replace(F.col("path"), r"^[a-z]+:(//[^/]*)?(?=/)", "")
-    path = F.substring(plain, len(re.sub(r"^[a-z]+://[^/]*", "", prefix)) + 2, 1 << 30)
-    out = raw.withColumn("path", path).where(extension(F.col("path")).isin(*EXTENSIONS))
-    return out.where(~ignored(F.col("path"), patterns if patterns is not None else load_patterns(root))).select("path", "content", F.sha2("content", 256).alias("hash"), F.col("modificationTime").cast("long").alias("last_modified"))
+
+def _remote(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
+    """A tree on a file system that only Spark reaches.  Tests of the path are tests of the file's metadata, so
+    Spark decides them while it plans the scan, and no ignored file is opened.  Spark's own listing leaves out
+    empty files and names that begin with a dot or an underscore."""
+    at = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9+.-]+:(//[^/]*)?(?=/)", "")
+    path = F.try_url_decode(F.regexp_replace(F.substring(at, len(re.sub(r"^[a-z0-9+.-]+://[^/]*", "", root.rstrip("/"))) + 2, 1 << 30), r"\+", "%2B"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    kept = files.where(extension(path).isin(*EXTENSIONS)).where(~ignored(path, patterns))
+    for glob in (g for p in patterns if "/" in p and (g := glob_regex(p))):  # a folder that a glob names
+        kept = kept.where(~path.rlike(glob.removesuffix("$") + "/"))
+    return kept.select(path.alias("path"), "content", F.sha2("content", 256).alias("hash"), F.col("modificationTime").cast("long").alias("last_modified"))
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """(path relative to root, content, hash, last_modified) of the source files that are not ignored."""
-    return _scanned(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, patterns)
+    """(path relative to root, content, hash, last_modified) of the source files that are not ignored.
+
+    Ignored folders are not entered and ignored files are not opened.  Of a root on another file system than
+    that of the machines, ``patterns`` must be given: its ignore file is not read.
+    """
+    if "://" in root and not root.startswith("file://"):
+        return _remote(spark, root, list(DEFAULTS) if patterns is None else patterns)
+    return _tree(spark, root, patterns)
 
 
 def scan_paths(spark: SparkSession, root: str, paths: list[str], patterns: list[str] | None = None) -> DataFrame:
     """The same of the given files alone, those that exist; nothing else is read."""
-    there = [os.path.join(root, p) for p in paths if os.path.isfile(os.path.join(root, p))]
-    if not there:
-        return spark.createDataFrame([], SCAN)
-    return _scanned(spark.read.format("binaryFile").load(there), root, patterns)
-
-
-def _blobs(root: str, ref: str, paths: list[str]) -> list[bytes | None]:
-    """Contents of files of a revision by one command; none for what is not a file in it."""
-    asked = [p for p in paths if "\n" not in p]  # the command takes one name a line
-    raw = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input="".join(f"{ref}:{p}\n" for p in asked).encode(), capture_output=True, check=True, timeout=600).stdout
-    out, at = {}, 0
-    for p in asked:
-        end = raw.index(b"\n", at)
-        head, at = raw[at:end].rsplit(b" ", 2), end + 1
-        if head[-1].isdigit():
-            size = int(head[-1])
-            out[p] = raw[at : at + size] if head[-2] == b"blob" else None
-            at += size + 1
-    return [out.get(p) for p in paths]
+    return _tree(spark, root, patterns, paths=json.dumps(paths))
 
 
 def scan_git(spark: SparkSession, root: str, ref: str, patterns: list[str] | None = None) -> DataFrame:
-    """The same for a git revision; names are listed by one command, contents are read by the tasks."""
-    if not re.fullmatch(r"[\w./@^~][\w./@^~-]*", ref):
-        raise ValueError(f"not a revision: {ref!r}")
-    names = subprocess.run(["git", "-C", root, "ls-tree", "-r", "-z", "--name-only", ref, "--"], capture_output=True, check=True, timeout=60).stdout.decode().split("\0")
-    listed = spark.createDataFrame([(n,) for n in names if n], "path string").where(extension(F.col("path")).isin(*EXTENSIONS)).where(~ignored(F.col("path"), patterns if patterns is not None else load_patterns(root)))
-
-    def read(batches):
-        for batch in batches:
-            batch["content"] = _blobs(root, ref, batch["path"].tolist())
-            yield batch
-
-    return listed.mapInPandas(read, "path string, content binary").where("content is not null").select("path", "content", F.sha2("content", 256).alias("hash"), F.lit(0).cast("long").alias("last_modified"))
+    """The same for a git revision: folders are dealt to tasks, which list and read their own files."""
+    return _tree(spark, root, patterns, ref=checked_ref(ref))
 
 
 def boundary_rules(root: str) -> list[tuple[str, str]]:
