@@ -9,6 +9,42 @@ from ..functions.paths import base_dir, join_path
 from ..schema import EXTENSIONS
 
 
+#: Line ranges are cut at multiples of powers of BASE, up to BASE ** TOP.
+BASE, TOP = 8, 7
+
+
+def _covering(start, end):
+    """The fewest aligned blocks (level, block) that make up the lines start to end: block b of level k has the
+    lines from b * BASE ** k on.  Some 14 of them for each level that the range fills."""
+    low = lambda k: F.ceil(start / F.lit(BASE**k)).cast("long")
+    high = lambda k: F.floor((end + 1) / F.lit(BASE**k)).cast("long")
+    run = lambda k, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(F.lit(k).alias("level"), x.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+    parts = []
+    for k in range(TOP + 1):
+        whole = run(k, low(k), high(k))
+        if k < TOP:
+            a, b = low(k + 1), high(k + 1)
+            whole = F.when(a < b, F.concat(run(k, low(k), a * BASE), run(k, b * BASE, high(k)))).otherwise(whole)
+        parts.append(whole)
+    return F.concat(*parts)
+
+
+def enclosing_functions(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """(ref_path, ref_line, src): for each distinct point the first function by (``ord``, id) that holds it, if any.
+
+    A range is some blocks and a line is in one block of each level, so "holds" is an equality.  Of the functions
+    of a block only the first counts and is kept before the join, so a line meets one row a level, however many
+    functions nest or lie in its file; keys are blocks, so a large file is spread like any other.
+    """
+    f = functions.where("start_line <= end_line").select("file_path", F.struct("ord", "id").alias("first"), F.inline(_covering(F.col("start_line"), F.col("end_line"))))
+    f = f.groupBy("file_path", "level", "block").agg(F.min("first").alias("first"))
+    p = points.select("ref_path", "ref_line").where("ref_path is not null and ref_line is not null").distinct()
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("ref_line") / F.lit(BASE**k)).cast("long").alias("block")) for k in range(TOP + 1)])
+    p = p.select("ref_path", "ref_line", F.inline(levels))
+    hits = p.join(f, (p.ref_path == f.file_path) & (p.level == f.level) & (p.block == f.block))
+    return hits.groupBy("ref_path", "ref_line").agg(F.min("first").alias("first")).select("ref_path", "ref_line", F.col("first.id").alias("src"))
+
+
 def resolve_references(refs: DataFrame, functions: DataFrame) -> DataFrame:
     """CALLS edges (src, dst): for each reference (callee_id, ref_path, ref_line) the enclosing function.
 
@@ -18,9 +54,8 @@ def resolve_references(refs: DataFrame, functions: DataFrame) -> DataFrame:
     a task that is run again gives the same rows.
     """
     r = refs.groupBy("callee_id", "ref_path", "ref_line").agg(F.count("*").cast("int").alias("times"))
-    hits = r.join(functions.select("id", "file_path", "start_line", "end_line", "ord"), (F.col("ref_path") == F.col("file_path")) & F.col("ref_line").between(F.col("start_line"), F.col("end_line")))
-    first = hits.groupBy("callee_id", "ref_path", "ref_line", "times").agg(F.min_by("id", "ord").alias("src"))
-    return first.where("src <> callee_id").select("src", F.col("callee_id").alias("dst"), F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
+    found = r.join(enclosing_functions(r, functions), ["ref_path", "ref_line"])
+    return found.where("src <> callee_id").select("src", F.col("callee_id").alias("dst"), F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
 
 
 def resolve_inheritance(implements: DataFrame, classes: DataFrame) -> DataFrame:
