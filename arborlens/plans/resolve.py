@@ -64,40 +64,77 @@ def resolve_inheritance(implements: DataFrame, classes: DataFrame) -> DataFrame:
     return implements.join(target, F.col("to_class_name") == F.col("name")).select(F.col("from_class_id").alias("src"), "dst").where("src <> dst")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, ordered: bool = False) -> DataFrame:
-    """(src, dst) file pairs of imports (source_path, path), each pair once, self imports left out.
+def _based(imports: DataFrame) -> DataFrame:
+    """Distinct (source_path, path) with ``base``, the path that an import with a leading dot means."""
+    return imports.select("source_path", "path").distinct().withColumn("base", F.when(F.col("path").startswith("."), join_path(base_dir(F.col("source_path")), F.col("path"))))
 
-    An import that starts with a dot is joined to its file's directory: the first existing file by extension
-    order wins; else, if that is a directory, every file whose path starts with it.  Any other, or one that
-    found nothing, is cut at dots and slashes, and a file matches if its directory occurs in the cut import
-    joined by slashes, or, at the root, if the last part is the file's stem.  ``ordered`` keeps only pairs
-    whose source comes after its target by path components.
-    """
-    i = imports.select("source_path", "path").distinct().withColumn("base", F.when(F.col("path").startswith("."), join_path(base_dir(F.col("source_path")), F.col("path"))))
-    f = files.select(F.col("path").alias("dst")).distinct()
+
+def _exact(i: DataFrame, f: DataFrame) -> DataFrame:
+    """(source_path, path, dst, rank) where a file is the base and an extension, ranked by it."""
     tries = i.where("base is not null").select("source_path", "path", "base", F.posexplode(F.array(*[F.lit(e) for e in EXTENSIONS])).alias("rank", "ext"))
-    exact = tries.join(f, F.concat("base", "ext") == F.col("dst")).groupBy("source_path", "path").agg(F.min_by("dst", "rank").alias("dst"))
-    rest = i.join(exact.select("source_path", "path"), ["source_path", "path"], "left_anti")
-    # a directory and each of its ancestors are one key each, so the prefix test on path borders is an equality
-    parents = f.withColumn("parts", F.split("dst", "/")).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts")))).where("n < size(parts)").select("dst", F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("dir"))
-    known = rest.where("base is not null").join(parents.select("dir").distinct(), F.col("base") == F.col("dir"), "left_semi").select("source_path", "path", "base")
-    # a path starts with the base if it is in a directory that does, or is the base's sibling: the parent holds both
-    borders = f.withColumn("up", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("dst", "/"))), lambda k: F.array_join(F.slice(F.split("dst", "/"), 1, k - 1), "/"))))))
-    inside = known.withColumn("up", base_dir(F.col("base"))).join(borders, "up").where(F.col("dst").startswith(F.col("base"))).select("source_path", "path", "dst").distinct()
-    loose = rest.join(known.select("source_path", "path"), ["source_path", "path"], "left_anti")
-    cut = loose.withColumn("segs", F.filter(F.split("path", "[./]"), lambda x: x != "")).where("size(segs) > 0").withColumn("joined", F.array_join("segs", "/"))
+    return tries.join(f, F.concat("base", "ext") == F.col("dst")).select("source_path", "path", "dst", "rank")
+
+
+def _folders(path) -> F.Column:
+    """The folders above a path, the root ('') among them."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k - 1), "/"))
+
+
+def _beginning(i: DataFrame, f: DataFrame) -> DataFrame:
+    """(source_path, path, dst) of files whose path begins with the base.
+
+    Of a file's beginnings only those as long as some base in the same folder are made, a few for each folder
+    above it; what then meets is equal, at the root as elsewhere.
+    """
+    lengths = i.select(base_dir(F.col("base")).alias("up"), F.length("base").alias("k")).distinct()
+    heads = f.select("dst", F.explode(F.array_distinct(_folders(F.col("dst")))).alias("up")).join(lengths, "up").where(F.length("dst") >= F.col("k")).select("dst", F.expr("substring(dst, 1, k)").alias("base")).distinct()
+    return i.join(heads, "base").select("source_path", "path", "dst").distinct()
+
+
+def _loose(i: DataFrame, f: DataFrame) -> DataFrame:
+    """(source_path, path, dst) of files whose directory occurs in the import cut at dots and slashes, or whose stem, at the root, is its last part."""
+    cut = i.withColumn("segs", F.filter(F.split("path", "[./]"), lambda x: x != "")).where("size(segs) > 0").withColumn("joined", F.array_join("segs", "/"))
     # every directory that occurs in the joined import is one of its substrings: an equality join on those
     # short strings instead of a comparison of all files with all imports
-    n = F.length("joined")
     own = f.withColumn("dir", base_dir(F.col("dst")))
     # only substrings as long as some directory that begins with the same three characters are made
     heads = own.where("dir <> ''").select(F.substring("dir", 1, 3).alias("head"), F.length("dir").alias("k")).distinct()
-    starts = cut.select("source_path", "path", "joined", F.explode(F.sequence(F.lit(1), n)).alias("a")).withColumn("head", F.expr("substring(joined, a, 3)"))
+    starts = cut.select("source_path", "path", "joined", F.explode(F.sequence(F.lit(1), F.length("joined"))).alias("a")).withColumn("head", F.expr("substring(joined, a, 3)"))
     # a directory of one or two characters is a head by itself, inside a longer one of the import too
     starts = starts.select("source_path", "path", "joined", "a", F.explode(F.array_distinct(F.array(F.substring("head", 1, 1), F.substring("head", 1, 2), "head"))).alias("head"))
     subs = starts.join(heads, "head").where(F.col("a") + F.col("k") - 1 <= F.length("joined")).select("source_path", "path", F.expr("substring(joined, a, k)").alias("dir")).distinct()
     nested = subs.join(own.where("dir <> ''"), "dir").select("source_path", "path", "dst")
     stems = own.where("dir = ''").select("dst", F.regexp_replace("dst", r"\.[^.]*$", "").alias("stem"))
-    rooted = cut.withColumn("stem", F.try_element_at("segs", F.lit(-1))).join(stems, "stem").select("source_path", "path", "dst")
-    pairs = exact.unionByName(inside).unionByName(nested).unionByName(rooted).select(F.col("source_path").alias("src"), "dst").where("src <> dst").distinct()
+    return nested.unionByName(cut.withColumn("stem", F.try_element_at("segs", F.lit(-1))).join(stems, "stem").select("source_path", "path", "dst"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, ordered: bool = False) -> DataFrame:
+    """(src, dst) file pairs of imports (source_path, path), each pair once, self imports left out.
+
+    An import that starts with a dot is joined to its file's directory: the first existing file by extension
+    order wins; else, if that is a directory, every file whose path starts with it.  Any other, or one that
+    found nothing, is cut at dots and slashes, and a file matches if its directory occurs in the cut import
+    joined by slashes, or, at the root, if the last part is the file's stem.  ``ordered`` keeps only pairs
+    whose source comes after its target by path components.
+    """
+    i, f = _based(imports), files.select(F.col("path").alias("dst")).distinct()
+    key = ["source_path", "path"]
+    exact = _exact(i, f).groupBy(*key).agg(F.min_by("dst", "rank").alias("dst"))
+    rest = i.join(exact.select(*key), key, "left_anti")
+    directories = f.select(F.explode(_folders(F.col("dst"))).alias("base")).where("base <> ''").distinct()
+    known = rest.where("base is not null").join(directories, "base", "left_semi").select("source_path", "path", "base")
+    loose = rest.join(known.select(*key), key, "left_anti")
+    pairs = exact.unionByName(_beginning(known, f)).unionByName(_loose(loose, f)).select(F.col("source_path").alias("src"), "dst").where("src <> dst").distinct()
     return pairs.where(F.split("src", "/") > F.split("dst", "/")) if ordered else pairs
+
+
+def affected_sources(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source_path) of imports that may resolve to other files once the files ``paths`` (path) have come or gone.
+
+    Whether an import finds a file, a directory or neither depends on files that one of the three rules lets it
+    meet; so if it meets none of these, it resolves as before.
+    """
+    i, f = _based(imports), paths.select(F.col("path").alias("dst")).distinct()
+    met = _exact(i, f).select("source_path").unionByName(_beginning(i.where("base is not null"), f).select("source_path")).unionByName(_loose(i, f).select("source_path"))
+    return met.distinct()

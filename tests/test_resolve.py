@@ -1,6 +1,8 @@
 """Joins that resolve references, against brute force."""
 
+import os
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -57,3 +59,59 @@ def test_a_large_file_with_nested_functions_is_linear(spark):
     assert edges.where(F.col("dst") == "x").count() == n
     assert time.time() - began < 120
     assert edges.agg(F.sum(F.substring("src", 2, 20).cast("long"))).first()[0] == n * (n - 1) // 2  # the innermost is the first here
+
+
+EXT = [".go", ".py", ".js", ".jsx", ".ts", ".tsx", ".java"]
+
+
+def targets(source, path, files):
+    """One import by the rules, file by file."""
+    if path.startswith("."):
+        base = os.path.normpath(os.path.join(os.path.dirname(source), path))
+        base = "" if base == "." else base
+        for e in EXT:
+            if base + e in files:
+                return {base + e}
+        if base and any(f.startswith(base + "/") for f in files):
+            return {f for f in files if f.startswith(base)}
+    segs = [x for x in re.split(r"[./]", path) if x]
+    joined = "/".join(segs)
+    return {f for f in files if segs and (os.path.dirname(f) in joined if "/" in f else segs[-1] == f.rpartition(".")[0])}
+
+
+def imports_of(rng, n):
+    names = ["a", "b", "lib", "library", "l", "util", "src"]
+    path = lambda k: "/".join(rng.choices(names, k=k))
+    files = sorted({path(rng.randint(1, 3)) + rng.choice(EXT) for _ in range(40)})
+    imports = [(rng.choice(files), rng.choice(["./", "../", "../../", "", "", "x.y."]) + path(rng.randint(1, 3)).replace("/", rng.choice("/."))) for _ in range(n)]
+    return files, imports + [(rng.choice(files), p) for p in (".", "..", "./", "", "...", "./lib", "../lib")]
+
+
+def resolved(spark, imports, files):
+    df = resolve.resolve_imports(spark.createDataFrame(imports, "source_path string, path string"), spark.createDataFrame([(f,) for f in files], "path string"))
+    rows = [(r.src, r.dst) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_imports_match_brute_force(spark):
+    for seed in range(3):
+        files, imports = imports_of(random.Random(seed), 150)
+        want = {(s, t) for s, p in imports for t in targets(s, p, set(files)) if t != s}
+        assert resolved(spark, imports, files) == want
+
+
+def test_only_affected_sources_change(spark):
+    rng = random.Random(9)
+    files, imports = imports_of(rng, 200)
+    for _ in range(4):
+        shift = rng.sample(files, 3)
+        left = [f for f in files if f not in shift]
+        now = {s: set() for s, _ in imports} | {}
+        then = {s: set() for s, _ in imports}
+        for s, p in imports:
+            now[s] |= targets(s, p, set(files))
+            then[s] |= targets(s, p, set(left))
+        changed = {s for s in now if now[s] != then[s]}
+        got = {r.source_path for r in resolve.affected_sources(spark.createDataFrame(imports, "source_path string, path string"), spark.createDataFrame([(f,) for f in shift], "path string")).collect()}
+        assert changed <= got and changed
