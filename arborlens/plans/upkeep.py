@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.extract import ROWS
 from ..sources.tree import register
+from ..upkeep import LiveGraph
 from .catalogue import query
 from .shared import new_folder
 
@@ -30,3 +32,62 @@ def tree_scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
     page = F.from_json("line", "page_id long, html string")
     return lines.select(page.alias("p"), "folder").select("p.page_id", "folder", F.sha2(F.coalesce("p.html", F.lit("")).cast("binary"), 256).alias("hash"))
+
+
+# ---- a graph that is kept current -----------------------------------------------------------------------------------------
+
+#: Events as versions of files: what a version's file imports, declares, extends and calls.
+_VERSIONS = """SELECT concat('m', CAST(user_id % 7 AS STRING), '/u', CAST(user_id AS STRING), '/f', CAST(event_id % 40 AS STRING), CASE WHEN user_id % 2 = 0 THEN '.py' ELSE '.go' END) AS path,
+event_id, event_type <> 'error' AS there, CASE WHEN event_id % 4 = 0 THEN concat('./f', CAST((event_id + 1) % 40 AS STRING)) WHEN event_id % 4 = 1 THEN concat('../u', CAST(user_id + 7 AS STRING))
+WHEN event_id % 4 = 2 THEN concat('pkg.m', CAST((user_id + 1) % 7 AS STRING), '.u', CAST(user_id + 1 AS STRING), '.T') ELSE concat('../../m', CAST(event_id % 7 AS STRING), '/u', CAST(event_id % 150 AS STRING), '/f', CAST(event_id % 40 AS STRING)) END AS target,
+concat('K', CAST(event_id % 700 AS STRING)) AS class_name, concat('K', CAST(event_id % 613 AS STRING)) AS parent_name, event_id % 25 AS line FROM {events}"""
+
+
+def _rows(versions: DataFrame) -> DataFrame:
+    """Rows as an extractor gives them: an import, a class that extends another and a function of 20 lines."""
+    there = versions.where("there")
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ROWS.split(", ")}
+    row = lambda **x: F.struct(*[x[c].alias(c) if c in x else v for c, v in none.items()])
+    path, cl, fn = F.col("path"), F.concat("path", F.lit(":c")), F.concat("path", F.lit(":f"))
+    file = {"file_path": path, "parent_id": path, "parent_type": F.lit("File")}
+    kinds = F.array(
+        row(kind=F.lit("import"), target=F.col("target"), file_path=path),
+        row(kind=F.lit("class"), id=cl, name=F.col("class_name"), **file),
+        row(kind=F.lit("implements"), parent_id=cl, target=F.col("parent_name"), file_path=path),
+        row(kind=F.lit("function"), id=fn, name=F.lit("f"), start_line=F.lit(1).cast("long"), end_line=F.lit(20).cast("long"), ord=F.lit(0).cast("long"), **file),
+    )
+    return there.select(F.inline(kinds))
+
+
+_LAST = f"""v AS ({_VERSIONS.format(events='events')}), f AS (SELECT * FROM v WHERE event_id IN (SELECT max(event_id) FROM v GROUP BY path) AND there),
+d AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM f),
+i AS (SELECT path AS src, target, CASE WHEN target LIKE './%' THEN regexp_replace(path, '/[^/]*$', '') || substr(target, 2) WHEN target LIKE '../../%' THEN substr(target, 7) WHEN target LIKE '../%' THEN split_part(path, '/', 1) || substr(target, 3) END AS base FROM f),
+exact AS (SELECT src, coalesce(g.path, p.path) AS dst FROM i LEFT JOIN f g ON g.path = base || '.go' LEFT JOIN f p ON p.path = base || '.py' WHERE coalesce(g.path, p.path) IS NOT NULL),
+folder AS (SELECT src, base FROM i WHERE src NOT IN (SELECT src FROM exact) AND base IN (SELECT dir FROM d UNION ALL SELECT split_part(dir, '/', 1) FROM d)),
+loose AS (SELECT src, array_to_string(list_filter(string_split_regex(target, '[./]'), lambda x: x <> ''), '/') AS joined FROM i WHERE src NOT IN (SELECT src FROM exact) AND src NOT IN (SELECT src FROM folder)),
+k AS (SELECT class_name, min(path) AS path FROM f GROUP BY class_name)"""
+
+
+@query(f"""WITH {_LAST} SELECT src, dst, 'IMPORTS' AS label FROM (SELECT * FROM exact UNION ALL SELECT src, path FROM folder JOIN d ON starts_with(path, base) UNION ALL SELECT src, path FROM loose JOIN (SELECT DISTINCT dir FROM d) x ON contains(joined, x.dir) JOIN d USING (dir)) WHERE src <> dst
+UNION ALL SELECT f.path || ':c', k.path || ':c', 'IMPLEMENTS' FROM f JOIN k ON k.class_name = f.parent_name WHERE f.path <> k.path
+UNION ALL SELECT path, path || ':c', 'CONTAINS' FROM f UNION ALL SELECT path, path || ':f', 'CONTAINS' FROM f
+UNION ALL SELECT a.path || ':f', b.path || ':f', 'CALLS' FROM f a JOIN f b ON b.path = regexp_replace(a.path, '/u[0-9]*/', concat('/u', CAST(CAST(regexp_extract(a.path, '/u([0-9]*)/', 1) AS BIGINT) + 14 AS VARCHAR), '/')) WHERE a.line BETWEEN 1 AND 20""")
+def incremental_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of files: a graph of the first ones, brought up to date twice; its edges are those of the last versions."""
+    versions = spark.sql(_VERSIONS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    last = versions.agg(F.max("event_id")).first()[0] or 0
+    files = lambda v: v.where("there").select("path", F.col("event_id").cast("string").alias("hash"), F.col("event_id").alias("last_modified"))
+    latest = lambda v: v.groupBy("path").agg(F.max(F.struct("event_id", *[c for c in v.columns if c not in ("path", "event_id")])).alias("v")).select("path", "v.*")
+    live = LiveGraph(spark, new_folder(spark, "live"), 32)
+    for k, upto in enumerate((last * 17 // 20, last * 19 // 20, last)):
+        now = latest(versions.where(F.col("event_id") <= upto)).where("there")
+        callee = F.concat(F.regexp_extract("path", "^(.*/u)", 1), (F.regexp_extract("path", "/u([0-9]*)/", 1).cast("long") + 14).cast("string"), F.regexp_extract("path", "/u[0-9]*(/.*)$", 1))
+        refs = now.select(callee.alias("callee"), F.col("path").alias("ref_path"), F.col("line").alias("ref_line")).join(now.select(F.col("path").alias("callee")), "callee", "left_semi")
+        refs = refs.select(F.concat("callee", F.lit(":f")).alias("callee_id"), "ref_path", "ref_line")
+        if k == 0:
+            live.build(files(now), _rows(now), refs)
+        else:
+            new = latest(versions.where((F.col("event_id") <= upto) & (F.col("event_id") > before)))
+            live.update(new.select("path"), files(new), _rows(new), refs)
+        before = upto
+    return live.graph().edges.select("src", "dst", "label")

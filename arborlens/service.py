@@ -14,6 +14,7 @@ from .schema import CONFIG_DIR, FILES
 from .sources.extract import build, symbols
 from .sources.workspace import boundary_rules, scan, scan_git, scan_paths
 from .store import GraphStore
+from .upkeep import LiveGraph
 
 
 class Workspace:
@@ -59,6 +60,26 @@ class Workspace:
         rows = old.join(touched.withColumnRenamed("path", "file_path"), "file_path", "left_anti").select(*old.columns).unionByName(symbols(fresh))
         return self._save(files, rows)
 
+    def live(self) -> LiveGraph:
+        """The graph that ``refresh`` keeps current, built from the tree if there is none yet."""
+        live = LiveGraph(self.spark, os.path.join(self.store.root, "live"))
+        if live.table("files").limit(1).isEmpty():
+            files = scan(self.spark, self.root)
+            _, rows = self.store.stage(symbols(files))  # extracted once
+            live.build(files.select(*FILES.names), rows, self.refs)
+            self.store.vacuum()
+        return live
+
+    def refresh(self, changed: list[str], removed: list[str]) -> CodeGraph:
+        """Bring the live graph up to date after file events: only files whose edges may have changed are resolved
+        again, and only their partitions are written.  ``follow`` can call it in place of ``update``, which makes a
+        new version of the whole graph that readers see at once."""
+        live = self.live()
+        fresh = scan_paths(self.spark, self.root, changed)
+        touched = self.spark.createDataFrame([(p,) for p in {*changed, *removed}], "path string")
+        live.update(touched, fresh.select(*FILES.names), symbols(fresh), self.refs)
+        return live.graph()
+
     # The five tools.
 
     def search_codebase(self, query: str) -> str:

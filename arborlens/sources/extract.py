@@ -6,6 +6,7 @@ import ast
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
 from ..plans.resolve import resolve_imports, resolve_inheritance, resolve_references
+from ..schema import CLASSES, FUNCTIONS, VARIABLES
 
 ROWS = "kind string, id string, name string, file_path string, start_line long, end_line long, docstring string, is_exported boolean, type_category string, type_hint string, ast_hash string, parent_id string, parent_type string, target string, ord long"
 _COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
@@ -409,6 +411,13 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
+def entities(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables of functions, classes and variables that the rows hold, and the CONTAINS edges to them."""
+    fn, cl, va = (rows.where(F.col("kind") == k).dropDuplicates(["id"]) for k in ("function", "class", "variable"))
+    edges = [t.select(F.col("parent_id").alias("src"), F.col("parent_type").alias("src_type"), F.col("id").alias("dst"), F.lit(kind).alias("dst_type"), F.lit("CONTAINS").alias("label")) for t, kind in ((fn, "Function"), (cl, "Class"), (va, "Variable"))]
+    return fn.select(*FUNCTIONS.names), cl.select(*CLASSES.names), va.select(*VARIABLES.names), reduce(DataFrame.unionByName, edges)
+
+
 def build(files: DataFrame, refs: DataFrame | None = None, rows: DataFrame | None = None) -> CodeGraph:
     """The graph of scanned files (path, content, hash, last_modified) and references (callee_id, ref_path, ref_line).
 
@@ -416,16 +425,10 @@ def build(files: DataFrame, refs: DataFrame | None = None, rows: DataFrame | Non
     """
     rows = symbols(files) if rows is None else rows
     of = lambda kind: rows.where(F.col("kind") == kind)
-    fn, cl, va = (of(k).dropDuplicates(["id"]) for k in ("function", "class", "variable"))
-    functions = fn.select("id", "name", "file_path", "docstring", "ast_hash", "start_line", "end_line", "is_exported")
-    classes = cl.select("id", "name", "file_path", "docstring", "type_category", "ast_hash")
+    functions, classes, variables, edges = entities(rows)
     edge = lambda df, a, b, label: df.select("src", F.lit(a).alias("src_type"), "dst", F.lit(b).alias("dst_type"), F.lit(label).alias("label"))
-    edges = None
-    for t, kind in ((fn, "Function"), (cl, "Class"), (va, "Variable")):
-        e = t.select(F.col("parent_id").alias("src"), F.col("parent_type").alias("src_type"), F.col("id").alias("dst"), F.lit(kind).alias("dst_type"), F.lit("CONTAINS").alias("label"))
-        edges = e if edges is None else edges.unionByName(e)
     edges = edges.unionByName(edge(resolve_imports(of("import").select(F.col("file_path").alias("source_path"), F.col("target").alias("path")), files), "File", "File", "IMPORTS"))
     edges = edges.unionByName(edge(resolve_inheritance(of("implements").select(F.col("parent_id").alias("from_class_id"), F.col("target").alias("to_class_name")), classes), "Class", "Class", "IMPLEMENTS"))
     if refs is not None:
-        edges = edges.unionByName(edge(resolve_references(refs, fn), "Function", "Function", "CALLS"))
-    return CodeGraph(files.select("path", "hash", "last_modified"), functions, classes, va.select("id", "name", "file_path", "type_hint"), edges)
+        edges = edges.unionByName(edge(resolve_references(refs, of("function").dropDuplicates(["id"])), "Function", "Function", "CALLS"))
+    return CodeGraph(files.select("path", "hash", "last_modified"), functions, classes, variables, edges)
