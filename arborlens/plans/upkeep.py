@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.extract import ROWS
 from ..sources.tree import register
+from ..streaming.bursts import bursts, keyed_state
+from ..streaming.files import one_or_many
 from ..upkeep import LiveGraph
 from .catalogue import query
 from .shared import new_folder
@@ -91,3 +93,23 @@ def incremental_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
             live.update(new.select("path"), files(new), _rows(new), refs)
         before = upto
     return live.graph().edges.select("src", "dst", "label")
+
+
+# ---- bursts from keyed state ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(user_id AS STRING) AS path, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, arg_max(event_type, [epoch_us(ts)]) AS last_event, CAST(count(*) AS BIGINT) AS n FROM
+(SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 10800000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k""")
+def debounce_stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: each burst of a user's events once, when a timer of three hours has run out."""
+    folder, path = new_folder(spark, "bursts"), f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    shown = lambda df: df.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    later = shown(table).agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("path"), F.lit("").alias("event"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    later.write.parquet(f"{folder}/clock")  # moves time on, so that the last bursts come out
+    events = shown(spark.readStream.schema(table.schema).parquet(one_or_many(path)))
+    events = events.unionByName(spark.readStream.schema(later.schema).parquet(f"{folder}/clock"))
+    with keyed_state(spark):
+        q = bursts(events, 10_800_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..schema import EXTENSIONS
 from ..sources.ignore import load_patterns, matcher
+from .bursts import keyed_state, quiet_paths
 
 GAP = "1500 milliseconds"
 
@@ -100,14 +101,18 @@ def debounce_batch(events: DataFrame, gap_seconds: float = 1.5) -> DataFrame:
     return marked.groupBy("path", "_k").agg(F.max("ts").alias("last_ts"), F.max_by("event", "ts").alias("last_event"), F.count("*").alias("n")).drop("_k")
 
 
-def follow(spark: SparkSession, root: str, apply: Callable[[list[str], list[str]], None], checkpoint: str):
-    """Start a query that calls ``apply(changed, removed)`` for every batch of events under ``root``, which the source has debounced by path."""
+def follow(spark: SparkSession, root: str, apply: Callable[[list[str], list[str]], None], checkpoint: str, quiet_ms: int = 1500):
+    """Start a query that calls ``apply(changed, removed)`` with the paths under ``root`` that have been quiet for ``quiet_ms``.
+
+    The source reports each change as it sees it; what follows faster is held together by a timer for each path.
+    """
     spark.dataSource.register(DirectoryWatch)
-    events = spark.readStream.format("dirwatch").option("path", root).load()
+    events = spark.readStream.format("dirwatch").option("path", root).option("quiet", "0").load()
 
     def batch(df: DataFrame, _: int) -> None:
-        last = df.groupBy("path").agg(F.max_by("event", "ts").alias("event")).collect()
+        last = df.groupBy("path").agg(F.max_by("last_event", "last_us").alias("event")).collect()
         if last:
             apply([r.path for r in last if r.event != "remove"], [r.path for r in last if r.event == "remove"])
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime="1500 milliseconds").start()
+    with keyed_state(spark):
+        return quiet_paths(events, quiet_ms).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{quiet_ms} milliseconds").start()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.sources.ignore import ignored
+from arborlens.streaming.files import one_or_many
 
 from .common import command, log, read_or_empty
 
@@ -46,12 +47,6 @@ def repeated(found: DataFrame) -> DataFrame:
     return whole.where("n_places > 1").select("source", "digest", "n_places", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), "part")
 
 
-def one_or_many(path: str) -> str:
-    """A path as a pattern that matches it alone: file streams take folders and patterns, but not a single file."""
-    path = path.rstrip("/")
-    return path if set(path) & set("*?[]{}") else f"{path[:-1]}[{path[-1]}]"
-
-
 def _take(spark: SparkSession, documents: str, output: str, checkpoint: str, window: int, parts: int, spread: int, files_per_batch: int | None, ignore: Sequence[str]) -> int:
     """Append the passages of the files that have not been read yet; the number of their documents."""
     stream = spark.readStream.schema("doc_id long, text string, source string")
