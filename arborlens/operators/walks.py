@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from ..plans.shared import written
 
 
 def clamp(depth: int, low: int = 1, high: int = 5) -> int:
@@ -44,23 +45,34 @@ def call_chain(graph: CodeGraph, target: str, depth: int = 3, mode: str = "count
 def cyclic_files(graph: CodeGraph, depth: int = 5) -> DataFrame:
     """(file_path) of every file on a closed walk of 1 to ``depth`` imports, once each.
 
-    Files that only import or are only imported go first.  The frontier holds each (start, file) once; a start
-    that has come back is one row from then on, as one closed walk is enough.  A walk is closed by the edge back
-    to its start, so the longest walks are never made.  Each step reads the one before it once, so nothing is
-    kept in memory.
+    Files that only import or are only imported go first.  Walks of two imports are closed by an edge that meets
+    its own reverse, which makes no pairs.  Longer ones are made for the files that are left alone: what a file
+    reaches in two or three steps meets what reaches it in one or two, so no walk is followed for more than
+    three steps, and a file that has come back is followed no further.  Edges and what each length has found
+    are written to the shared folder; where no file is left, no longer walk is looked for.
     """
+    depth = clamp(depth)
     e = graph.labelled("IMPORTS", "File", "File").select("src", "dst").distinct()
-    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    home = e.select(F.col("src").alias("node"), F.col("dst").alias("start"), F.lit(True).alias("back"))
-    state = e.select(F.col("src").alias("start"), F.col("dst").alias("node"), (F.col("src") == F.col("dst")).alias("found"))
-    of_start = Window.partitionBy("start")
-    for k in range(2, clamp(depth) + 1):
-        state = state.join(home, ["start", "node"], "left").withColumn("found", F.max(F.col("found") | F.coalesce("back", F.lit(False))).over(of_start))
-        state = state.select("start", F.when(F.col("found"), F.col("start")).otherwise(F.col("node")).alias("node"), "found").distinct()
-        if k < clamp(depth):
-            state = state.join(e, (F.col("node") == F.col("src")) & ~F.col("found"), "left").where("found or dst is not null")
-            state = state.select("start", F.coalesce("dst", "node").alias("node"), "found").distinct()
-    return state.where("found").select(F.col("start").alias("file_path")).distinct()
+    e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+    found = e.where("src = dst").select("src")
+    if depth > 1:
+        found = found.unionByName(e.join(e.toDF("dst", "src"), ["src", "dst"], "left_semi").select("src")).distinct()
+    if depth > 2:
+        found = written(found, "cyclic")
+        # (start, node): what a start reaches, and what reaches it
+        after = e.join(found, "src", "left_anti").toDF("start", "node")
+        before = e.join(found.toDF("dst"), "dst", "left_anti").select(F.col("dst").alias("start"), F.col("src").alias("node"))
+        for length in range(3, depth + 1):
+            if before.isEmpty():
+                break
+            if length == 4:
+                before = written(before.join(e.toDF("next", "node"), "node").select("start", F.col("next").alias("node")).distinct(), "before")
+            else:
+                after = written(after.join(e.toDF("node", "next"), "node").select("start", F.col("next").alias("node")).distinct(), "after")
+            met = written(after.join(before, ["start", "node"], "left_semi").select("start").distinct(), "met")
+            found = found.unionByName(met.toDF("src"))
+            after, before = after.join(met, "start", "left_anti"), before.join(met, "start", "left_anti")
+    return found.select(F.col("src").alias("file_path")).distinct()
 
 
 def cycles(graph: CodeGraph, limit: int = 5) -> DataFrame:
