@@ -23,7 +23,7 @@ def call_chain(graph: CodeGraph, target: str, depth: int = 3, mode: str = "count
     if mode not in ("counted", "distinct", "bag"):
         raise ValueError(mode)
     fn = graph.functions.select("id", "name", "file_path")
-    many = graph.labelled("CALLS").groupBy("src", "dst").agg(F.count("*").alias("m"))
+    many = written(graph.labelled("CALLS").groupBy("src", "dst").agg(F.count("*").alias("m")), "calls")
     front = fn.where(F.col("name") == target).select(F.col("id").alias("node"), F.col("id").alias("tgt"), F.lit(1).cast("decimal(38,0)").alias("n"))
     found = None
     for _ in range(clamp(depth)):
