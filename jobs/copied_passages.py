@@ -14,6 +14,7 @@ writes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -24,9 +25,10 @@ from arborlens.streaming.files import one_or_many
 
 from .common import command, log, read_or_empty
 
-PASSAGES = "source string, doc_id long, line int, digest string, part int"
+PASSAGES = "source string, doc_id long, line int, digest binary, part int"
 REPORT = "source string, digest string, n_places long, n_docs long, first_doc long, first_line int, part int"
 COUNTED = "n long, part int"
+SETTINGS = "window int, parts int, ignore string"
 
 
 def passages(docs: DataFrame, window: int) -> DataFrame:
@@ -35,7 +37,7 @@ def passages(docs: DataFrame, window: int) -> DataFrame:
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), even(x).alias("said")))
     lines = docs.select("source", "doc_id", F.filter(numbered, lambda x: x.said != "").alias("lines")).where("size(lines) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("lines") - (window - 1), F.lit(1)))
-    digest = lambda k: F.sha2(F.array_join(F.transform(F.slice("lines", k, F.lit(window)), lambda x: x.said), "\n").cast("binary"), 256)
+    digest = lambda k: F.unhex(F.sha2(F.array_join(F.transform(F.slice("lines", k, F.lit(window)), lambda x: x.said), "\n").cast("binary"), 256))
     found = F.transform(starts, lambda k: F.struct(F.element_at("lines", k).line.alias("line"), digest(k).alias("digest")))
     return lines.select("source", "doc_id", F.inline(found))
 
@@ -44,7 +46,7 @@ def repeated(found: DataFrame) -> DataFrame:
     """The passages that stand in a source more than once, with their first place; counts are added up by document first."""
     each = found.groupBy("part", "source", "digest", "doc_id").agg(F.count("*").alias("n"), F.min("line").alias("line"))
     whole = each.groupBy("part", "source", "digest").agg(F.sum("n").alias("n_places"), F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "line")).alias("first"))
-    return whole.where("n_places > 1").select("source", "digest", "n_places", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), "part")
+    return whole.where("n_places > 1").select("source", F.lower(F.hex("digest")).alias("digest"), "n_places", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), "part")
 
 
 def _take(spark: SparkSession, documents: str, output: str, checkpoint: str, window: int, parts: int, spread: int, files_per_batch: int | None, ignore: Sequence[str]) -> int:
@@ -63,14 +65,25 @@ def _take(spark: SparkSession, documents: str, output: str, checkpoint: str, win
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def _settle(spark: SparkSession, output: str, settings: tuple) -> None:
+    """Note what the output is made with, or refuse to go on with something else."""
+    known = [tuple(r) for r in read_or_empty(spark, f"{output}/settings", SETTINGS).collect()]
+    if known and known != [settings]:
+        raise ValueError(f"{output} was begun with window, parts, ignore = {known[0]}, not {settings}")
+    if not known:
+        spark.createDataFrame([settings], SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{output}/settings")
+
+
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, window: int = 3, parts: int = 64, spread: int = 8, files_per_batch: int | None = None, ignore: Sequence[str] = ()) -> dict:
     """Take the new files under ``documents`` (Parquet with doc_id, text, source) and bring ``<output>/report`` up to date.
 
     Null and blank texts have no passages, a null source is a source of its own, an id that comes again is more
     lines of the same document.  ``ignore`` are patterns of ``source/doc_id``, as in an ignore file.  ``window``,
-    ``parts`` and ``ignore`` belong to the output and stay as they were when it was begun.
+    ``parts`` and ``ignore`` belong to the output: a run with others than it was begun with is an error.
+    ``spread`` tasks write a partition of a batch; ``files_per_batch`` bounds what a batch of the stream takes.
     """
     output = output.rstrip("/")
+    _settle(spark, output, (window, parts, json.dumps(sorted(ignore))))
     log.info("reading new files of %s (checkpoint %s)", documents, checkpoint)
     docs = _take(spark, documents, output, checkpoint, window, parts, spread, files_per_batch, ignore)
     log.info("read %d new documents, passages are in %s/passages", docs, output)

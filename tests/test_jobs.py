@@ -66,6 +66,7 @@ def test_copied_passages_of_growing_input(spark, tmp_path):
 def test_a_run_broken_off_after_the_stream_is_made_good(spark, tmp_path):
     docs, out, check = f"{tmp_path}/docs", f"{tmp_path}/out", f"{tmp_path}/check"
     spark.createDataFrame(FIRST, DOCS).write.parquet(docs)
+    copied_passages._settle(spark, out, (3, 4, "[]"))
     copied_passages._take(spark, docs, out, check, 3, 4, 2, None, ())
     assert result(spark, out) == {}
     assert copied_passages.run(spark, docs, out, check, parts=4)["documents"] == 0
@@ -93,6 +94,16 @@ def test_ignored_documents_and_empty_input(spark, tmp_path):
     assert result(spark, out) == brute([r for r in FIRST + SECOND if r[3] != "y"])
 
 
+def test_settings_belong_to_the_output(spark, tmp_path):
+    spark.createDataFrame(FIRST, DOCS).write.parquet(f"{tmp_path}/docs")
+    job = lambda **more: copied_passages.run(spark, f"{tmp_path}/docs", f"{tmp_path}/out", f"{tmp_path}/c", **more)
+    job(window=2)
+    assert result(spark, f"{tmp_path}/out") == brute(FIRST, 2)
+    with pytest.raises(ValueError, match="begun with"):
+        job(window=3)
+    assert job(window=2)["documents"] == 0
+
+
 def test_a_hot_source_and_passage(spark, tmp_path):
     rows = [(k, "same\nlines\nhere", "en", "hot") for k in range(3000)] + [(5000 + k, f"own {k}", "en", "hot") for k in range(50)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/docs")
