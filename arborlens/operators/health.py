@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -48,21 +49,30 @@ def clone_groups(graph: CodeGraph) -> DataFrame:
 def boundary_violations(graph: CodeGraph, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """One row for each edge and rule (from, to) whose substrings the ends' paths contain.
 
-    Rules are configuration; they are one literal array, so each edge is tested in place and nothing is
-    joined with them.
+    Rules are configuration, one constant of the plan.  They are matched with nodes, before edges are joined:
+    each function or file carries the numbers of the rules whose sides it matches, and an edge breaks the rules
+    that its ends have in common.  So the cost of the rules does not grow with the edges.
     """
     shown = ["type", "from_path", "from_symbol", "to_path", "to_symbol"]
-    fn = graph.functions.select("id", "name", "file_path")
-    src, dst = fn.toDF("src", "from_symbol", "from_path"), fn.toDF("dst", "to_symbol", "to_path")
-    calls = graph.labelled("CALLS").select("src", "dst").join(src, "src").join(dst, "dst").select(F.lit("CALL").alias("type"), *shown[1:])
+    table = F.from_json(F.lit(json.dumps([{"k": k, "a": a, "b": b} for k, (a, b) in enumerate(rules)])), "array<struct<k:int,a:string,b:string>>")
+    sides = lambda path: (F.transform(F.filter(table, lambda r: path.contains(r[x])), lambda r: r.k) for x in "ab")
+
+    def ends(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of nodes (id, path, symbol) those that some rule's first side matches, and those that its second does."""
+        a, b = sides(F.col("path"))
+        return nodes.select(F.col("id").alias("src"), F.col("path").alias("from_path"), F.col("symbol").alias("from_symbol"), a.alias("from_rules")).where("size(from_rules) > 0"), nodes.select(
+            F.col("id").alias("dst"), F.col("path").alias("to_path"), F.col("symbol").alias("to_symbol"), b.alias("to_rules")
+        ).where("size(to_rules) > 0")
+
+    src, dst = ends(graph.functions.select("id", F.col("file_path").alias("path"), F.col("name").alias("symbol")))
+    both = lambda df, kind: df.select(F.lit(kind).alias("type"), *shown[1:], F.explode(F.array_intersect("from_rules", "to_rules")).alias("k"))
+    calls = both(graph.labelled("CALLS").select("src", "dst").join(src, "src").join(dst, "dst"), "CALL")
+    a, _ = sides(F.col("src"))
+    _, b = sides(F.col("dst"))
     none = F.lit(None).cast("string")
-    imports = graph.labelled("IMPORTS", "File", "File").select(F.lit("IMPORT").alias("type"), F.col("src").alias("from_path"), none.alias("from_symbol"), F.col("dst").alias("to_path"), none.alias("to_symbol"))
-    if not rules:
-        return calls.unionByName(imports).where("false").withColumn("rule_violated", F.lit(""))
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
-    hit = F.filter(table, lambda r: F.col("from_path").contains(r.a) & F.col("to_path").contains(r.b))
-    rows = calls.unionByName(imports).withColumn("r", F.explode(hit))
-    return rows.select(*shown, F.concat("r.a", F.lit(" -> "), "r.b").alias("rule_violated"))
+    imports = graph.labelled("IMPORTS", "File", "File").select(F.col("src").alias("from_path"), none.alias("from_symbol"), F.col("dst").alias("to_path"), none.alias("to_symbol"), a.alias("from_rules"), b.alias("to_rules"))
+    rule = F.element_at(table, F.col("k") + 1)
+    return calls.unionByName(both(imports, "IMPORT")).select(*shown, F.concat(rule.a, F.lit(" -> "), rule.b).alias("rule_violated"))
 
 
 def stats(graph: CodeGraph) -> DataFrame:

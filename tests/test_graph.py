@@ -1,6 +1,7 @@
 """Micro-fixtures of the graph operators: rows worked out by hand."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,18 @@ def test_diff(spark):
     other = graph(spark, [("1", "x", "a", "", "k", True), ("2", "z", "a", "", "k", True)], variables=[("v", "v", "a", "long")], files=[("a", "2")])
     assert {(r.change, r.id) for r in diff.diff_nodes(g, other).collect()} == {("modified", "a"), ("modified", "a::x"), ("deleted", "a::z")}
     assert [tuple(r) for r in diff.diff_edges(g, other).collect()] == [("added", "a", "a::x", "CONTAINS")]
+
+
+def test_ten_thousand_boundary_rules(spark):
+    rng = random.Random(6)
+    paths = [f"d{k % 37}/e{k % 11}/f{k}.go" for k in range(300)]
+    fn = [(f"f{k}", f"n{k}", p, "", "", True) for k, p in enumerate(paths)]
+    calls = [(f"f{rng.randrange(300)}", "Function", f"f{rng.randrange(300)}", "Function", "CALLS") for _ in range(500)]
+    imports = [(rng.choice(paths), "File", rng.choice(paths), "File", "IMPORTS") for _ in range(100)]
+    rules = [(f"d{k % 41}/", f"f{k}.") for k in range(10_000)] + [("", "e3/f3."), ("e3/f3.", "")] * 2
+    g = graph(spark, functions=fn, edges=calls + imports)
+    of = {f[0]: f[2] for f in fn}
+    ends = [("CALL", of[s], of[d]) for s, _, d, *_ in calls] + [("IMPORT", s, d) for s, _, d, *_ in imports]
+    want = sorted((t, s, d, f"{a} -> {b}") for t, s, d in ends for a, b in rules if a in s and b in d)
+    got = sorted((r.type, r.from_path, r.to_path, r.rule_violated) for r in health.boundary_violations(g, rules).collect())
+    assert got == want and len(want) > 10
