@@ -96,76 +96,33 @@ def path_columns_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- extraction ---------------------------------------------------------------------------------------------------------
 
-SOURCES = {
-    "a.go": 'package p\n\nimport (\n\t"fmt"\n\tm "os"\n)\n\n// Hello greets.\n// Twice.\nfunc Hello(a int) string { return fmt.Sprint(a) }\n\nfunc other(b int) string { return fmt.Sprint(b) }\n\ntype Box[T any] struct {\n\tval  T\n\tmore []T\n}\n\ntype Shape interface {\n\tArea() float64\n}\n\nfunc (b *Box[T]) Get() T { m.Exit(1); return b.val }\n',
-    "A.java": "package p;\nimport java.util.List;\n/** About A. */\npublic class A extends B implements C, D<E> {\n  private int count = 0;\n  A(int x) { count = x; }\n  class Inner {\n    void deep() { int local = 1; }\n  }\n  public List<String> names() { return null; }\n}\ninterface I { void f(); }\nenum Kind { ONE, TWO; int size() { return 2; } }\n",
-    "k.ts": "import { x } from './b';\nconst y = require(\"z\"), quote = /\"}/;\nexport class K<T> extends L<T> { go<U>(a: U) { return a; } }\nfunction top<T>(a: T) { function nested() {} return a; }\n",
-    "ok.py": "import os, sys\nfrom .x import y\n# About f\ndef f():\n    return 1\nclass A(B):\n    class Deep:\n        def g(self): pass\n",
-    "broken.py": "import os\ndef bad(:\n    pass\nclass C:\n    def fine(self):\n        return 1\n    def worse(self:\n        pass\n",
-}
-
-#: (kind, name or target, file, first line, last line, type of the parent, comment, exported, category, type hint, functions of one shape)
-EXTRACTED = [
-    ("import", "fmt", "a.go", None, None, None, "", None, "", "", None),
-    ("import", "os", "a.go", None, None, None, "", None, "", "", None),
-    ("function", "Hello", "a.go", 10, 10, "File", "Hello greets.\nTwice.", True, "", "", 2),
-    ("function", "other", "a.go", 12, 12, "File", "", False, "", "", 2),
-    ("class", "Box", "a.go", 14, None, "File", "", None, "struct", "", None),
-    ("variable", "val", "a.go", 15, None, "Class", "", None, "", "T", None),
-    ("variable", "more", "a.go", 16, None, "Class", "", None, "", "[]T", None),
-    ("class", "Shape", "a.go", 19, None, "File", "", None, "struct", "", None),
-    ("function", "Get", "a.go", 23, 23, "File", "", True, "", "", 1),
-    ("import", "java.util.List", "A.java", None, None, None, "", None, "", "", None),
-    ("class", "A", "A.java", 4, None, "File", "* About A.", None, "class", "", None),
-    ("implements", "B", "A.java", None, None, None, "", None, "", "", None),
-    ("implements", "C", "A.java", None, None, None, "", None, "", "", None),
-    ("implements", "D", "A.java", None, None, None, "", None, "", "", None),
-    ("variable", "count", "A.java", 5, None, "Class", "", None, "", "int", None),
-    ("class", "Inner", "A.java", 7, None, "File", "", None, "class", "", None),
-    ("function", "deep", "A.java", 8, 8, "Class", "", True, "", "", 1),
-    ("variable", "local", "A.java", 8, None, "Class", "", None, "", "int", None),
-    ("function", "names", "A.java", 10, 10, "Class", "", True, "", "", 1),
-    ("class", "I", "A.java", 12, None, "File", "", None, "interface", "", None),
-    ("function", "f", "A.java", 12, 12, "Class", "", True, "", "", 1),
-    ("function", "size", "A.java", 13, 13, "File", "", True, "", "", 1),
-    ("import", "./b", "k.ts", None, None, None, "", None, "", "", None),
-    ("import", "z", "k.ts", None, None, None, "", None, "", "", None),
-    ("variable", "y", "k.ts", 2, None, "File", "", None, "", "", None),
-    ("variable", "quote", "k.ts", 2, None, "File", "", None, "", "", None),
-    ("class", "K", "k.ts", 3, None, "File", "", None, "class", "", None),
-    ("implements", "L", "k.ts", None, None, None, "", None, "", "", None),
-    ("function", "go", "k.ts", 3, 3, "Class", "", True, "", "", 1),
-    ("function", "top", "k.ts", 4, 4, "File", "", True, "", "", 1),
-    ("function", "nested", "k.ts", 4, 4, "File", "", True, "", "", 1),
-    ("import", "os", "ok.py", None, None, None, "", None, "", "", None),
-    ("import", "sys", "ok.py", None, None, None, "", None, "", "", None),
-    ("import", ".x", "ok.py", None, None, None, "", None, "", "", None),
-    ("function", "f", "ok.py", 4, 5, "File", "# About f", True, "", "", 1),
-    ("class", "A", "ok.py", 6, None, "File", "", None, "class", "", None),
-    ("implements", "B", "ok.py", None, None, None, "", None, "", "", None),
-    ("class", "Deep", "ok.py", 7, None, "File", "", None, "class", "", None),
-    ("function", "g", "ok.py", 8, 8, "Class", "", True, "", "", 1),
-    ("import", "os", "broken.py", None, None, None, "", None, "", "", None),
-    ("function", "bad", "broken.py", 2, 3, "File", "", True, "", "", 1),
-    ("class", "C", "broken.py", 4, None, "File", "", None, "class", "", None),
-    ("function", "fine", "broken.py", 5, 6, "Class", "", True, "", "", 1),
-    ("function", "worse", "broken.py", 7, 8, "Class", "", True, "", "", 1),
-]
-_SHOWN = ["kind", "name", "file_path", "start_line", "end_line", "parent_type", "docstring", "is_exported", "type_category", "type_hint", "alike"]
-
-
 def _literal(x) -> str:
     return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT kind, name, file_path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, parent_type, docstring, is_exported, type_category, type_hint, CAST(alike AS BIGINT) AS alike FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in EXTRACTED) + ") t(" + ", ".join(_SHOWN) + ")")
+#: Parts as functions of generated source files, twenty to a file, in five languages by turns.
+_PARTS = "SELECT *, row_number() OVER (PARTITION BY q ORDER BY k) AS r, CAST(q % 5 AS INT) AS lang FROM (SELECT p_partkey AS k, CAST(floor(p_partkey / 20) AS BIGINT) AS q, coalesce(p_type, '') AS about, CAST(coalesce(p_size, 0) AS STRING) AS size FROM {part})"
+_SOURCE_FILES = """SELECT concat('s', CAST(q % 7 AS STRING), '/f', CAST(q AS STRING), element_at(array('.go', '.py', '.java', '.ts', '.js'), lang + 1)) AS path,
+concat(CASE lang WHEN 0 THEN 'package p\n\n' WHEN 2 THEN concat('public class C', CAST(q AS STRING), ' {{\n') ELSE '' END, array_join(transform(sort_array(collect_list(struct(r, said))), x -> x.said), ''), CASE lang WHEN 2 THEN '}}\n' ELSE '' END) AS text FROM (SELECT *, CASE lang
+WHEN 0 THEN concat('// ', about, '\nfunc Fn', CAST(k AS STRING), '(a int) int {{\n\treturn a + ', size, '\n}}\n\n')
+WHEN 1 THEN concat('# ', about, '\ndef fn_', CAST(k AS STRING), '(a):\n    return a + ', size, '\n\n')
+WHEN 2 THEN concat('  public int fn', CAST(k AS STRING), '(int a) {{\n    return a + ', size, ';\n  }}\n')
+WHEN 3 THEN concat('export function fn', CAST(k AS STRING), '(a: number) {{\n  return a + ', size, ';\n}}\n\n')
+ELSE concat('function fn', CAST(k AS STRING), '(a) {{\n  return a + ', size, ';\n}}\n\n') END AS said FROM {parts}) GROUP BY q, lang"""
+
+
+@query(f"""WITH p AS (SELECT *, concat('s', CAST(q % 7 AS STRING), '/f', CAST(q AS STRING), ['.go', '.py', '.java', '.ts', '.js'][lang + 1]) AS file_path FROM ({_PARTS.format(part='part')}))
+SELECT 'function' AS kind, concat(['Fn', 'fn_', 'fn', 'fn', 'fn'][lang + 1], CAST(k AS STRING)) AS name, file_path, CAST(CASE lang WHEN 0 THEN 5 * r - 1 WHEN 1 THEN 4 * r - 2 WHEN 2 THEN 3 * r - 1 ELSE 4 * r - 3 END AS BIGINT) AS start_line,
+CAST(CASE lang WHEN 0 THEN 5 * r + 1 WHEN 1 THEN 4 * r - 1 WHEN 2 THEN 3 * r + 1 ELSE 4 * r - 1 END AS BIGINT) AS end_line, CASE lang WHEN 2 THEN 'Class' ELSE 'File' END AS parent_type,
+CASE lang WHEN 0 THEN about WHEN 1 THEN concat('# ', about) ELSE '' END AS docstring, TRUE AS is_exported, count(*) OVER (PARTITION BY lang) AS alike FROM p
+UNION ALL SELECT DISTINCT 'class', concat('C', CAST(q AS STRING)), file_path, 1, NULL, 'File', '', NULL, NULL FROM p WHERE lang = 2""")
 def extract_symbols_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind of symbol of the five languages, from texts written out above."""
-    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in SOURCES.items()], "path string, content binary")
-    rows = symbols(files)
-    shapes = rows.where("kind = 'function'").groupBy("ast_hash").agg(F.count("*").alias("alike"))
-    rows = rows.join(shapes, "ast_hash", "left").withColumn("name", F.coalesce("name", "target"))
-    return rows.withColumn("parent_type", F.when(F.col("start_line").isNotNull(), F.col("parent_type"))).select(*[F.when(F.col("kind") == "function", F.col("alike")).alias("alike") if c == "alike" else F.col(c) for c in _SHOWN])
+    """The symbols of source files that Spark makes from parts; ``alike`` counts the functions of one shape in a language."""
+    parts = spark.sql(_PARTS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    files = spark.sql(_SOURCE_FILES, parts=parts).select("path", F.col("text").cast("binary").alias("content"))
+    rows = symbols(files).withColumn("language", F.element_at(F.split("file_path", "[.]"), -1))
+    shapes = rows.where("kind = 'function'").groupBy("language", "ast_hash").agg(F.count("*").alias("n"))
+    return rows.join(shapes, ["language", "ast_hash"], "left").select("kind", "name", "file_path", "start_line", "end_line", "parent_type", "docstring", "is_exported", F.when(F.col("kind") == "function", F.col("n")).alias("alike"))
 
 
 # ---- the report -----------------------------------------------------------------------------------------------------------
