@@ -13,7 +13,7 @@ from arborlens.store import GraphStore
 
 
 def graph(spark, functions=(), classes=(), variables=(), files=(), edges=()):
-    fn = [(i, n, p, d, h, 1, 2, e) for i, n, p, d, h, e in functions]
+    fn = [(i, n, p, 1, 2, d, e, h) for i, n, p, d, h, e in functions]
     rows = {"files": [(p, h, 0) for p, h in files], "functions": fn, "classes": list(classes), "variables": list(variables), "edges": list(edges)}
     return CodeGraph(**{n: spark.createDataFrame(rows[n], s) for n, s in TABLES.items()})
 
