@@ -248,8 +248,7 @@ def _cut(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def close():
         costs, ranks = piece.table()
-        values = {"conv_id": conv, "piece": number, "costs": costs, "ranks": ranks, "ends": ends, "illegal": illegal}
-        return _batch([tuple(values.get(f.name) for f in fields)], fields)
+        return (conv, *[None] * (len(fields) - 7), number, None, costs, ranks, ends, illegal)
 
     for b in batches:
         if fields is None:
@@ -272,9 +271,10 @@ def _cut(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             size, ends = size + 1, [ends[0], initial]
         empty = [pa.nulls(b.num_rows, f.type) for f in list(fields)[-4:]]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pieces, pa.int64()), pa.array(places, pa.int64()), *empty], schema=fields)
-        yield from closed
+        if closed:
+            yield _batch(closed, fields)
     if piece is not None:
-        yield close()
+        yield _batch([close()], fields)
 
 
 def _legal(a: int, b: int) -> bool:
@@ -302,8 +302,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = k == len(pieces) - 1
             rows.append((conv, pieces[k], before, at, int(last), cost if last else 0, illegal if last else 0))
             at = before
-        for k in range(0, len(rows), 10_000):
-            yield _batch(rows[k : k + 10_000], fields)
+            if len(rows) == 10_000:
+                yield rows
+                rows = []
+        yield rows
 
     for b in batches:
         fields = fields or pa.schema([b.schema.field("conv_id"), *[(n, pa.int64()) for n in names]])
@@ -311,7 +313,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, piece, costs, ranks, own, inside in zip(*[b.column(n).to_pylist() for n in ("conv_id", "piece", "costs", "ranks", "ends", "illegal")], strict=True):
             if not open_ or c != conv:
                 if open_:
-                    done.extend(close())
+                    for rows in close():
+                        done.extend(rows)
+                        if len(done) >= 10_000:
+                            yield _batch(done, fields)
+                            done = []
                 conv, open_, held, pieces, parents, illegal = c, True, [(0, 0), None, None, None], [], bytearray(), 0
             else:
                 illegal += not _legal(ends[1], own[0])
@@ -327,9 +333,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [g and (g[0], order[g[1], g[2]]) for g in best]
             pieces.append(piece)
             parents += bytes(g[3] if g else 0 for g in best)
-        yield from done
+        if done:
+            yield _batch(done, fields)
     if open_:
-        yield from close()
+        for rows in close():
+            if rows:
+                yield _batch(rows, fields)
 
 
 def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
