@@ -10,8 +10,10 @@ from ..graph import CodeGraph
 from ..operators import diff, lookup
 from ..schema import EXTENSIONS
 from ..sources.extract import symbols
+from ..store import GraphStore
 from . import resolve
-from .catalogue import _CLONES, _DEAD, _METRICS, _VIOLATIONS, RULES, _cyclic, query
+from .catalogue import _CLONES, _DEAD, _METRICS, _VIOLATIONS, ORACLES, RULES, _cyclic, query
+from .shared import new_folder
 from .star import Without, load
 
 # ---- imports ----------------------------------------------------------------------------------------------------------
@@ -163,3 +165,42 @@ def markdown_report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .report import markdown
 
     return spark.createDataFrame([(markdown(load(spark, sf_dir), "workspace", RULES, at="-"),)], "report string")
+
+
+# ---- stored graphs, stable nodes, ordered imports ---------------------------------------------------------------------------
+
+
+@query("SELECT src, src_type, dst, dst_type, label FROM g_edges UNION ALL SELECT path, 'File', hash, 'Hash', 'STORED' FROM g_files")
+def stored_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph saved as a version, then opened for reading only: its edges, and its files with their hashes."""
+    root = new_folder(spark, "store")
+    writer = GraphStore(spark, root)
+    if not writer.load().is_empty():
+        raise AssertionError("a new store has a graph")
+    g = load(spark, sf_dir)
+    writer.save(CodeGraph(g.files, g.functions, g.classes, g.variables, g.edges))
+    stored = GraphStore(spark, root, read_only=True).load()
+    files = stored.files.select(F.col("path").alias("src"), F.lit("File").alias("src_type"), F.col("hash").alias("dst"), F.lit("Hash").alias("dst_type"), F.lit("STORED").alias("label"))
+    return stored.edges.unionByName(files)
+
+
+_OWNERS = "SELECT dst AS oid, arg_max(c.name, src) AS owner FROM g_edges JOIN g_classes c ON c.id = src WHERE label = 'CONTAINS' AND src_type = 'Class' AND dst_type = '{kind}' GROUP BY dst"
+
+
+@query(f"""SELECT path AS id, path AS sid, 'File' AS type, split_part(path, '/', -1) AS name, path AS file_path, hash AS content FROM g_files
+UNION ALL SELECT f.id, concat_ws('::', file_path, owner, name), 'Function', name, file_path, ast_hash FROM g_functions f LEFT JOIN ({_OWNERS.format(kind='Function')}) ON oid = f.id
+UNION ALL SELECT id, concat_ws('::', file_path, name), 'Class', name, file_path, ast_hash FROM g_classes
+UNION ALL SELECT v.id, concat_ws('::', file_path, owner, name), 'Variable', name, file_path, NULL FROM g_variables v LEFT JOIN ({_OWNERS.format(kind='Variable')}) ON oid = v.id""")
+def stable_nodes(g: CodeGraph) -> DataFrame:
+    """Every node with the id that does not depend on its place in its file."""
+    return diff.stable_nodes(g)
+
+
+def import_resolution_ordered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports that lead to a file before their own, by path components."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation")}
+    ks = spark.range(6).select(F.col("id").alias("explode_k"))
+    return resolve.resolve_imports(spark.sql(_IMPORTS, supplier=tables["supplier"], ks=ks), spark.sql(_FILES, **tables), ordered=True)
+
+
+query(f"SELECT * FROM ({ORACLES['import_resolution']}) WHERE string_split(src, '/') > string_split(dst, '/')")(import_resolution_ordered_tables)
