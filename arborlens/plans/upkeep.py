@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search_index import build_index, search_indexed
 from ..sources.extract import ROWS
 from ..sources.tree import register
 from ..streaming.bursts import bursts, keyed_state
 from ..streaming.files import one_or_many
 from ..upkeep import LiveGraph
-from .catalogue import query
+from .catalogue import _SEARCH, query
 from .shared import new_folder
+from .star import load
 
 # ---- a pruned scan --------------------------------------------------------------------------------------------------------
 
@@ -113,3 +116,16 @@ def debounce_stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = bursts(events, 10_800_000).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# ---- search by an index ---------------------------------------------------------------------------------------------------
+
+NEEDLES = ["ring", "blue anvil", "BUILDING_1", "r#", "_12", "zzz"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS needle, * FROM ({_SEARCH.format(t=t)})" for t in NEEDLES))
+def search_indexed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several texts looked for by the trigram index of a snapshot."""
+    path = new_folder(spark, "search")
+    build_index(load(spark, sf_dir), path)
+    return reduce(DataFrame.unionByName, [search_indexed(spark, path, t).drop("block").withColumn("needle", F.lit(t)) for t in NEEDLES])

@@ -149,3 +149,24 @@ def test_ten_thousand_boundary_rules(spark):
     want = sorted((t, s, d, f"{a} -> {b}") for t, s, d in ends for a, b in rules if a in s and b in d)
     got = sorted((r.type, r.from_path, r.to_path, r.rule_violated) for r in health.boundary_violations(g, rules).collect())
     assert got == want and len(want) > 10
+
+
+def test_search_by_index(spark, tmp_path):
+    from arborlens.operators.search_index import build_index, candidates, search_indexed
+
+    rng = random.Random(12)
+    say = lambda k: "".join(rng.choices("abcé𝄞A ", k=k))
+    fn = [(f"f{k}", say(rng.randint(0, 12)), "a.go", rng.choice([say(20), "", None]), "", True) for k in range(300)]
+    cl = [(f"c{k}", say(rng.randint(0, 9)), "b.go", rng.choice([say(9), None]), "class", "") for k in range(100)]
+    va = [(f"v{k}", rng.choice([say(5), None]), "c.go", "int") for k in range(100)]
+    g, path = graph(spark, fn, cl, va), f"{tmp_path}/index"
+    build_index(g, path, 7)
+    shown = lambda df: sorted(map(str, df.collect()))
+    for text in ["abc", "a", "", "é𝄞", "ab ", "aaaa", "A bA", "zzz", fn[3][1], cl[5][1], "𝄞𝄞𝄞"]:
+        assert shown(search_indexed(spark, path, text, 7)) == shown(lookup.search(g, text)), text
+    assert candidates(spark, path, "zzz", 7).collect() == []
+    plan = candidates(spark, path, "abcab", 7)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(gram" in plan
+    empty = f"{tmp_path}/empty"
+    build_index(graph(spark), empty, 7)
+    assert search_indexed(spark, empty, "abc", 7).collect() == [] == search_indexed(spark, empty, "", 7).collect()
