@@ -187,3 +187,19 @@ def test_the_shipped_configurations_name_the_jobs_options():
     for job in (copied_passages, health_history):
         options = json.loads((Path(job.__file__).with_suffix(".json")).read_text())
         inspect.signature(job.run).bind(None, **options)
+
+
+def test_the_command_line_runs_a_job(spark, tmp_path):
+    """In a process of its own, twice: the log says what was read and written."""
+    import os
+    import subprocess
+    import sys
+
+    spark.createDataFrame(FIRST, DOCS).write.parquet(f"{tmp_path}/docs")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"documents": f"{tmp_path}/docs", "output": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/c", "parts": 4}))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    root = Path(copied_passages.__file__).parent.parent
+    said = [subprocess.run([sys.executable, "-m", "jobs.copied_passages", str(config), "--spread", "2"], cwd=root, env=env, capture_output=True, text=True, timeout=300, check=True).stderr for _ in range(2)]
+    assert "read 7 new documents" in said[0] and "read 0 new documents" in said[1] and "wrote 0 rows of 0 partitions" in said[1]
+    assert result(spark, f"{tmp_path}/out") == brute(FIRST)
