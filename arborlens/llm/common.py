@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +62,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over a partition's batches, and then what it has freed goes back to the system.
+
+    A Python worker serves many tasks, and without this it keeps the most that any of them has held.
+    """
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library has it on Linux
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """``repartition`` by keys to the session's number of shuffle partitions.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fresh
+from .common import fresh, tidy
 
 #: PART: window starts taken at once; CHUNK_BYTES, CHUNK_ITEMS: benchmark indexed at once (each item takes some 60 KB of block tables).
 WIDTH, SIMILARITY, RADIUS, BLOCKS, PART, CHUNK_BYTES, CHUNK_ITEMS = 5, 0.8, 19, 4, 1 << 12, 2 << 20, 2500
@@ -250,7 +250,7 @@ def _search(docs: DataFrame, part, id_col: str, text_col: str, width: int, least
 
     fields = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL(RESULT).fields])
     done = to_arrow_schema(fields)
-    return docs.select(id_col, text_col).mapInArrow(run, fields)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), fields)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fresh, written
+from .common import column, fresh, tidy, written
 
 #: Rows the classifier is fitted on at most, least toxic texts of a feature and its least gain in log likelihood, the decision, tokens remembered.
 LABELLED, LEAST, GAIN, THRESHOLD, CACHED = 12_000, 4, 12.0, 0.3, 400_000
@@ -298,7 +298,7 @@ def learn(docs: DataFrame, known: DataFrame, model: CharModel, bound: int = LABE
         return run
 
     def counted(toxic: bool, only=None) -> DataFrame:
-        return sample.where(F.col("toxic") == toxic).mapInPandas(tally(only), "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        return sample.where(F.col("toxic") == toxic).mapInPandas(tidy(tally(only)), "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
     bad = {r.feature: (r.n, r.t) for r in counted(True).where(f"n >= {LEAST} or feature = ''").collect()}
     good = {r.feature: (r.n, r.t) for r in counted(False, frozenset(bad)).collect()}
@@ -319,7 +319,7 @@ def learn(docs: DataFrame, known: DataFrame, model: CharModel, bound: int = LABE
         for batch in batches:
             yield pd.DataFrame({"x": [reader.measures(t) for t in batch["text"]], "y": batch["toxic"].astype(float)})
 
-    rows = sample.mapInPandas(measure, "x array<double>, y double").toPandas().sort_values("y", kind="stable")
+    rows = sample.mapInPandas(tidy(measure), "x array<double>, y double").toPandas().sort_values("y", kind="stable")
     return lifts, fit(np.array(rows["x"].tolist()), rows["y"].to_numpy())
 
 
@@ -343,17 +343,21 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(column(id_col).alias("id"), column(label_col).alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     lifts, regression = learn(df.select(column(id_col).alias("id"), column(text_col).alias("text")), known, model)
     shared = spark.sparkContext.broadcast((model, lifts, regression))
-    made: list[Reader] = []
+
+    def points_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, lifts, regression = shared.value
+        reader = Reader(model, lifts)
+        for texts in batches:
+            if regression is None or not len(texts):
+                yield pd.Series(np.zeros(len(texts)))
+                continue
+            w, mean, scale = regression
+            x = (np.array([reader.measures(t) for t in texts]) - mean) / scale
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        if shared.value[2] is None or not len(texts):
-            return pd.Series(np.zeros(len(texts)))
-        if not made:
-            made.append(Reader(*shared.value[:2]))
-        w, mean, scale = shared.value[2]
-        x = (np.array([made[0].measures(t) for t in texts]) - mean) / scale
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidy(points_of)(batches)
 
     points, predicted = fresh(df, "_score", "_predicted")
     return df.withColumn(points, of(column(text_col))).withColumn(predicted, (F.col(points) >= THRESHOLD).cast("int"))
