@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import spread, utf8, written
+from .common import spread, tidy, utf8, written
 
 #: HOT: occurrences of a k-gram beyond which its positions are dealt again; one task sorts at most as many windows of under 2 * LENGTH bytes at once.
 LENGTH, GRAM, HOT, BLOCK = 200, 32, 800, 17
@@ -198,7 +198,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                     rows = pa.array(np.repeat(np.arange(len(places)), list(map(len, places))))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(places))], names=["gram", "tid", "tie", "at"])
 
-    marks = written(texts.mapInArrow(emit_anchors, "gram long, tid long, tie long, at int"), "marks")
+    marks = written(texts.mapInArrow(tidy(emit_anchors), "gram long, tid long, tie long, at int"), "marks")
     place = F.xxhash64("tid", "tie", "at")
     often = marks.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1")
     often = written(often.select("gram", "n", (F.col("a") == F.col("b")).alias("alone")), "often")
@@ -242,7 +242,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         if out:
             yield made()
 
-    cut = ready.mapInArrow(windows, "gram long, sub long, back int, bytes binary, tid long, tie long, starts array<int>")
+    cut = ready.mapInArrow(tidy(windows), "gram long, sub long, back int, bytes binary, tid long, tie long, starts array<int>")
     cut = written(cut.withColumn("wid", F.xxhash64("back", "bytes")), "windows")  # of one k-gram; joined by all three keys
     # Equal windows are one part, of which one copy is sorted.
     parts = cut.groupBy("gram", "sub", "wid").agg(F.sum(F.size("starts")).alias("n"), F.first("bytes").alias("bytes"))
@@ -279,7 +279,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         if keys:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), pa.array(runs, pa.list_(pa.int32()))], names=["gram", "sub", "wid", "runs"])
 
-    found = written(spread(parts, "gram", "sub").sortWithinPartitions("gram", "sub").select("gram", "sub", "wid", "n", "bytes").mapInArrow(solve, "gram long, sub long, wid long, runs array<int>"), "found")
+    found = written(spread(parts, "gram", "sub").sortWithinPartitions("gram", "sub").select("gram", "sub", "wid", "n", "bytes").mapInArrow(tidy(solve), "gram long, sub long, wid long, runs array<int>"), "found")
     hits = cut.select("gram", "sub", "wid", "tid", "tie", "starts").join(found, ["gram", "sub", "wid"]).select("tid", "tie", F.explode("starts").alias("start"), "runs")
     return hits.groupBy("tid", "tie").agg(F.collect_list(F.struct("start", "runs")).alias("hits"))
 
@@ -319,7 +319,7 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return ready.mapInArrow(finish, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return ready.mapInArrow(tidy(finish), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 #: DuckDB SQL for ``drop_repeated`` over documents: every string of 200 bytes, in hexadecimal, by its hash.
