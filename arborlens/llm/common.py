@@ -62,16 +62,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def tidy(task: Callable[[Iterator], Iterator], collect: bool = True) -> Callable[[Iterator], Iterator]:
     """``task`` over a partition's batches, and then what it has freed goes back to the system.
 
-    A Python worker serves many tasks, and without this it keeps the most that any of them has held.
+    A Python worker serves many tasks, and without this it keeps the most that any of them has held.  ``collect``
+    also looks for objects that hold each other, which takes time where a large cache outlives the task.
     """
 
     @functools.wraps(task)
     def run(batches: Iterator) -> Iterator:
         yield from task(batches)
-        gc.collect()
+        if collect:
+            gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(AttributeError, OSError):  # the C library has it on Linux
             ctypes.CDLL(None).malloc_trim(0)

@@ -392,7 +392,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     path = new_path(spark, "ids")
     fields = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("queue int, task int, first long, n long, ids binary").fields])
-    df.select(F.col(id_col).alias("id"), queue.alias("queue"), utf8(F.col(text_col)).alias("text")).mapInArrow(tidy(tokens), fields).write.option("compression", "zstd").parquet(path)
+    df.select(F.col(id_col).alias("id"), queue.alias("queue"), utf8(F.col(text_col)).alias("text")).mapInArrow(tidy(tokens, collect=False), fields).write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(fields).parquet(path)
     sums = kept.groupBy("task", "queue").agg(F.sum("n").alias("n"))
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
@@ -421,4 +421,4 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     small = tokenizer(tokenizer_path, end_id).kind.itemsize == 2
     done = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
-    return kept.join(bases, ["task", "queue"]).select("id", "queue", (F.col("base") + F.col("first")).alias("at"), "n", "ids").mapInArrow(tidy(cut), done)
+    return kept.join(bases, ["task", "queue"]).select("id", "queue", (F.col("base") + F.col("first")).alias("at"), "n", "ids").mapInArrow(tidy(cut, collect=False), done)
