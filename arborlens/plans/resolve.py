@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..schema import EXTENSIONS
 
 #: Line ranges are cut at multiples of powers of BASE, up to BASE ** TOP.
 BASE, TOP = 8, 7
+#: About so many sources, and files, of a folder meet in one group of a join.
+BLOCK = 1024
 
 
 def _covering(start, end):
@@ -81,32 +85,56 @@ def _folders(path) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k - 1), "/"))
 
 
-def _beginning(i: DataFrame, f: DataFrame) -> DataFrame:
-    """(source_path, path, dst) of files whose path begins with the base.
+def _beginning(i: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source_path, dir) of folders whose own path begins with the base, so that each of their files' does, and
+    (source_path, dst) of files whose folder's path is shorter than the base.
 
-    Of a file's beginnings only those as long as some base in the same folder are made, a few for each folder
+    Of a path's beginnings only those as long as some base in the same folder are made, a few for each folder
     above it; what then meets is equal, at the root as elsewhere.
     """
+    i = i.select("source_path", "base").distinct()
     lengths = i.select(base_dir(F.col("base")).alias("up"), F.length("base").alias("k")).distinct()
-    heads = f.select("dst", F.explode(F.array_distinct(_folders(F.col("dst")))).alias("up")).join(lengths, "up").where(F.length("dst") >= F.col("k")).select("dst", F.expr("substring(dst, 1, k)").alias("base")).distinct()
-    return i.join(heads, "base").select("source_path", "path", "dst").distinct()
+    dirs = f.select("dir").distinct().select("dir", F.explode(F.array_distinct(_folders(F.col("dir")))).alias("up"))
+    heads = dirs.join(lengths, "up").where(F.length("dir") >= F.col("k")).select("dir", F.expr("substring(dir, 1, k)").alias("base")).distinct()
+    names = f.select("dst", F.col("dir").alias("up")).join(lengths, "up").where((F.length("dst") >= F.col("k")) & (F.col("k") > F.length("up"))).select("dst", F.expr("substring(dst, 1, k)").alias("base"))
+    return i.join(heads, "base").select("source_path", "dir"), i.join(names, "base").select("source_path", "dst")
 
 
-def _loose(i: DataFrame, f: DataFrame) -> DataFrame:
-    """(source_path, path, dst) of files whose directory occurs in the import cut at dots and slashes, or whose stem, at the root, is its last part."""
+def _loose(i: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source_path, dir) of folders that occur in the import cut at dots and slashes, and (source_path, dst) of files at the root whose stem is its last part."""
     cut = i.withColumn("segs", F.filter(F.split("path", "[./]"), lambda x: x != "")).where("size(segs) > 0").withColumn("joined", F.array_join("segs", "/"))
     # every directory that occurs in the joined import is one of its substrings: an equality join on those
     # short strings instead of a comparison of all files with all imports
-    own = f.withColumn("dir", base_dir(F.col("dst")))
+    dirs = f.where("dir <> ''").select("dir").distinct()
     # only substrings as long as some directory that begins with the same three characters are made
-    heads = own.where("dir <> ''").select(F.substring("dir", 1, 3).alias("head"), F.length("dir").alias("k")).distinct()
-    starts = cut.select("source_path", "path", "joined", F.explode(F.sequence(F.lit(1), F.length("joined"))).alias("a")).withColumn("head", F.expr("substring(joined, a, 3)"))
+    heads = dirs.select(F.substring("dir", 1, 3).alias("head"), F.length("dir").alias("k")).distinct()
+    starts = cut.select("source_path", "joined", F.explode(F.sequence(F.lit(1), F.length("joined"))).alias("a")).withColumn("head", F.expr("substring(joined, a, 3)"))
     # a directory of one or two characters is a head by itself, inside a longer one of the import too
-    starts = starts.select("source_path", "path", "joined", "a", F.explode(F.array_distinct(F.array(F.substring("head", 1, 1), F.substring("head", 1, 2), "head"))).alias("head"))
-    subs = starts.join(heads, "head").where(F.col("a") + F.col("k") - 1 <= F.length("joined")).select("source_path", "path", F.expr("substring(joined, a, k)").alias("dir")).distinct()
-    nested = subs.join(own.where("dir <> ''"), "dir").select("source_path", "path", "dst")
-    stems = own.where("dir = ''").select("dst", F.regexp_replace("dst", r"\.[^.]*$", "").alias("stem"))
-    return nested.unionByName(cut.withColumn("stem", F.try_element_at("segs", F.lit(-1))).join(stems, "stem").select("source_path", "path", "dst"))
+    starts = starts.select("source_path", "joined", "a", F.explode(F.array_distinct(F.array(F.substring("head", 1, 1), F.substring("head", 1, 2), "head"))).alias("head"))
+    subs = starts.join(heads, "head").where(F.col("a") + F.col("k") - 1 <= F.length("joined")).select("source_path", F.expr("substring(joined, a, k)").alias("dir"))
+    stems = f.where("dir = ''").select("dst", F.regexp_replace("dst", r"\.[^.]*$", "").alias("stem"))
+    return subs.join(dirs, "dir", "left_semi").select("source_path", "dir"), cut.withColumn("stem", F.try_element_at("segs", F.lit(-1))).join(stems, "stem").select("source_path", "dst")
+
+
+def _files_of(whole: DataFrame, f: DataFrame, parts) -> DataFrame:
+    """Each distinct (source_path, dir) with each file of the folder.
+
+    A folder's sources and its files are cut into blocks of about ``BLOCK`` rows by their hashes, and blocks meet
+    in pairs, so a folder that very many sources import is spread like many small ones.
+    """
+    blocks = lambda df, name: df.groupBy("dir").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = blocks(whole, "of_sources").join(blocks(f, "of_files"), "dir")
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int").alias(column[0])
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    a = whole.join(sizes, "dir").select("source_path", *parts("source_path"), "dir", block("source_path", "of_sources"), every("of_files", "d"))
+    b = f.join(sizes, "dir").select("dst", *parts("dst"), "dir", block("dst", "of_files"), every("of_sources", "s"))
+    keys, n = ["dir", "s", "d"], int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(n, *keys).join(b.repartition(n, *keys).hint("merge"), keys)
+
+
+def _with_folders(paths: DataFrame) -> DataFrame:
+    """Distinct (dst, dir) of files (path)."""
+    return paths.select(F.col("path").alias("dst")).distinct().withColumn("dir", base_dir(F.col("dst")))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, ordered: bool = False) -> DataFrame:
@@ -117,16 +145,28 @@ def resolve_imports(imports: DataFrame, files: DataFrame, ordered: bool = False)
     found nothing, is cut at dots and slashes, and a file matches if its directory occurs in the cut import
     joined by slashes, or, at the root, if the last part is the file's stem.  ``ordered`` keeps only pairs
     whose source comes after its target by path components.
+
+    Pairs can be as many as sources times files, so they are made last and never shuffled: sources are paired
+    with whole folders and with single files, each once, and a file of a folder that is met whole is not met singly.
     """
-    i, f = _based(imports), files.select(F.col("path").alias("dst")).distinct()
+    i, f = _based(imports), _with_folders(files)
     key = ["source_path", "path"]
     exact = _exact(i, f).groupBy(*key).agg(F.min_by("dst", "rank").alias("dst"))
     rest = i.join(exact.select(*key), key, "left_anti")
-    directories = f.select(F.explode(_folders(F.col("dst"))).alias("base")).where("base <> ''").distinct()
+    directories = f.select("dir").distinct().select(F.explode(F.array_append(_folders(F.col("dir")), F.col("dir"))).alias("base")).where("base <> ''").distinct()
     known = rest.where("base is not null").join(directories, "base", "left_semi").select("source_path", "path", "base")
     loose = rest.join(known.select(*key), key, "left_anti")
-    pairs = exact.unionByName(_beginning(known, f)).unionByName(_loose(loose, f)).select(F.col("source_path").alias("src"), "dst").where("src <> dst").distinct()
-    return pairs.where(F.split("src", "/") > F.split("dst", "/")) if ordered else pairs
+    (begun, names), (within, stems) = _beginning(known, f), _loose(loose, f)
+    whole = begun.unionByName(within).distinct()
+    single = exact.select("source_path", "dst").unionByName(names).unionByName(stems).distinct().withColumn("dir", base_dir(F.col("dst")))
+    single = single.join(whole, ["source_path", "dir"], "left_anti")
+    # the parts of paths are cut before pairs are made
+    parts = lambda column: [F.split(column, "/").alias(f"{column}_parts")] if ordered else []
+    single = single.select("source_path", *parts("source_path"), "dst", *parts("dst"))
+    pairs = _files_of(whole, f, parts).select(*single.columns).unionByName(single).where("source_path <> dst")
+    if ordered:
+        pairs = pairs.where("source_path_parts > dst_parts")
+    return pairs.select(F.col("source_path").alias("src"), "dst")
 
 
 def affected_sources(imports: DataFrame, paths: DataFrame) -> DataFrame:
@@ -135,6 +175,6 @@ def affected_sources(imports: DataFrame, paths: DataFrame) -> DataFrame:
     Whether an import finds a file, a directory or neither depends on files that one of the three rules lets it
     meet; so if it meets none of these, it resolves as before.
     """
-    i, f = _based(imports), paths.select(F.col("path").alias("dst")).distinct()
-    met = _exact(i, f).select("source_path").unionByName(_beginning(i.where("base is not null"), f).select("source_path")).unionByName(_loose(i, f).select("source_path"))
-    return met.distinct()
+    i, f = _based(imports), _with_folders(paths)
+    met = [_exact(i, f), *_beginning(i.where("base is not null"), f), *_loose(i, f)]
+    return reduce(DataFrame.unionByName, [df.select("source_path") for df in met]).distinct()

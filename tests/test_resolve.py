@@ -115,3 +115,16 @@ def test_only_affected_sources_change(spark):
         changed = {s for s in now if now[s] != then[s]}
         got = {r.source_path for r in resolve.affected_sources(spark.createDataFrame(imports, "source_path string, path string"), spark.createDataFrame([(f,) for f in shift], "path string")).collect()}
         assert changed <= got and changed
+
+
+def test_a_folder_that_many_import_is_spread_and_met_once(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 4)
+    files = [f"a/b/m{k}.py" for k in range(40)] + ["a/bc.py", "a/c/x.py", "r.py", "a/b.py"]
+    imports = [(f"a/b/m{k}.py", path) for k in range(40) for path in ("..", "../b", "../../a", "pkg.a.b.T", "./m1", "lib/r")]
+    def df(ordered=False):
+        return resolve.resolve_imports(spark.createDataFrame(imports, "source_path string, path string"), spark.createDataFrame([(f,) for f in files], "path string"), ordered)
+    pairs = [(s, t) for s in (f"a/b/m{k}.py" for k in range(40)) for t in files if s != t]  # ".." is a, whose files are all but r.py
+    assert sorted(map(tuple, df().collect())) == sorted(pairs)
+    assert sorted(map(tuple, df(True).collect())) == sorted(p for p in pairs if p[0].split("/") > p[1].split("/"))
+    tasks = df().where("src <> 'r.py' and dst like 'a/b/%'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 2 and max(r["count"] for r in tasks) < 40 * 39 * 0.6
