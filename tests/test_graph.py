@@ -56,6 +56,27 @@ def test_call_chain_is_the_number_of_walks(spark):
     assert chain(g, "d", 4) == count
 
 
+def test_cycles_through_hubs(spark, monkeypatch):
+    monkeypatch.setattr(walks, "HUBS", 64)
+    monkeypatch.setattr(walks, "BATCHES", 2)
+    passes, through = [], walks._through_hubs
+    monkeypatch.setattr(walks, "_through_hubs", lambda *a: passes.append(through(*a)) or passes[-1])
+    rng = random.Random(5)
+    e = {(rng.randrange(400), rng.randrange(400)) for _ in range(1100)} | {(a, a + rng.randint(1, 9)) for a in range(500, 900) for _ in range(3)} | {(a, 1000 + (a + 1) % 6) for a in range(1000, 1006)}
+    out = {}
+    for a, b in e:
+        out.setdefault(a, set()).add(b)
+    g = graph(spark, edges=[(f"f{a}", "File", f"f{b}", "File", "IMPORTS") for a, b in e])
+    for depth in (3, 4, 5):
+        want, reach = set(), {a: {a} for a in out}
+        for _ in range(depth):
+            reach = {a: set().union(*(out.get(b, ()) for b in bs)) for a, bs in reach.items()}
+            want |= {f"f{a}" for a, bs in reach.items() if a in bs}
+        passes.clear()
+        assert sorted(r.file_path for r in walks.cyclic_files(g, depth).collect()) == sorted(want)
+        assert passes and passes[0].count() > 0
+
+
 def test_cycles(spark):
     e = [(a, "File", b, "File", "IMPORTS") for a, b in ("fg", "gh", "hf", "xf")]
     assert {r.file_path for r in walks.cyclic_files(graph(spark, edges=e)).collect()} == set("fgh")
