@@ -8,6 +8,8 @@ full build from the same files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -31,6 +33,21 @@ TABLES = {
 KINDS = {"imports": "kind = 'import'", "heritage": "kind = 'implements'", "calls": "kind = 'function'"}
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Tables are broadcast by the size that a shuffle has measured, a megabyte at most, not by that of files, which hold
+    paths and names in a small part of the bytes that they take in the driver's memory; both settings are put back."""
+    first, later = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (first, later)}
+    spark.conf.set(later, "1m")
+    spark.conf.set(first, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class LiveGraph:
     """``<root>/<table>/bucket=...``; ``buckets`` belongs to the folder and stays as it was when it was begun.
 
@@ -69,12 +86,13 @@ class LiveGraph:
     def build(self, files: DataFrame, rows: DataFrame, refs: DataFrame | None = None) -> None:
         """Everything anew from files (path, hash, last_modified), their symbols and references (callee_id, ref_path, ref_line)."""
         every = list(range(self.buckets))
-        self._write("rows", rows, every)
-        rows = self.table("rows")
-        self._write("imports", self._imports(rows, files), every)
-        self._write("heritage", self._heritage(rows, rows), every)
-        self._write("calls", self._calls(rows, refs), every)
-        self._write("files", files, every)
+        with measured_broadcasts(self.spark):
+            self._write("rows", rows, every)
+            rows = self.table("rows")
+            self._write("imports", self._imports(rows, files), every)
+            self._write("heritage", self._heritage(rows, rows), every)
+            self._write("calls", self._calls(rows, refs), every)
+            self._write("files", files, every)
 
     @staticmethod
     def _imports(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,6 +124,10 @@ class LiveGraph:
         in changed files and in those that call, or called, a function of a changed file; ``refs`` are all
         references as they are now, and may differ from those before in these files alone.
         """
+        with measured_broadcasts(self.spark):
+            return self._update(changed, files, rows, refs)
+
+    def _update(self, changed: DataFrame, files: DataFrame, rows: DataFrame, refs: DataFrame | None) -> dict[str, list[int]]:
         changed = self._noted("changed", changed.select("path").where("path is not null").distinct())
         touched = self._buckets_of(changed, "path")
         if not touched:

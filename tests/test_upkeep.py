@@ -135,3 +135,23 @@ def test_a_workspace_is_refreshed(spark, tmp_path):
     (root / "lib" / "c.py").write_text("from . import b\nclass C(A):\n    pass\n")
     (root / "a.py").unlink()
     assert shown(w.refresh(["lib/c.py"], ["a.py"])) == shown(build(scan(spark, str(root))))
+
+
+def test_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path, monkeypatch):
+    from arborlens import upkeep
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    plans, write = [], upkeep.LiveGraph._write
+
+    def noted(self, name, df, buckets):
+        t = spark.read.parquet(str(tmp_path / "t"))
+        plans.append(t.join(t.withColumn("x", t.id), "id")._jdf.queryExecution().sparkPlan().toString())
+        write(self, name, df, buckets)
+
+    monkeypatch.setattr(upkeep.LiveGraph, "_write", noted)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    live = upkeep.LiveGraph(spark, str(tmp_path / "live"), 2)
+    live.build(spark.createDataFrame([("a.py", "h", 1)], upkeep.FILES), spark.createDataFrame([], upkeep.ROWS))
+    assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
+    assert [spark.conf.get(k, None) for k in keys] == before
