@@ -4,12 +4,27 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .graph import CodeGraph
-from .schema import TABLES
+from .schema import ALLOWED, TABLES
+
+
+@contextmanager
+def open_files(spark: SparkSession, n: int) -> Iterator[None]:
+    """A task keeps a file open for each of up to ``n`` partitions that it writes, where it would sort all its rows by partition
+    first, in memory that grows with them; the setting is put back."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class GraphStore:
@@ -66,9 +81,10 @@ class GraphStore:
         if self.read_only:
             raise PermissionError("the store was opened read-only")
         v = version or f"v-{uuid.uuid4().hex}"
-        for name, df in graph.tables().items():
-            writer = df.select(*TABLES[name].names).write
-            (writer.partitionBy("label") if name == "edges" else writer).parquet(f"{self.root}/{v}/{name}")
+        with open_files(self.spark, len({label for label, _, _ in ALLOWED}) + 1):
+            for name, df in graph.tables().items():
+                writer = df.select(*TABLES[name].names).write
+                (writer.partitionBy("label") if name == "edges" else writer).parquet(f"{self.root}/{v}/{name}")
         stream = self._fs.create(self._path(f"{self.root}/CURRENT.new"), True)
         stream.write(bytearray(v.encode()))
         stream.close()

@@ -149,6 +149,20 @@ def test_maintenance_equals_a_full_build(spark, tmp_path):
         GraphStore(spark, str(tmp_path / "store"), read_only=True).save(g)
 
 
+def test_a_version_is_written_without_a_sort_of_its_edges(spark, tmp_path):
+    kinds = [(f"f{k}", "File", f"g{k}", "File" if k % 2 else "Function", "IMPORTS" if k % 2 else "CONTAINS") for k in range(200)]
+    g, store = graph(spark, edges=[*kinds, *calls("ab", "ba")]), GraphStore(spark, str(tmp_path / "store"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    v = store.save(g)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    plans, ran = spark._jsparkSession.sharedState().statusStore(), []
+    for k in range(plans.executionsCount()):
+        ran.append(plans.executionsList(k, 1).apply(0).physicalPlanDescription())
+    mine = [p for p in ran if f"{v}/edges" in p and "InsertInto" in p]
+    assert mine and not any("Sort" in p for p in mine)
+    assert sorted(map(tuple, store.load().edges.collect())) == sorted(map(tuple, g.edges.collect()))
+
+
 def test_diff(spark):
     g = graph(spark, [("1", "x", "a", "", "h", True)], variables=[("v", "v", "a", "int")], files=[("a", "1")], edges=[("a", "File", "1", "Function", "CONTAINS")])
     assert diff.diff_nodes(g, g).count() == diff.diff_edges(g, g).count() == 0
