@@ -54,9 +54,9 @@ def diff_nodes(current: CodeGraph, target: CodeGraph, root: str = "") -> DataFra
     return both.select(change.alias("change"), F.col("sid").alias("id"), pick("type").alias("type"), pick("name").alias("name"), pick("file_path").alias("file_path")).where("change is not null")
 
 
-def _edges(graph: CodeGraph, root: str) -> DataFrame:
-    """(from, to, type) of the edges other than calls, by the kinds that the schema allows; an end that is no node keeps its id."""
-    ids, out = _typed(graph, root), []
+def _edges(graph: CodeGraph, root: str) -> dict[tuple, DataFrame]:
+    """(from, to) of the edges other than calls, by the kinds that the schema allows; an end that is no node keeps its id."""
+    ids, out = _typed(graph, root), {}
     for label, *kinds in ALLOWED:
         if label == "CALLS":
             continue
@@ -64,16 +64,31 @@ def _edges(graph: CodeGraph, root: str) -> DataFrame:
         for side, kind in zip(("src", "dst"), kinds, strict=True):
             if kind != "File" or root:  # a file's id is its path
                 e = e.join(ids[kind].select(F.col("id").alias(side), F.col("sid").alias("sid")), side, "left").withColumn(side, F.coalesce("sid", side)).drop("sid")
-        out.append(e.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit(label).alias("type")))
-    return reduce(DataFrame.unionByName, out)
+        out[label, *kinds] = e.select(F.col("src").alias("from"), F.col("dst").alias("to"))
+    return out
 
 
 def diff_edges(current: CodeGraph, target: CodeGraph, root: str = "") -> DataFrame:
-    """(change, from, to, type): edges, as a set and without calls, of one side only."""
-    key = ["from", "to", "type"]
-    sides = _edges(current, root).withColumn("side", F.lit(1)).unionByName(_edges(target, root).withColumn("side", F.lit(2)))
-    one = sides.groupBy(*key).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
-    return one.select(F.when(F.col("low") == 1, "added").otherwise("deleted").alias("change"), *key)
+    """(change, from, to, type): edges, as a set and without calls, of one side only.
+
+    A kind of edges that both graphs take from the same tables is on both sides: it is read once, and only to take its edges out of
+    what is found among the other kinds with its label.
+    """
+    key, cur, old, out = ["from", "to"], _edges(current, root), _edges(target, root), []
+    for label in dict.fromkeys(k[0] for k in cur):
+        mine = [k for k in cur if k[0] == label]
+        both = [k for k in mine if cur[k].sameSemantics(old[k])]
+        sides = [e[k].withColumn("side", F.lit(n)) for k in mine if k not in both for n, e in ((1, cur), (2, old))]
+        if not sides:
+            continue
+        one = reduce(DataFrame.unionByName, sides).groupBy(*key).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+        if both:
+            shared = reduce(DataFrame.unionByName, [cur[k] for k in both]).toDF("f", "t")
+            one = one.join(shared, one["from"].eqNullSafe(shared.f) & one["to"].eqNullSafe(shared.t), "left_anti")
+        out.append(one.select(F.when(F.col("low") == 1, "added").otherwise("deleted").alias("change"), *key, F.lit(label).alias("type")))
+    if not out:
+        return current.files.where("false").select(*[F.lit("").alias(c) for c in ("change", *key, "type")])
+    return reduce(DataFrame.unionByName, out)
 
 
 def match_displayed(nodes: DataFrame, shown: DataFrame) -> DataFrame:

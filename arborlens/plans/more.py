@@ -53,8 +53,8 @@ def _sides(g: CodeGraph) -> tuple[CodeGraph, CodeGraph]:
     n = "CAST(substring(id, 4) AS BIGINT)"
     nobody = g.files.where("false").selectExpr("path AS dst")
     unique = lambda t, keep: t.where(f"{n} % {keep} <> 0").withColumn("name", F.concat("name", F.lit("#"), "id"))
-    a = Without(g, nobody, functions=g.functions.where("false"), files=g.files.where("last_modified % 13 <> 0"), classes=unique(g.classes, 11), variables=unique(g.variables, 17))
-    b = Without(g, nobody, functions=g.functions.where("false"), files=g.files.where("last_modified % 7 <> 0").withColumn("hash", F.expr("CASE WHEN last_modified % 5 = 0 THEN 'new' ELSE hash END")), classes=unique(g.classes, 19).withColumn("ast_hash", F.expr(f"CASE WHEN {n} % 4 = 0 THEN concat(ast_hash, 'x') ELSE ast_hash END")), variables=unique(g.variables, 23))
+    a = Without(g, nobody, "File", functions=g.functions.where("false"), files=g.files.where("last_modified % 13 <> 0"), classes=unique(g.classes, 11), variables=unique(g.variables, 17))
+    b = Without(g, nobody, "File", functions=g.functions.where("false"), files=g.files.where("last_modified % 7 <> 0").withColumn("hash", F.expr("CASE WHEN last_modified % 5 = 0 THEN 'new' ELSE hash END")), classes=unique(g.classes, 19).withColumn("ast_hash", F.expr(f"CASE WHEN {n} % 4 = 0 THEN concat(ast_hash, 'x') ELSE ast_hash END")), variables=unique(g.variables, 23))
     return a, b
 
 

@@ -78,7 +78,7 @@ class StarGraph(CodeGraph):
         for q in texts:
             if q not in self._branches:
                 self._branches[q] = self._run(q)
-        return reduce(DataFrame.unionByName, [self._branches[q] for q in texts]) if texts else self._spark.createDataFrame([], TABLES["edges"])
+        return reduce(DataFrame.unionByName, [self._branches[q] for q in texts]) if texts else self._spark.sql(f"SELECT {', '.join(f'CAST(NULL AS STRING) AS {c}' for c in TABLES['edges'].names)} WHERE false")
 
     files = cached_property(lambda self: self._run(node_sql("files", False)))
     functions = cached_property(lambda self: self._run(node_sql("functions", False)))
@@ -92,10 +92,10 @@ class StarGraph(CodeGraph):
 
 
 class Without(CodeGraph):
-    """A graph whose edges to the nodes ``gone`` (dst) are left out, by label as they are asked for."""
+    """A graph whose edges to the nodes ``gone`` (dst), of one kind, are left out, by label as they are asked for."""
 
-    def __init__(self, graph: CodeGraph, gone: DataFrame, **tables: DataFrame):
-        self.__dict__.update(graph=graph, gone=gone, files=graph.files, functions=graph.functions, classes=graph.classes, variables=graph.variables)
+    def __init__(self, graph: CodeGraph, gone: DataFrame, kind: str, **tables: DataFrame):
+        self.__dict__.update(graph=graph, gone=gone, kind=kind, files=graph.files, functions=graph.functions, classes=graph.classes, variables=graph.variables)
         self.__dict__.update(tables)
 
     def _kept(self, e: DataFrame) -> DataFrame:
@@ -104,7 +104,8 @@ class Without(CodeGraph):
     edges = cached_property(lambda self: self._kept(self.graph.edges))
 
     def labelled(self, label: str, src_type: str | None = None, dst_type: str | None = None) -> DataFrame:
-        return self._kept(self.graph.labelled(label, src_type, dst_type))
+        e = self.graph.labelled(label, src_type, dst_type)
+        return self._kept(e) if dst_type in (None, self.kind) else e.select(*TABLES["edges"].names)
 
 
 def load(spark: SparkSession, sf_dir: str) -> CodeGraph:
@@ -120,7 +121,7 @@ def snapshots(graph: CodeGraph) -> tuple[CodeGraph, CodeGraph]:
     both = []
     for f in (cur, old):
         gone = graph.functions.where(f"{key} % {11 if f is cur else 10} = 0").selectExpr("id AS dst")
-        both.append(Without(graph, gone, functions=unique(f)))
+        both.append(Without(graph, gone, "Function", functions=unique(f)))
     return both[0], both[1]
 
 

@@ -171,6 +171,18 @@ def test_diff(spark):
     assert [tuple(r) for r in diff.diff_edges(g, other).collect()] == [("added", "a", "a::x", "CONTAINS")]
 
 
+def test_edges_that_both_graphs_take_from_the_same_tables(spark):
+    edges = [("a", "File", "1", "Function", "CONTAINS"), ("a", "File", "v", "Variable", "CONTAINS"), ("a", "File", "w", "Variable", "CONTAINS"), ("k", "Class", "k", "Class", "IMPLEMENTS")]
+    g = graph(spark, [("1", "x", "a", "", "h", True)], [("k", "K", "a", "", "class", "")], [("v", "x", "a", "int"), ("w", "w", "a", "int")], [("a", "1")], edges)
+    other = CodeGraph(**g.tables() | {"functions": g.functions.withColumn("name", F.lit("y"))})
+    got = diff.diff_edges(g, other)
+    # The function's edge has the same ends as the variable's, which is on both sides.
+    assert [tuple(r) for r in got.collect()] == [("deleted", "a", "a::y", "CONTAINS")]
+    assert [tuple(r) for r in diff.diff_edges(other, g).collect()] == [("added", "a", "a::y", "CONTAINS")]
+    assert "IMPLEMENTS" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert diff.diff_edges(g, g).collect() == [] and "Exchange" not in diff.diff_edges(g, g)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ten_thousand_boundary_rules(spark):
     rng = random.Random(6)
     paths = [f"d{k % 37}/e{k % 11}/f{k}.go" for k in range(300)]
