@@ -15,7 +15,7 @@ from ..streaming.bursts import bursts, keyed_state
 from ..streaming.files import one_or_many
 from ..upkeep import LiveGraph
 from .catalogue import _SEARCH, query
-from .shared import new_folder
+from .shared import new_folder, written
 from .star import load
 
 # ---- a pruned scan --------------------------------------------------------------------------------------------------------
@@ -64,6 +64,14 @@ def _rows(versions: DataFrame) -> DataFrame:
     return there.select(F.inline(kinds))
 
 
+def _latest(events: DataFrame) -> DataFrame:
+    """The last version of each file, written once.  A path stands for a user and a remainder, and what else a version has
+    follows from its event, so numbers alone are aggregated and written."""
+    e = events.groupBy("user_id", (F.col("event_id") % 40).alias("slot")).agg(F.max("event_id").alias("event_id"), F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("kept"))
+    e = e.select("event_id", "user_id", F.when(F.col("event_id") == F.col("kept"), "kept").otherwise("error").alias("event_type"))
+    return e.sparkSession.sql(_VERSIONS, events=written(e, "latest"))
+
+
 _LAST = f"""v AS ({_VERSIONS.format(events='events')}), f AS (SELECT * FROM v WHERE event_id IN (SELECT max(event_id) FROM v GROUP BY path) AND there),
 d AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM f),
 i AS (SELECT path AS src, target, CASE WHEN target LIKE './%' THEN regexp_replace(path, '/[^/]*$', '') || substr(target, 2) WHEN target LIKE '../../%' THEN substr(target, 7) WHEN target LIKE '../%' THEN split_part(path, '/', 1) || substr(target, 3) END AS base FROM f),
@@ -79,20 +87,19 @@ UNION ALL SELECT path, path || ':c', 'CONTAINS' FROM f UNION ALL SELECT path, pa
 UNION ALL SELECT a.path || ':f', b.path || ':f', 'CALLS' FROM f a JOIN f b ON b.path = regexp_replace(a.path, '/u[0-9]*/', concat('/u', CAST(CAST(regexp_extract(a.path, '/u([0-9]*)/', 1) AS BIGINT) + 14 AS VARCHAR), '/')) WHERE a.line BETWEEN 1 AND 20""")
 def incremental_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as versions of files: a graph of the first ones, brought up to date twice; its edges are those of the last versions."""
-    versions = spark.sql(_VERSIONS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    last = versions.agg(F.max("event_id")).first()[0] or 0
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    last = events.agg(F.max("event_id")).first()[0] or 0
     files = lambda v: v.where("there").select("path", F.col("event_id").cast("string").alias("hash"), F.col("event_id").alias("last_modified"))
-    latest = lambda v: v.groupBy("path").agg(F.max(F.struct("event_id", *[c for c in v.columns if c not in ("path", "event_id")])).alias("v")).select("path", "v.*")
     live = LiveGraph(spark, new_folder(spark, "live"), 32)
     for k, upto in enumerate((last * 17 // 20, last * 19 // 20, last)):
-        now = latest(versions.where(F.col("event_id") <= upto)).where("there")
+        now = _latest(events.where(F.col("event_id") <= upto)).where("there")
         callee = F.concat(F.regexp_extract("path", "^(.*/u)", 1), (F.regexp_extract("path", "/u([0-9]*)/", 1).cast("long") + 14).cast("string"), F.regexp_extract("path", "/u[0-9]*(/.*)$", 1))
         refs = now.select(callee.alias("callee"), F.col("path").alias("ref_path"), F.col("line").alias("ref_line")).join(now.select(F.col("path").alias("callee")), "callee", "left_semi")
-        refs = refs.select(F.concat("callee", F.lit(":f")).alias("callee_id"), "ref_path", "ref_line")
+        refs = written(refs.select(F.concat("callee", F.lit(":f")).alias("callee_id"), "ref_path", "ref_line"), "refs")
         if k == 0:
             live.build(files(now), _rows(now), refs)
         else:
-            new = latest(versions.where((F.col("event_id") <= upto) & (F.col("event_id") > before)))
+            new = _latest(events.where((F.col("event_id") <= upto) & (F.col("event_id") > before)))
             live.update(new.select("path"), files(new), _rows(new), refs)
         before = upto
     return live.graph().edges.select("src", "dst", "label")

@@ -155,3 +155,23 @@ def test_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path, mo
     live.build(spark.createDataFrame([("a.py", "h", 1)], upkeep.FILES), spark.createDataFrame([], upkeep.ROWS))
     assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_pairs_of_imports_are_made_when_read_and_rows_are_shuffled_once(spark, tmp_path, monkeypatch):
+    live, paths = LiveGraph(spark, str(tmp_path / "g"), 2), [f"a/m{k}.py" for k in range(60)]
+    files = lambda ps: spark.createDataFrame([(p, "h", 1) for p in ps], FILES)
+    pairs = lambda: sorted((r.src, r.dst) for r in live.graph().edges.where("label = 'IMPORTS'").collect())
+    stored = lambda: spark.read.parquet(str(tmp_path / "g" / "imports")).where("src is not null").count()
+    live.build(files(paths), spark.createDataFrame([row(kind="import", file_path=p, target="../a") for p in paths], ROWS))
+    assert pairs() == sorted((s, t) for s in paths for t in paths if s != t) and stored() == len(paths)
+    plans, put = [], LiveGraph._put
+
+    def noted(self, df, path, mode):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        put(self, df, path, mode)
+
+    monkeypatch.setattr(LiveGraph, "_put", noted)
+    live.update(spark.createDataFrame([("a/x.py",)], "path string"), files(["a/x.py"]), spark.createDataFrame([], ROWS))
+    assert pairs() == sorted((s, t) for s in paths for t in [*paths, "a/x.py"] if s != t) and stored() == len(paths)
+    # rows and files ahead, three kinds of edges, then rows and files as they are
+    assert [p.count("Exchange") for p in plans] == [2] * 5 + [0] * 2
