@@ -51,7 +51,9 @@ def enclosing_functions(points: DataFrame, functions: DataFrame) -> DataFrame:
     p = points.select("ref_path", "ref_line").where("ref_path is not null and ref_line is not null").distinct()
     at = lambda k: F.floor(F.col("ref_line") / F.lit(BASE**k))
     p = p.select(F.col("ref_path").alias("file_path"), F.col("ref_line").cast("long").alias("line"), F.inline(F.array(struct(F.lit(-1), at(COARSE)), *[struct(F.lit(k), at(k)) for k in range(COARSE, TOP + 1)])))
-    met = f.unionByName(p, allowMissingColumns=True).repartition("file_path", "level", "block")
+    # a number that stays: partitions put together by their size before they are cut would be too large after it
+    n = int(functions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = f.unionByName(p, allowMissingColumns=True).repartition(n, "file_path", "level", "block")
     low, high, line = F.col("block") * F.lit(BASE**COARSE), (F.col("block") + 1) * F.lit(BASE**COARSE) - 1, F.col("line")
     small = F.when(line.isNull(), _covering(F.greatest("start_line", low), F.least("end_line", high))).otherwise(F.array(*[struct(F.lit(k), F.floor(line / F.lit(BASE**k))) for k in range(COARSE)]))
     blocks = F.when(F.col("level") >= COARSE, F.array(struct(F.col("level"), F.col("block")))).otherwise(small)
